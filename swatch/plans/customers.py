@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 from swatch.operators import customers as cu
 from swatch.operators.merge import route
 from swatch.plans.common import Query
-from swatch.plans.orders_model import AS_OF, AS_OF_SQL, BULK_TYPES_P3, P3_SQL, SAMPLE_TYPES_P3, p3_orders
+from swatch.plans.orders_model import AS_OF, AS_OF_SQL, BULK_TYPES_P3, P3_SQL, P6_SQL, SAMPLE_TYPES_P3, p3_orders
 from swatch.sources.tables import empty_table
 
 EXISTING = ("sample_customers", "bulk_customers", "sample_order_customers", "bulk_order_customers",
             "customer_conversions")
 
 
-def first_build(spark, sf_dir) -> cu.CustomerBuild:
-    src = p3_orders(spark, sf_dir)
+def first_build(spark, sf_dir, names: str = "nation") -> cu.CustomerBuild:
+    src = p3_orders(spark, sf_dir, names)
     existing = {n: empty_table(spark, n) for n in EXISTING}
     return cu.build_customers(route(src, SAMPLE_TYPES_P3), route(src, BULK_TYPES_P3), existing, AS_OF)
 
@@ -29,9 +29,9 @@ BULK_OUT = ("id", "customer_name", "shop", "handler", "first_bulk_date", "last_b
             "bulk_orders_count", "converted_from_sample", "sample_customer_id", "created_at", "updated_at")
 
 
-def _customers(side: str):
+def _customers(side: str, names: str = "nation"):
     def build(spark, sf_dir):
-        b = first_build(spark, sf_dir)
+        b = first_build(spark, sf_dir, names)
         if side == "sample":
             return b.sample_customers.select(*SAMPLE_OUT).withColumn(
                 "total_sample_amount", F.round("total_sample_amount", 4))
@@ -100,8 +100,8 @@ def _side_ctes(s: str, types) -> str:
               FROM {s}_links GROUP BY 1)"""
 
 
-def _with() -> str:
-    return f"""WITH p3 AS ({P3_SQL}),
+def _with(src_sql: str = P3_SQL) -> str:
+    return f"""WITH p3 AS ({src_sql}),
 {_side_ctes('sample', SAMPLE_TYPES_P3)},
 {_side_ctes('bulk', BULK_TYPES_P3)},
 conv AS (
@@ -113,11 +113,11 @@ conv AS (
 """
 
 
-def _customers_sql(s: str) -> str:
+def _customers_sql(s: str, src_sql: str = P3_SQL) -> str:
     other, flag, fk = (("bulk", "converted_to_bulk", "bulk_customer_id") if s == "sample"
                        else ("sample", "converted_from_sample", "sample_customer_id"))
     date_col = "CASE WHEN cv.p IS NOT NULL THEN " + AS_OF_SQL + " END AS conversion_date, " if s == "sample" else ""
-    return _with() + f"""
+    return _with(src_sql) + f"""
 SELECT c.id, c.customer_name, c.shop, coalesce(fh.fh, c.handler) AS handler,
        st.first_d AS first_{s}_date, st.last_d AS last_{s}_date,
        round(coalesce(st.total, 0.0), 4) AS total_{s}_amount, CAST(coalesce(st.n, 0) AS INTEGER) AS {s}_orders_count,
@@ -154,4 +154,6 @@ def queries() -> list[Query]:
         Query("c3_bulk_links_p3", _links("bulk"), _with() + "SELECT * FROM bulk_links"),
         Query("c4_conversions_p3", lambda s, d: first_build(s, d).conversions, _with() + "SELECT * FROM conv"),
         Query("c8_counters_p3", lambda s, d: first_build(s, d).counters, _counters_sql()),
+        Query("c7_sample_customers_p6", _customers("sample", "customer"), _customers_sql("sample", P6_SQL)),
+        Query("c7_bulk_customers_p6", _customers("bulk", "customer"), _customers_sql("bulk", P6_SQL)),
     ]

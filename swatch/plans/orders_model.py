@@ -30,17 +30,18 @@ ORDER_COLUMNS = ("id", "order_id", "customer_name", "shop", "handler", "amount",
                  "order_status", "order_created_date", "created_at", "updated_at")
 
 
-def p3_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p3_orders(spark: SparkSession, sf_dir: str, names: str = "nation") -> DataFrame:
+    """P3 (``names="nation"``) or P6 (``names="customer"``: the customer's own name)."""
     o = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
                                             "o_orderdate", "o_orderpriority")
-    c = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     n = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     joined = (o.join(c, o.o_custkey == c.c_custkey)
               .join(checked_broadcast(n, max_rows=100_000), F.col("c_nationkey") == F.col("n_nationkey")))
     return joined.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderkey").cast("string").alias("order_id"),
-        F.col("n_name").alias("customer_name"),
+        F.col("n_name" if names == "nation" else "c_name").alias("customer_name"),
         F.nullif(F.col("c_mktsegment"), F.lit("FURNITURE")).alias("shop"),
         F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("handler"),
         F.col("o_totalprice").alias("amount"),
@@ -58,6 +59,9 @@ P3_SQL = """SELECT o.o_orderkey AS id, CAST(o.o_orderkey AS VARCHAR) AS order_id
   o.o_orderdate AS order_created_date, o.o_orderdate AS created_at, o.o_orderdate AS updated_at
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey"""
 
+# As P3 with the customer's own name, so names split between converted and unconverted.
+P6_SQL = P3_SQL.replace("n.n_name AS customer_name", "c.c_name AS customer_name")
+
 
 def p4_target(src: DataFrame, types, extra_col: str) -> DataFrame:
     """The previous state of one routed table (see module doc)."""
