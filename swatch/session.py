@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,12 +74,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint directory.
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Cut lineage by writing ``df`` as a Parquet table under the shared checkpoint directory and
+    reading it back.
 
     Used where a non-deterministic column (``monotonically_increasing_id``) must be read twice with
-    the same values, and where a result is reused by several later steps.  Survives executor loss,
-    unlike ``localCheckpoint``.
+    the same values.  One computation of the plan (an RDD checkpoint of an uncached plan computes it
+    twice), and the copy lives on the cluster's shared storage, so it survives executor loss, unlike
+    ``localCheckpoint``.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/swatch-{name}-{uuid.uuid4().hex}.parquet"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
