@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from swatch.functions import is_blank
 from swatch.operators.ids import assign_ids, next_id
+from swatch.session import materialize
 from swatch.schemas import BULK_SIDE, SAMPLE_SIDE, CustomerSide
 
 
@@ -71,8 +72,13 @@ def _count_tags(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def resolve_customers(existing: DataFrame, triples: DataFrame, as_of, side: CustomerSide = SAMPLE_SIDE) -> Resolution:
-    """Find-or-create customers for the triples (rules in the module doc)."""
-    t = triples.withColumn("_blank", is_blank("shop"))
+    """Find-or-create customers for the triples (rules in the module doc).
+
+    The triples (distinct (name, shop, handler), far fewer than orders) are written once to the
+    checkpoint directory: every rule reads them, and without the cut each read would rescan the
+    orders.
+    """
+    t = materialize(triples.withColumn("_blank", is_blank("shop")), "triples")
     ex = existing.select("id", "customer_name", "shop")
     ex_pair = (ex.where(~is_blank("shop")).groupBy("customer_name", "shop").agg(F.min("id").alias("_ex_pair")))
     ex_name = ex.groupBy("customer_name").agg(F.min("id").alias("_ex_name"))

@@ -1,6 +1,10 @@
-"""Dense surrogate ids in a given order (M5), without a single-task global row_number.
+"""Dense surrogate ids in a given order (M5).
 
-Two passes over a materialised, range-partitioned copy:
+Inputs proven small (at most ``local_limit`` rows, checked by reading at most ``local_limit + 1``
+rows) get their ids from one ``row_number`` over the order: deterministic, lazy, one bounded task.
+
+Larger inputs take two passes over a materialised, range-partitioned copy, so no task ever holds
+more than one range partition:
   1. ``repartitionByRange`` + ``sortWithinPartitions`` puts the rows in global order across
      partitions; ``monotonically_increasing_id`` then encodes (partition, position) and the copy is
      checkpointed so both later reads see the same values.
@@ -24,12 +28,19 @@ def next_id(df: DataFrame, id_col: str = "id") -> int:
     return 1 + (row["m"] if row and row["m"] is not None else 0)
 
 
+LOCAL_LIMIT = 200_000
+
+
 def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int = 1, id_col: str = "id",
-               num_partitions: int | None = None) -> DataFrame:
+               num_partitions: int | None = None, local_limit: int = LOCAL_LIMIT) -> DataFrame:
     """Add ``id_col`` = start, start+1, ... following ``order`` (which must be unique per row)."""
+    order = list(order)
+    if local_limit and df.limit(local_limit + 1).count() <= local_limit:
+        # Bounded by the check above: a single ordered window is safe and needs no materialisation.
+        rank = F.row_number().over(Window.orderBy(*order))
+        return df.withColumn(id_col, (F.lit(start - 1) + rank).cast("long"))
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = list(order)
     ranged = (df.repartitionByRange(n, *order)
               .sortWithinPartitions(*order)
               .withColumn("_mid", F.monotonically_increasing_id()))

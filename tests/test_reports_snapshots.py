@@ -48,9 +48,10 @@ def test_a11_f5_t4(spark):
 
 def test_assign_ids_dense_across_partitions(spark):
     df = spark.range(0, 1000).selectExpr("(id * 7919) % 1000 AS k").repartition(5)
-    out = assign_ids(df, ["k"], start=10, num_partitions=4)
-    got = sorted((r.k, r.id) for r in out.collect())
-    assert got == [(k, k + 10) for k in range(1000)]
+    for limit in (0, 10_000):   # distributed two-pass path, then the checked single-window path
+        out = assign_ids(df, ["k"], start=10, num_partitions=4, local_limit=limit)
+        got = sorted((r.k, r.id) for r in out.collect())
+        assert got == [(k, k + 10) for k in range(1000)]
 
 
 def test_publish_and_append(spark, tmp_path):
