@@ -109,6 +109,7 @@ def resolve_customers(existing: DataFrame, triples: DataFrame, as_of, side: Cust
                 .withColumn("customer_id", F.when(F.col("_blank"), F.coalesce("_ex_name", "_new_anchor"))
                             .otherwise(F.coalesce("_ex_pair", "_new_pair")))
                 .select("customer_name", "shop", "handler", "first_seen", "customer_id"))
+    resolved = materialize(resolved, "triple-map")
 
     # Handler fill: first non-blank handler among the triples resolved to each customer.
     first_handler = (resolved.where(~is_blank("handler")).groupBy("customer_id")
@@ -136,7 +137,9 @@ def resolve_customers(existing: DataFrame, triples: DataFrame, as_of, side: Cust
             fresh_cols.append(F.lit(None).cast(f.dataType).alias(f.name))
     fresh = (created.join(first_handler, created["id"] == first_handler["customer_id"], "left")
              .select(*fresh_cols))
-    customers = old.unionByName(fresh.select(*existing.columns))
+    # Customers are few next to orders; writing them once keeps every later plan (links,
+    # conversions, statistics, both sides) from re-deriving them.
+    customers = materialize(old.unionByName(fresh.select(*existing.columns)), "customers")
     counters = _count_tags({"triples": t, "new": created}).select(
         "new", (F.col("triples") - F.col("new")).alias("updated"))
     return Resolution(customers, resolved, counters, t, created)

@@ -90,7 +90,7 @@ def test_c2_random_against_sequential_model(spark):
         _check_case(spark, existing, orders)
 
 
-def test_links_conversions_stats(spark):
+def test_links_conversions_stats(spark, tmp_path):
     o = spark.createDataFrame([
         (1, "o1", "ann", "s1", "h", 0.0, dt.datetime(2025, 1, 1)),     # amount 0 -> null
         (2, "o2", "ann", "s2", "h", None, None),                        # null amount, null date
@@ -129,11 +129,13 @@ def test_links_conversions_stats(spark):
     assert (c.new_sample, c.updated_sample, c.new_bulk, c.updated_bulk) == (3, 0, 3, 0)
     assert (c.sample_relations, c.bulk_relations, c.conversions, c.errors) == (7, 5, 4, 0)
 
-    # A second build over the same orders adds nothing and changes no flag.
-    again = cu.build_customers(o, bulk, {"sample_customers": b.sample_customers, "bulk_customers": b.bulk_customers,
-                                         "sample_order_customers": b.sample_links,
-                                         "bulk_order_customers": b.bulk_links,
-                                         "customer_conversions": b.conversions}, AS_OF)
+    # Publish, read back, and build again over the same orders: nothing is added, no flag changes.
+    from swatch.sources import snapshots as snap
+    base = str(tmp_path / "customers")
+    snap.publish(spark, base, "1", {"sample_customers": b.sample_customers, "bulk_customers": b.bulk_customers,
+                                    "sample_order_customers": b.sample_links, "bulk_order_customers": b.bulk_links,
+                                    "customer_conversions": b.conversions})
+    again = cu.build_customers(o, bulk, {n: snap.read_current(spark, base, n) for n in names}, AS_OF)
     c2 = again.counters.first()
     assert (c2.new_sample, c2.new_bulk, c2.sample_relations, c2.bulk_relations, c2.conversions) == (0, 0, 0, 0, 0)
     assert rows(again.sample_customers) == rows(b.sample_customers)
