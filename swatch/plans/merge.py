@@ -1,4 +1,4 @@
-"""Registered merge queries (F2, M1-M7, F6-F9) over mapping P3/P4."""
+"""Registered merge queries (S8, F2, M1-M7, F6-F9) over mapping P3/P4."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from swatch.plans.orders_model import (
     AS_OF,
     AS_OF_SQL,
     BULK_TYPES_P3,
+    CUTOFF,
     ORDER_COLUMNS,
     ORIGINAL_TARGET_SQL,
     P3_SQL,
@@ -254,8 +255,46 @@ def _delete_sql(missing: bool) -> str:
     return head + "SELECT * FROM tgt WHERE order_id NOT IN (SELECT order_id FROM k)"
 
 
+# ------------------------------------------------------------------------------------------------
+# Append load
+# ------------------------------------------------------------------------------------------------
+
+def _append(clash: bool, counts: bool):
+    def build(spark, sf_dir):
+        from swatch.sources.snapshots import append_load
+        src = p3_orders(spark, sf_dir)
+        since = NEW_FROM if clash else CUTOFF
+        batch = src.where(F.col("order_created_date") >= F.lit(since)).select(*NEW_COLUMNS)
+        res = append_load(original_target(src), batch)
+        return res.stats if counts else res.table
+    return build
+
+
+def _append_sql(clash: bool, counts: bool) -> str:
+    since = NEW_FROM if clash else CUTOFF
+    rows = f"SELECT {', '.join(NEW_COLUMNS)} FROM p3 WHERE order_created_date >= TIMESTAMP '{since}'"
+    head = f"WITH p3 AS ({P3_SQL}), tgt AS ({ORIGINAL_TARGET_SQL}), rows AS ({rows}) "
+    if counts:
+        if clash:
+            return head + "SELECT CAST(0 AS BIGINT) AS inserted, count(*) AS errors FROM rows"
+        return head + "SELECT count(*) AS inserted, CAST(0 AS BIGINT) AS errors FROM rows"
+    ins = []
+    for c in ORDER_COLUMNS:
+        if c == "id":
+            ins.append("(SELECT coalesce(max(id), 0) FROM tgt) + row_number() OVER (ORDER BY order_id) AS id")
+        elif c in NEW_COLUMNS:
+            ins.append(c)
+        else:
+            ins.append(f"NULL AS {c}")
+    return head + (f"SELECT *, 'unchanged' AS _action FROM tgt UNION ALL "
+                   f"SELECT {', '.join(ins)}, 'inserted' AS _action FROM rows")
+
+
 def queries() -> list[Query]:
     return [
+        Query("s8_append_load_p3", _append(False, False), _append_sql(False, False)),
+        Query("s8_append_counts_p3", _append(False, True), _append_sql(False, True)),
+        Query("s8_append_rejected_counts_p3", _append(True, True), _append_sql(True, True)),
         Query("f2_route_sample_p3", lambda s, d: mg.route(p3_orders(s, d), SAMPLE_TYPES_P3),
               f"WITH p3 AS ({P3_SQL}) SELECT * FROM p3 WHERE order_type IN ({_types_sql(SAMPLE_TYPES_P3)})"),
         Query("m7_sync_sample_orders_p4", _sync_spark("sample_orders"), _sync_sql("sample_orders")),
