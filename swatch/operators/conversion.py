@@ -129,14 +129,18 @@ def customer_conversion_analysis(orders: DataFrame, cols: OrderCols, marker: str
     """
     base = _base(orders, cols, marker)
     facts = _sample_facts(base)
-    firsts = facts.select("customer_id", "first_sample_date").where(F.col("first_sample_date").isNotNull())
+    fact_cols = ["customer_id", "first_sample_date", "sample_count", "total_orders"]
     bulk = base.where(~F.col("_is_sample") & F.col("_date").isNotNull()).select("customer_id", "_date", "_amount")
-    converted = (bulk.join(firsts, "customer_id")
+    # Grouping by every fact column keeps both uses of ``facts`` identical, so the per-customer
+    # aggregate is computed once and its shuffle reused.  The join is inner on purpose: AQE can split
+    # a hot customer's bulk rows in an inner join, not on the non-preserved side of an outer one.
+    converted = (bulk.join(facts.where(F.col("first_sample_date").isNotNull()), "customer_id")
                  .where(F.col("_date") > F.col("first_sample_date"))
-                 .groupBy("customer_id")
+                 .groupBy(*fact_cols)
                  .agg(F.count(F.lit(1)).alias("bulk_count"),
                       F.sum("_amount").alias("_bulk_amount"),
-                      F.min("_date").alias("_first_bulk_date")))
+                      F.min("_date").alias("_first_bulk_date"))
+                 .drop(*fact_cols[1:]))
     out = facts.join(converted, "customer_id", "left")
     bulk_count = F.coalesce(F.col("bulk_count"), F.lit(0).cast("long"))
     return _with_ratio(out).select(
