@@ -4,8 +4,8 @@ Every operator returns the new version of the target as a DataFrame (a snapshot
 ``_action`` column saying what happened to each row: ``inserted``, ``updated`` or ``unchanged``.
 ``merge_counts`` turns that column into the statistics of the operation.
 
-Joins are on the business key only; both sides shuffle once on it.  A key is unique on each side
-(batches are reduced per key first), so a hot key cannot occur in these joins.
+Joins are on the business key only, hash-partitioned on it.  A key is unique on each side (batches
+are reduced per key first), so a hot key cannot occur in these joins.
 """
 
 from __future__ import annotations
@@ -76,8 +76,11 @@ def sync_route(target: DataFrame, source: DataFrame, types: Sequence[str], as_of
     """
     src = route(source, types, type_col)
     values = [c for c in source.columns if c in target.columns and c != key and c not in META_COLUMNS]
-    s = _prefixed(src, "_s_")
-    joined = target.join(s, target[key] == s[f"_s_{key}"], "left")
+    # One full outer join on the unique key; the kept/updated rows and the inserted rows are its two
+    # sides.  (Each branch prunes its own columns, so Spark shuffles the inputs once per branch.)
+    joined = (target.withColumn("_in_t", F.lit(True))
+              .join(_prefixed(src, "_s_"), F.col(key) == F.col(f"_s_{key}"), "full_outer"))
+    in_target = F.col("_in_t").isNotNull()
     matched = F.col(f"_s_{key}").isNotNull()
     newer = matched & F.coalesce(
         (F.col("_s_updated_at") > F.col("updated_at")) | F.col("updated_at").isNull(), F.lit(False))
@@ -89,9 +92,10 @@ def sync_route(target: DataFrame, source: DataFrame, types: Sequence[str], as_of
             cols.append(F.when(newer, _ts(as_of)).otherwise(F.col(f.name)).alias(f.name))
         else:
             cols.append(F.col(f.name))
-    kept = joined.select(*cols, F.when(newer, F.lit(UPDATED)).otherwise(F.lit(UNCHANGED)).alias(ACTION))
+    kept = joined.where(in_target).select(
+        *cols, F.when(newer, F.lit(UPDATED)).otherwise(F.lit(UNCHANGED)).alias(ACTION))
 
-    new_rows = src.join(target.select(key), key, "left_anti")
+    new_rows = joined.where(~in_target).select(*[F.col(f"_s_{c}").alias(c) for c in src.columns])
     new_cols = []
     for f in target.schema.fields:
         if f.name == "id":
@@ -160,8 +164,10 @@ def upsert(target: DataFrame, batch: DataFrame, as_of, key: str = "order_id", pr
     b = reduce_batch(batch, key, order, present)
     values = [c for c in b.columns if c in target.columns and c != key and c not in META_COLUMNS]
     now = _ts(as_of)
-    s = _prefixed(b, "_s_")
-    joined = target.join(s, target[key] == s[f"_s_{key}"], "left")
+    # One full outer join on the unique key serves both the updated/kept rows and the inserted rows.
+    joined = (target.withColumn("_in_t", F.lit(True))
+              .join(_prefixed(b, "_s_"), F.col(key) == F.col(f"_s_{key}"), "full_outer"))
+    in_target = F.col("_in_t").isNotNull()
     hit = F.col(f"_s_{key}").isNotNull()
     cols = []
     for f in target.schema.fields:
@@ -171,10 +177,11 @@ def upsert(target: DataFrame, batch: DataFrame, as_of, key: str = "order_id", pr
             cols.append(F.when(hit, now).otherwise(F.col(f.name)).alias(f.name))
         else:
             cols.append(F.col(f.name))
-    kept = joined.select(*cols, F.when(hit, F.lit(UPDATED)).otherwise(F.lit(UNCHANGED)).alias(ACTION),
-                         F.coalesce(F.col("_s__rows"), F.lit(0)).alias("_rows"))
+    kept = joined.where(in_target).select(
+        *cols, F.when(hit, F.lit(UPDATED)).otherwise(F.lit(UNCHANGED)).alias(ACTION),
+        F.coalesce(F.col("_s__rows"), F.lit(0)).alias("_rows"))
 
-    new_rows = b.join(target.select(key), key, "left_anti")
+    new_rows = joined.where(~in_target).select(*[F.col(f"_s_{c}").alias(c) for c in b.columns])
     new_cols = []
     for f in target.schema.fields:
         if f.name == "id":
