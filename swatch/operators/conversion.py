@@ -9,9 +9,9 @@ Plan shape of the main operator (``customer_conversion_analysis``):
 
 Per-customer facts come from map-side-combined aggregates, so a customer holding a third of all
 orders costs one row per map task before the shuffle.  The only join keeps one row per customer on
-its small side; AQE splits a hot customer's partition of the large side (skew join) or, when the
-measured small side is small, turns the join into a broadcast.  No window over a customer's orders
-is used, so no task ever holds a whole customer.
+its small side; a customer with more orders than one task should take is salted over several tasks
+(``operators.skew``), and AQE turns the join into a broadcast when the measured small side is small.
+No window over a customer's orders is used, so no task ever holds a whole customer.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from swatch.schemas import (
     OrderCols,
 )
 from swatch.operators.quality import require_columns
+from swatch.operators.skew import HOT_KEY_ROWS, hot_keys, salted_join
 
 
 def _typed(orders: DataFrame, cols: OrderCols) -> tuple[Column, Column]:
@@ -54,6 +55,7 @@ def _base(orders: DataFrame, cols: OrderCols, marker: str, keep_null_customer: b
         out = out.where(F.col(cols.customer_id).isNotNull())
     return out.select(
         F.col(cols.customer_id).alias("customer_id"),
+        F.col(cols.order_id).alias("_order_id"),
         date.alias("_date"),
         amount.alias("_amount"),
         is_sample(cols.order_type, marker).alias("_is_sample"),
@@ -121,21 +123,25 @@ def customer_sample_analysis(orders: DataFrame, cols: OrderCols, marker: str = S
     return _with_ratio(_sample_facts(_base(orders, cols, marker)))
 
 
-def customer_conversion_analysis(orders: DataFrame, cols: OrderCols, marker: str = SAMPLE_MARKER) -> DataFrame:
+def customer_conversion_analysis(orders: DataFrame, cols: OrderCols, marker: str = SAMPLE_MARKER,
+                                 hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """A5: A4 plus (bulk_count, bulk_amount, days_to_first_bulk, conversion_status).
 
     A bulk order is any non-sample order (null type included) of the same customer dated strictly
-    after the customer's first sample date (J2).  Days are whole 24-hour periods.
+    after the customer's first sample date (J2).  Days are whole 24-hour periods.  Customers with
+    more than ``hot_rows`` orders are split over several tasks in the join (``operators.skew``).
     """
     base = _base(orders, cols, marker)
     facts = _sample_facts(base)
     fact_cols = ["customer_id", "first_sample_date", "sample_count", "total_orders"]
-    bulk = base.where(~F.col("_is_sample") & F.col("_date").isNotNull()).select("customer_id", "_date", "_amount")
-    # Grouping by every fact column keeps both uses of ``facts`` identical, so the per-customer
-    # aggregate is computed once and its shuffle reused.  The join is inner on purpose: AQE can split
-    # a hot customer's bulk rows in an inner join, not on the non-preserved side of an outer one.
-    converted = (bulk.join(facts.where(F.col("first_sample_date").isNotNull()), "customer_id")
-                 .where(F.col("_date") > F.col("first_sample_date"))
+    bulk = (base.where(~F.col("_is_sample") & F.col("_date").isNotNull())
+            .select("customer_id", "_order_id", "_date", "_amount"))
+    # Grouping by every fact column keeps the uses of ``facts`` identical, so the per-customer
+    # aggregate is computed once and its shuffle reused.  A customer with more bulk rows than one task
+    # should take is salted over several tasks; the rest join as usual.
+    hot = hot_keys(facts, "customer_id", "total_orders", hot_rows)
+    joined = salted_join(bulk, facts.where(F.col("first_sample_date").isNotNull()), "customer_id", hot)
+    converted = (joined.where(F.col("_date") > F.col("first_sample_date"))
                  .groupBy(*fact_cols)
                  .agg(F.count(F.lit(1)).alias("bulk_count"),
                       F.sum("_amount").alias("_bulk_amount"),

@@ -16,7 +16,8 @@ computed set-based, from aggregates per name and per (name, shop):
 Everything is an aggregate over triples (distinct (name, shop, handler), so a name with a third of
 all orders still has few rows) joined back on name or (name, shop) with one row per key.  Orders
 only meet the customers in the link step, an equi-join on name whose small side has one row per
-(name, customer); AQE splits a hot name's partition of the order side.
+(name, customer); a name with more orders than one task should take is salted over several tasks
+(``operators.skew``).
 
 New ids follow creation order (first appearance), so "lowest id" keeps its meaning.
 """
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from swatch.functions import is_blank
 from swatch.operators.ids import assign_ids, next_id
+from swatch.operators.skew import HOT_KEY_ROWS, hot_keys, salted_join
 from swatch.session import materialize
 from swatch.schemas import BULK_SIDE, SAMPLE_SIDE, CustomerSide
 
@@ -146,7 +148,7 @@ def resolve_customers(existing: DataFrame, triples: DataFrame, as_of, side: Cust
 
 
 def link_orders(orders: DataFrame, triple_map: DataFrame, existing_links: DataFrame, as_of,
-                side: CustomerSide = SAMPLE_SIDE, ordinal: str = "id") -> DataFrame:
+                side: CustomerSide = SAMPLE_SIDE, ordinal: str = "id", hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """New (customer, order) links.  An order links to every customer resolved from a triple of
     its name, whatever the shop; ``order_date`` is the order's ``created_at``; an amount of 0 or NaN
     is stored as null; pairs already linked are skipped.  Returns the new link rows with ids after
@@ -158,7 +160,10 @@ def link_orders(orders: DataFrame, triple_map: DataFrame, existing_links: DataFr
                                     F.col("created_at").alias("order_date"),
                                     F.nullif(F.nanvl(F.col("amount").cast("double"), F.lit(None).cast("double")),
                                              F.lit(0.0)).alias("amount"))
-    links = (o.join(per_name, "customer_name")
+    # A name with more orders than one task should take (the blank name can be huge) is salted.
+    hot = hot_keys(o.groupBy("customer_name").agg(F.count(F.lit(1)).alias("_n")), "customer_name", "_n",
+                   hot_rows)
+    links = (salted_join(o, per_name, "customer_name", hot)
              .join(existing_links.select(cust_col, "order_id"), [cust_col, "order_id"], "left_anti"))
     links = assign_ids(links.select(cust_col, "order_id", "_ord", "order_date", "amount"), [cust_col, "_ord"],
                        start=next_id(existing_links))
@@ -235,7 +240,7 @@ class CustomerBuild:
 
 
 def build_customers(sample_orders: DataFrame, bulk_orders: DataFrame, existing: dict[str, DataFrame], as_of,
-                    ordinal: str = "id") -> CustomerBuild:
+                    ordinal: str = "id", hot_rows: int = HOT_KEY_ROWS) -> CustomerBuild:
     """C1-C3 for the sample side, C1-C3 for the bulk side, C4, C5, C6 for both sides.
 
     ``existing`` holds the current ``sample_customers``, ``bulk_customers``, ``sample_order_customers``,
@@ -248,7 +253,7 @@ def build_customers(sample_orders: DataFrame, bulk_orders: DataFrame, existing:
         ex_c = existing[f"{side.name}_customers"]
         ex_l = existing[f"{side.name}_order_customers"]
         res = resolve_customers(ex_c, customer_triples(orders, ordinal), as_of, side)
-        new_links = link_orders(orders, res.triple_map, ex_l, as_of, side, ordinal)
+        new_links = link_orders(orders, res.triple_map, ex_l, as_of, side, ordinal, hot_rows)
         out[side.name] = (res.customers, ex_l.unionByName(new_links))
         parts.update({f"_triples_{side.name}": res.triples, f"new_{side.name}": res.created,
                       f"{side.name}_relations": new_links})

@@ -142,3 +142,21 @@ def test_survey_figures_sf001(spark):
     assert (r.sample_customers, r.converted_customers) == (150, 150)
     assert cv.average_days_to_convert(e5).first().avg_days_to_convert == pytest.approx(0.2267, abs=1e-4)
     assert [x.customers for x in cv.days_histogram(e5).orderBy("bin_order").collect()] == [31, 0, 0, 0, 0, 0]
+
+
+def test_hot_customer_is_salted_and_result_unchanged(spark):
+    """One customer with a third of all orders: splitting it must not change the answer."""
+    import datetime as dt2
+    n = 30000
+    df = spark.range(n).select(
+        F.col("id").cast("string").alias("order_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 97).cast("string")).alias("customer_id"),
+        F.when(F.col("id") % 10 == 1, F.lit("打样单")).otherwise(F.lit("新订单")).alias("order_type"),
+        (F.lit(dt2.datetime(2025, 1, 1)) + F.make_interval(mins=F.col("id").cast("int"))).alias("process_time"),
+        (F.col("id") % 7).cast("double").alias("amount"))
+    plain = cv.customer_conversion_analysis(df, COLS)
+    split = cv.customer_conversion_analysis(df, COLS, hot_rows=500)
+    assert "_salt" in split._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(round_doubles(plain)) == rows(round_doubles(split))
+    hot = [r for r in split.collect() if r.customer_id == "hot"][0]
+    assert hot.total_orders == 10000 and hot.bulk_count > 0

@@ -149,3 +149,17 @@ def test_customer_without_links_keeps_values(spark):
     out = cu.customer_stats(cust, links, SAMPLE_SIDE).first()
     assert (out.sample_orders_count, out.total_sample_amount) == (7, 70.0)
     assert BULK_SIDE.orders_count == "bulk_orders_count"
+
+
+def test_hot_name_links_unchanged_when_salted(spark):
+    from swatch.operators.customers import link_orders
+    orders = spark.range(3000).selectExpr(
+        "id", "CAST(id AS STRING) AS order_id",
+        "CASE WHEN id % 3 = 0 THEN '' ELSE CAST(id % 11 AS STRING) END AS customer_name",
+        "CAST(NULL AS STRING) AS shop", "CAST(NULL AS STRING) AS handler", "CAST(id % 5 AS DOUBLE) AS amount",
+        "TIMESTAMP_NTZ '2025-01-01 00:00:00' AS created_at")
+    res = cu.resolve_customers(empty_table(spark, "sample_customers"), cu.customer_triples(orders), AS_OF)
+    links = empty_table(spark, "sample_order_customers")
+    plain = link_orders(orders, res.triple_map, links, AS_OF)
+    split = link_orders(orders, res.triple_map, links, AS_OF, hot_rows=50)
+    assert rows(plain) == rows(split) and plain.count() == 3000
