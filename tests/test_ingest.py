@@ -62,3 +62,15 @@ def test_find_columns(spark):
     assert (c.date, c.amount) == ("process_time", "amount")
     c2 = find_columns(df.drop("amount"))
     assert c2.amount is None
+
+
+def test_json_order_files(spark, tmp_path):
+    d = tmp_path / "json"
+    d.mkdir()
+    (d / "a.json").write_text('{"订单ID": "J1", "金额": 12.5, "下单时间": "2025/03/01 08:00"}\n'
+                              '{"订单ID": "J1", "金额": 99, "下单时间": "2025-03-02"}\n', encoding="utf-8")
+    raw = read_order_files(spark, str(d), (".json",), fmt="json")
+    clean = ing.preprocess(raw).collect()
+    assert len(clean) == 1
+    assert (clean[0].order_id, clean[0].amount, clean[0].order_created_date) == \
+        ("J1", 12.5, dt.datetime(2025, 3, 1, 8, 0))

@@ -114,3 +114,22 @@ def test_edit_customers_whitelist_and_null(spark):
     assert (r.handler, r.notes, r.shop, r.tags, r.updated_at) == (None, "x", "s", ["a"], D(2024, 1, 1))
     assert "phone" not in table.columns
     assert rows(missing, "id") == [(9,)]
+
+
+def test_upsert_counters_cover_every_batch_row(spark):
+    import random
+    rnd = random.Random(3)
+    tgt = spark.createDataFrame([(i, f"k{i}", float(i), "t", D(2024, 1, 1), D(2024, 1, 1)) for i in range(1, 30)], SRC)
+    data = [(f"k{rnd.randint(1, 60)}", float(rnd.randint(1, 9)), f"f{rnd.randint(1, 4)}", i) for i in range(80)]
+    batch = spark.createDataFrame(data, "order_id string, amount double, _file string, _n int").selectExpr(
+        "order_id", "amount", "concat(_file, lpad(CAST(_n AS STRING), 3, '0')) AS _ord")
+    res = mg.upsert(tgt, batch, AS_OF, order="_ord")
+    s = res.stats.first()
+    assert s.inserted + s.updated == 80
+    new_keys = {k for k, *_ in data} - {f"k{i}" for i in range(1, 30)}
+    assert s.inserted == len(new_keys)
+    last = {}
+    for k, amount, f, n in sorted(data, key=lambda r: r[2] + f"{r[3]:03d}"):
+        last[k] = amount
+    got = {r.order_id: r.amount for r in res.table.collect()}
+    assert all(got[k] == v for k, v in last.items())
