@@ -63,8 +63,8 @@ def apply_conf(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint directory, setting one only when the cluster names none.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used as is.  Only when it
-    is unset (local tests) a fresh scratch folder is taken.
+    On a cluster ``spark.checkpoint.dir`` points at shared storage and is used as is (unset there is
+    an error).  Only a local-mode session without the setting (tests) gets a fresh scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -72,6 +72,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name shared storage on a cluster")
         configured = tempfile.mkdtemp(prefix="swatch-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

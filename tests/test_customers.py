@@ -163,3 +163,13 @@ def test_hot_name_links_unchanged_when_salted(spark):
     plain = link_orders(orders, res.triple_map, links, AS_OF)
     split = link_orders(orders, res.triple_map, links, AS_OF, hot_rows=50)
     assert rows(plain) == rows(split) and plain.count() == 3000
+
+
+def test_c2_same_result_with_one_shuffle_partition(spark):
+    existing = [{"id": 1, "name": "x", "shop": "s1", "handler": ""}]
+    orders = [("a", None, None), ("a", "s1", "h1"), ("x", None, "h"), ("x", "s2", None), ("", "", "h2")]
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        _check_case(spark, existing, orders)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
