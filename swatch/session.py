@@ -32,16 +32,37 @@ SESSION_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict:
+    """Partition sizing for a run over ``input_bytes`` on ``total_cores`` cores.
+
+    Shuffles start with one partition per ``partition_bytes`` of input (at least two waves of the
+    cores) and AQE coalesces them down to the advisory size, so a 100 TB run starts near 400k
+    shuffle partitions of ~256 MB and small stages shrink on their own.  Scan splits use the same
+    size.
+    """
+    n = max(2 * total_cores, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+    }
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "swatch", extra: dict | None = None) -> SparkSession:
+              app_name: str = "swatch", extra: dict | None = None,
+              input_bytes: int | None = None, total_cores: int | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings above.
 
-    ``master`` is only for local runs; on a cluster the launcher supplies it.
+    ``master`` is only for local runs; on a cluster the launcher supplies it.  With ``input_bytes``
+    and ``total_cores`` the partition sizing of ``scale_conf`` is applied.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(SESSION_CONF)
+    if input_bytes and total_cores:
+        conf.update(scale_conf(input_bytes, total_cores))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
