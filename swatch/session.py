@@ -32,20 +32,22 @@ SESSION_CONF = {
 }
 
 
-def scale_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 << 20) -> dict:
+def scale_conf(input_bytes: int, total_cores: int, split_bytes: int = 256 << 20,
+               input_per_shuffle_partition: int = 1 << 30, max_shuffle_partitions: int = 65536) -> dict:
     """Partition sizing for a run over ``input_bytes`` on ``total_cores`` cores.
 
-    Shuffles start with one partition per ``partition_bytes`` of input (at least two waves of the
-    cores) and AQE coalesces them down to the advisory size, so a 100 TB run starts near 400k
-    shuffle partitions of ~256 MB and small stages shrink on their own.  Scan splits use the same
-    size.
+    Scans split at ``split_bytes``.  Shuffles carry projected, partially aggregated rows, several
+    times less than the input, so they start with one partition per GB of input (at least two waves
+    of the cores, at most ``max_shuffle_partitions`` to keep the map-output block count sane) and
+    AQE coalesces small stages down to the advisory size.  100 TB on 8000 cores: 65,536 shuffle
+    partitions, ~400k scan splits.
     """
-    n = max(2 * total_cores, -(-input_bytes // partition_bytes))
+    n = min(max_shuffle_partitions, max(2 * total_cores, -(-input_bytes // input_per_shuffle_partition)))
     return {
         "spark.sql.shuffle.partitions": str(n),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
-        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(split_bytes),
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
     }
 
 
