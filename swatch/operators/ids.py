@@ -7,7 +7,8 @@ Larger inputs take two passes over a materialised, range-partitioned copy, so no
 more than one range partition:
   1. ``repartitionByRange`` + ``sortWithinPartitions`` puts the rows in global order across
      partitions; ``monotonically_increasing_id`` then encodes (partition, position) and the copy is
-     checkpointed so both later reads see the same values.
+     written once to the shared checkpoint directory (``session.materialize``), so both later
+     reads see the same values.
   2. Row counts per partition (one row per partition) become running offsets, broadcast back (the
      offsets table is bounded by the partition count), and ``start + offset + position`` is the id.
 """
