@@ -35,9 +35,21 @@ FILE_COL = "_file"
 ORDINAL_COL = "_ordinal"
 
 
+PRESENCE_PREFIX = "_has_"
+
+
 def map_headers(df: DataFrame, mapping: Mapping[str, str] = HEADER_MAP) -> DataFrame:
-    """Rename the headers present in ``mapping``; absent ones are ignored."""
-    return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in df.columns})
+    """Rename the headers present in ``mapping``; absent ones are ignored.  Presence flags
+    (``_has_<header>``, see ``sources.files.union_with_presence``) are renamed with their column."""
+    names = dict(mapping)
+    names.update({PRESENCE_PREFIX + k: PRESENCE_PREFIX + v for k, v in mapping.items()})
+    return df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns})
+
+
+def present_columns(df: DataFrame) -> dict[str, str]:
+    """The ``present`` map for ``merge.upsert``: column -> its presence flag, from the flags in ``df``."""
+    return {c[len(PRESENCE_PREFIX):]: c for c in df.columns
+            if c.startswith(PRESENCE_PREFIX) and c[len(PRESENCE_PREFIX):] in df.columns}
 
 
 def coerce_dates(df: DataFrame, cols: Sequence[str] = DATE_COLUMNS) -> DataFrame:
@@ -139,7 +151,9 @@ def preprocess(df: DataFrame, key: str = "order_id", by: str = FILE_COL, ordinal
 
 def prepare_batch(df: DataFrame, schema: T.StructType, as_of, key: str = "order_id",
                   keep: Sequence[str] = (FILE_COL, ORDINAL_COL)) -> tuple[DataFrame, DataFrame]:
-    """I12, I11, I9, I10 after ``preprocess``: (load-ready rows, rejected rows)."""
+    """I12, I11, I9, I10 after ``preprocess``: (load-ready rows, rejected rows).  Presence flags are
+    kept, so the upsert can leave columns a file lacked untouched."""
     good, rejects = split_rejects(null_nans(df), key)
     target = T.StructType([f for f in schema.fields if f.name != "id"])
+    keep = list(keep) + [c for c in df.columns if c.startswith(PRESENCE_PREFIX)]
     return align_schema(stamp(good, as_of), target, keep), rejects

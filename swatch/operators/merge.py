@@ -136,17 +136,22 @@ def reduce_batch(batch: DataFrame, key: str, order: str | None = None,
     """Collapse several batch rows of one key into the row a sequential upsert would leave.
 
     For each column the value of the latest row (by ``order``) that carries the column wins;
-    ``present`` maps a column to a boolean column telling whether the row's file had it.  ``_rows``
+    ``present`` maps a column to a boolean column telling whether the row's file had it (reduced to
+    "any row of the key had it").  ``_rows``
     keeps the number of rows folded into the key (needed for the counters).  An aggregation, so a
     key repeated a billion times still costs one row per map task before the shuffle.
     """
-    values = [c for c in batch.columns if c != key and c != order and c not in (present or {}).values()]
+    present = present or {}
+    values = [c for c in batch.columns if c != key and c != order and c not in present.values()]
     if order is None:
-        return batch.select(key, *values).withColumn("_rows", F.lit(1).cast("long"))
+        out = batch.select(key, *values, *present.values()).withColumn("_rows", F.lit(1).cast("long"))
+        return out
     aggs = []
     for c in values:
-        rank = F.col(order) if not present or c not in present else F.when(F.col(present[c]), F.col(order))
+        rank = F.col(order) if c not in present else F.when(F.col(present[c]), F.col(order))
         aggs.append(F.max_by(F.col(c), rank).alias(c))
+    # Whether any row of the key carried the column: if none did, the target keeps its value.
+    aggs += [F.bool_or(F.col(flag)).alias(flag) for flag in present.values()]
     return batch.groupBy(key).agg(*aggs, F.count(F.lit(1)).alias("_rows"), F.min(order).alias("_first"))
 
 
@@ -161,6 +166,7 @@ def upsert(target: DataFrame, batch: DataFrame, as_of, key: str = "order_id", pr
     Counters: ``inserted`` = new keys, ``updated`` = all other batch rows (a key repeated in the batch
     is inserted once and then updated).
     """
+    present = present or {}
     b = reduce_batch(batch, key, order, present)
     values = [c for c in b.columns if c in target.columns and c != key and c not in META_COLUMNS]
     now = _ts(as_of)
@@ -172,7 +178,10 @@ def upsert(target: DataFrame, batch: DataFrame, as_of, key: str = "order_id", pr
     cols = []
     for f in target.schema.fields:
         if f.name in values:
-            cols.append(F.when(hit, F.col(f"_s_{f.name}").cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name))
+            # A column no file of the key carried keeps the target's value.
+            carried = hit & F.col(f"_s_{present[f.name]}") if f.name in present else hit
+            cols.append(F.when(carried, F.col(f"_s_{f.name}").cast(f.dataType)).otherwise(F.col(f.name))
+                        .alias(f.name))
         elif f.name == "updated_at" or (f.name == "created_at" and not preserve_created):
             cols.append(F.when(hit, now).otherwise(F.col(f.name)).alias(f.name))
         else:

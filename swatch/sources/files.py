@@ -41,3 +41,23 @@ def read_order_files(spark: SparkSession, path: str, suffixes: Sequence[str] = (
                    F.monotonically_increasing_id().alias("_pos"))
     df = df.where(~F.col("_file").startswith(LOCK_PREFIX))
     return (df.withColumn("_ordinal", F.struct("_block", "_pos")).drop("_block", "_pos"))
+
+
+def union_with_presence(frames: Sequence[DataFrame], skip: Sequence[str] = ("_file", "_ordinal")
+                        ) -> tuple[DataFrame, dict[str, str]]:
+    """Union order-file reads of different headers by name, with a ``_has_<column>`` flag per column
+    telling whether the row's file carried it.  Returns the frame and the ``present`` map that
+    ``operators.merge.upsert`` takes, so a column a file lacks never overwrites the target.
+    """
+    cols: list[str] = []
+    for f in frames:
+        cols += [c for c in f.columns if c not in cols and c not in skip]
+    parts = []
+    for f in frames:
+        parts.append(f.select(*[F.col(c) if c in f.columns else F.lit(None).cast("string").alias(c) for c in cols],
+                              *[F.col(c) for c in skip if c in f.columns],
+                              *[F.lit(c in f.columns).alias(f"_has_{c}") for c in cols]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out, {c: f"_has_{c}" for c in cols}

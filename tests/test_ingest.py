@@ -74,3 +74,26 @@ def test_json_order_files(spark, tmp_path):
     assert len(clean) == 1
     assert (clean[0].order_id, clean[0].amount, clean[0].order_created_date) == \
         ("J1", 12.5, dt.datetime(2025, 3, 1, 8, 0))
+
+
+def test_files_with_different_headers_upsert_by_presence(spark, tmp_path):
+    from swatch.operators import merge as mg
+    from swatch.schemas import HEADER_MAP
+    from swatch.sources.files import union_with_presence
+    from swatch.sources.tables import empty_table
+    inv = {v: k for k, v in HEADER_MAP.items()}
+    d1, d2 = tmp_path / "g1", tmp_path / "g2"
+    d1.mkdir(); d2.mkdir()
+    (d1 / "2025-01.csv").write_text(f"{inv['order_id']},{inv['amount']},{inv['quantity']}\nK1,10,3\nK2,20,4\n",
+                                    encoding="utf-8")
+    (d2 / "2025-02.csv").write_text(f"{inv['order_id']},{inv['amount']}\nK1,11\n", encoding="utf-8")
+    raw, _ = union_with_presence([read_order_files(spark, str(d1)), read_order_files(spark, str(d2))])
+    clean = ing.preprocess(raw)
+    present = ing.present_columns(clean)
+    assert present["quantity"] == "_has_quantity"
+    target = empty_table(spark, "original_orders").unionByName(spark.createDataFrame(
+        [(1, "K1", 1.0, 9)], "id long, order_id string, amount double, quantity int"), allowMissingColumns=True)
+    res = mg.upsert(target, clean.drop("_ordinal"), dt.datetime(2026, 1, 1), order="_file", present=present)
+    got = {r.order_id: r for r in res.table.collect()}
+    assert (got["K1"].amount, got["K1"].quantity) == (11.0, 3)   # quantity from the older file
+    assert (got["K2"].amount, got["K2"].quantity) == (20.0, 4)
