@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def customers_by_handler(customers: DataFrame, handler: str | None = None) -> DataFrame:
     """customers of one handler; a blank or null argument returns every customer."""
     if handler:
