@@ -70,3 +70,25 @@ def test_publish_and_append(spark, tmp_path):
     assert snap.read_current(spark, base, "t").count() == 3
     snap.write_csv(ok.table.drop("_action"), str(tmp_path / "csv"), sort_by=["id"])
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
+
+
+def test_checked_broadcast_only_under_the_bound(spark):
+    from swatch.sources.tables import checked_broadcast
+    small = spark.range(10).withColumnRenamed("id", "k")
+    big = spark.range(1000).withColumnRenamed("id", "k")
+    probe = spark.range(1000).withColumnRenamed("id", "k")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hinted = probe.join(checked_broadcast(small, max_rows=100), "k")._jdf.queryExecution().executedPlan().toString()
+        plain = probe.join(checked_broadcast(big, max_rows=100), "k")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "BroadcastHashJoin" in hinted and "BroadcastHashJoin" not in plain
+
+
+def test_scale_conf_bounds():
+    from swatch.session import scale_conf
+    big = scale_conf(100 * 2**40, 8000)
+    assert big["spark.sql.shuffle.partitions"] == "65536"
+    assert big["spark.sql.files.maxPartitionBytes"] == str(256 << 20)
+    assert scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"] == "16"
