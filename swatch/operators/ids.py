@@ -23,23 +23,24 @@ from pyspark.sql import functions as F
 from swatch.session import materialize
 
 
-def next_id(df: DataFrame, id_col: str = "id") -> int:
-    """1 + the largest id in ``df`` (1 when empty): one scalar aggregate."""
-    row = df.agg(F.max(id_col).alias("m")).first()
-    return 1 + (row["m"] if row and row["m"] is not None else 0)
+def next_id(df: DataFrame, id_col: str = "id") -> Column:
+    """1 + the largest id in ``df`` (1 when empty), as a scalar subquery: lazy, planned with the
+    query that uses it, no separate driver round trip."""
+    return F.coalesce(df.agg(F.max(id_col)).scalar(), F.lit(0)).cast("long") + F.lit(1)
 
 
 LOCAL_LIMIT = 200_000
 
 
-def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int = 1, id_col: str = "id",
+def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int | Column = 1, id_col: str = "id",
                num_partitions: int | None = None, local_limit: int = LOCAL_LIMIT) -> DataFrame:
     """Add ``id_col`` = start, start+1, ... following ``order`` (which must be unique per row)."""
     order = list(order)
+    first = start if isinstance(start, Column) else F.lit(start)
     if local_limit and df.limit(local_limit + 1).count() <= local_limit:
         # Bounded by the check above: a single ordered window is safe and needs no materialisation.
         rank = F.row_number().over(Window.orderBy(*order))
-        return df.withColumn(id_col, (F.lit(start - 1) + rank).cast("long"))
+        return df.withColumn(id_col, (first - F.lit(1) + rank).cast("long"))
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order)
@@ -55,5 +56,5 @@ def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int = 1, id_
         F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"))
     out = pos.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(id_col, (F.lit(start) + F.col("_off") + F.col("_pos")).cast("long")).drop(
+    return out.withColumn(id_col, (first + F.col("_off") + F.col("_pos")).cast("long")).drop(
         "_mid", "_pid", "_pos", "_off")
