@@ -21,8 +21,33 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max("ends").cast("long").alias("n_bytes"))
 
 
+def remainder(n: int, id_col: str = "doc_id"):
+    """crc32 of the id as text, modulo ``n``: what deals rows to folds."""
+    return F.crc32(F.col(id_col).cast("string")) % n
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatch.llm.decontaminate import find_contamination
+
+    out = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatch.llm import languages
+
+    docs = table(spark, sf_dir, "documents")
+    model = languages.fit(docs.where(remainder(3) != 1))
+    out = languages.identify(docs, model)
+    return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op4_decontaminate": op4_decontaminate,
+    "op9_language_id": op9_language_id,
 }
 
 SQL: dict[str, str] = {}
