@@ -35,6 +35,16 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatch.llm.secrets import BASE, find_secrets, spell
+
+    out = find_secrets(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.filter("parts", lambda p: p["kind"] == kind)
+    base = F.filter("parts", lambda p: p["kind"].isin(*BASE))
+    return out.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE],
+                      F.sha2(spell(base), 256).alias("base_sha256"), spell(F.col("parts")).alias("spans"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from swatch.llm import languages
 
@@ -47,6 +57,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_decontaminate": op4_decontaminate,
+    "op6_secrets": op6_secrets,
     "op9_language_id": op9_language_id,
 }
 
