@@ -35,6 +35,16 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatch.llm.warc import round_trip
+
+    pages = table(spark, sf_dir, "pages")
+    out = round_trip(pages, payloads=False)
+    kind = pages.schema["page_id"].dataType
+    return out.select(F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                      F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from swatch.llm.secrets import BASE, find_secrets, spell
 
@@ -57,8 +67,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_decontaminate": op4_decontaminate,
+    "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
     "op9_language_id": op9_language_id,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             q AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+             f AS (SELECT payload_digest, min(page_id) AS first FROM q WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM q LEFT JOIN f USING (payload_digest)""",
+}
