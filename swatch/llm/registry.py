@@ -43,6 +43,16 @@ def remainder(n: int, id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % n
 
 
+def op3_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatch.llm import ppm
+
+    docs = table(spark, sf_dir, "documents")
+    counts = ppm.count_corpus(docs.where(remainder(10) != 0))
+    out = ppm.score_documents(docs, counts, ppm.fit(counts))
+    return out.withColumn("held_out", remainder(10) == 0).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from swatch.llm.decontaminate import find_contamination
 
@@ -84,6 +94,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_imatch": op2_imatch,
+    "op3_ppm": op3_ppm,
     "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
