@@ -91,6 +91,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatch.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = labels.where(remainder(4) != 2).select("doc_id", "toxic")
+    model = toxicity.fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    out = toxicity.score_documents(docs, model)
+    return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "score",
+                      F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_imatch": op2_imatch,
@@ -99,6 +110,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
     "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {
