@@ -27,11 +27,12 @@ from pyspark.sql import types as T
 
 from swatch.llm.common import map_rows
 from swatch.llm.languages import _FOLD
+from swatch.llm.ppm import _add_up
 
 SPAN, STEP = 32, 16
 MAX_POSITIVE, MAX_NEGATIVE = 2500, 5000
 HIDDEN, VECTOR, SLOTS, POOL = 8, 6, 1 << 13, 8
-MEMO_WORDS = 300_000
+MEMO_WORDS = 500_000
 THRESHOLD = 0.3
 BLOCK = 4096  # windows computed at once
 
@@ -40,9 +41,24 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").translate(_FOLD).split()
 
 
-def char_grams(word: bytes) -> set[bytes]:
-    w = b"^" + word + b"$"
-    return {w[i:i + n] for n in (4, 5) for i in range(max(1, len(w) - n + 1))}
+def char_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, owners) of the character 4- and 5-grams of bordered words, in order of their words.
+
+    A code holds the bytes of the gram and, above them, its length."""
+    raw = b"".join([b"^" + w + b"$$$" for w in words])
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 4
+    data = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))  # bytes from here to the end of the word
+    code, parts = np.zeros(len(data), np.uint64), []
+    for n in range(5):
+        code[:len(data) - n] |= data[n:] << np.uint64(8 * n)
+        if n >= 3:
+            keep = left > n
+            parts.append((code[keep] | np.uint64((n + 1) << 56), owner[keep]))
+    codes, owners = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(owners, kind="stable")
+    return codes[order], owners[order]
 
 
 def starts_of(n: int) -> list[int]:
@@ -53,38 +69,30 @@ def starts_of(n: int) -> list[int]:
     return out + [n - SPAN]
 
 
-def log_odds(pos: Counter, neg: Counter, n_pos: int, n_neg: int) -> dict[bytes, float]:
-    """Lower bounds (2.5 standard errors) of the log odds of keys in 3 toxic texts at least, where above 0."""
-    out = {}
-    for key, p in pos.items():
-        q = neg.get(key, 0)
-        low = (math.log((p + 0.5) / (n_pos + 1)) - math.log((q + 0.5) / (n_neg + 1))
-               - 2.5 * math.sqrt(1 / (p + 0.5) + 1 / (q + 0.5)))
-        if low > 0 and p > 2:
-            out[key] = low
-    return out
+def log_odds(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Lower bounds (2.5 standard errors) of the log odds of keys in 3 toxic texts at least, else 0."""
+    low = (np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
+           - 2.5 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)))
+    return np.where((pos > 2) & (low > 0), low, 0.0)
 
 
 class Inputs:
-    """Input rows of words; remembers a bounded number of them."""
+    """Input rows of words."""
 
     def __init__(self, model: dict):
-        self.model, self.index = model, {}
-
-    def slots(self, word: bytes) -> tuple[int, list[int]]:
-        grams = char_grams(word)
-        return zlib.crc32(word) % SLOTS, [zlib.crc32(g) % SLOTS for g in grams]
-
-    def odds(self, word: bytes) -> tuple[float, float]:
-        chars = self.model["char_odds"].get
-        return self.model["word_odds"].get(word, 0.0), max((chars(g, 0.0) for g in char_grams(word)), default=0.0)
+        self.words, (self.codes, self.bounds) = model["word_odds"], model["char_odds"]
 
     def rows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(odds, word slot, character slots in a row, owner of each) of distinct words."""
-        odds = np.array([self.odds(w) for w in words], np.float32).reshape(-1, 2)
-        both = [self.slots(w) for w in words]
-        owner = np.repeat(np.arange(len(words)), [len(c) for _, c in both])
-        return odds, np.array([s for s, _ in both], np.int64), np.array([c for _, cs in both for c in cs], np.int64), owner
+        """(odds, word slot, character slots, owner of each) of distinct words."""
+        codes, owner = char_grams(words)
+        odds = np.zeros((len(words), 2), np.float32)
+        odds[:, 0] = [self.words.get(w, 0.0) for w in words]
+        if len(self.codes):
+            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            found = np.where(self.codes[at] == codes, self.bounds[at], 0.0)
+            odds[:, 1] = np.maximum.reduceat(found, np.searchsorted(owner, np.arange(len(words))))
+        slots = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(51)).astype(np.int64) % SLOTS
+        return odds, np.array([zlib.crc32(w) % SLOTS for w in words], np.int64), slots, owner
 
 
 def embed(params: dict, rows) -> np.ndarray:
@@ -200,23 +208,29 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", i
     docs = [words_of(t) for t in texts]
     live = np.array([bool(d) for d in docs], bool) if docs else np.zeros(0, bool)
     docs, ys = [d for d in docs if d], ys[live]
-    model = {"word_odds": {}, "char_odds": {}, "params": None}
+    model = {"word_odds": {}, "char_odds": (np.zeros(0, np.uint64), np.zeros(0, np.float32)), "params": None}
     if not ys.any() or ys.all():
         return model
-    counts = {True: (Counter(), Counter()), False: (Counter(), Counter())}
-    cache: dict[bytes, set[bytes]] = {}
-    for words, y in zip(docs, ys):
-        own, chars = set(words), set()
-        for w in own:
-            if w not in cache:
-                cache[w] = char_grams(w)
-            chars |= cache[w]
-        counts[bool(y)][0].update(own)
-        counts[bool(y)][1].update(chars)
     n_pos, n_neg = int(ys.sum()), int((~ys).sum())
-    model["word_odds"] = log_odds(counts[True][0], counts[False][0], n_pos, n_neg)
-    model["char_odds"] = log_odds(counts[True][1], counts[False][1], n_pos, n_neg)
-    del counts, cache
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    words_in, chars_in = {True: Counter(), False: Counter()}, {True: none, False: none}
+    for y in (True, False):  # each key once a text
+        own = [set(d) for d, label in zip(docs, ys) if bool(label) is y]
+        for at in range(0, len(own), 250):
+            part = [np.unique(char_grams(sorted(ws))[0]) for ws in own[at:at + 250]]
+            chars_in[y] = _add_up(np.concatenate([chars_in[y][0], *part]),
+                                  np.concatenate([chars_in[y][1], np.ones(sum(map(len, part)), np.int64)]))
+            for ws in own[at:at + 250]:
+                words_in[y].update(ws)
+    keys = list(words_in[True])
+    low = log_odds(np.array([words_in[True][w] for w in keys]), np.array([words_in[False][w] for w in keys]), n_pos, n_neg)
+    model["word_odds"] = {w: float(x) for w, x in zip(keys, low) if x > 0}
+    codes, found = chars_in[True]
+    at = np.searchsorted(chars_in[False][0], codes)
+    others = np.append(chars_in[False][1], 0)[at] * (np.append(chars_in[False][0], np.uint64(0))[at] == codes)
+    low = log_odds(found, others, n_pos, n_neg)
+    model["char_odds"] = codes[low > 0], low[low > 0].astype(np.float32)
+    del words_in, chars_in
 
     g = np.random.default_rng(seed)
     params = init(seed)
@@ -294,22 +308,31 @@ class Scorer:
     def __init__(self, model: dict):
         self.model, self.params, self.inputs = model, model["params"], Inputs(model)
         self.index: dict[bytes, int] = {}
-        self.tables: list[np.ndarray] = []
+        self.table = np.zeros((0, 6 * HIDDEN), np.float32)
 
     def _rows(self, words: list[bytes]) -> np.ndarray:
-        """Row of each word in the projection tables, which grow by what is new."""
-        new = [w for w in dict.fromkeys(words) if w not in self.index]
-        if len(self.index) + len(new) > MEMO_WORDS:
-            self.index, self.tables = {}, []
-            new = list(dict.fromkeys(words))
-        if new:
-            x = embed(self.params, self.inputs.rows(new))
-            both = np.concatenate([x @ self.params["Wf"] + self.params["cf"],
-                                   x @ self.params["Wb"] + self.params["cb"]], axis=1)
-            for w in new:
-                self.index[w] = len(self.index)
-            self.tables = [np.concatenate([*self.tables, both])] if len(self.tables) > 8 else [*self.tables, both]
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        """Row of each word in the table of projected inputs, after adding what is new."""
+        get = self.index.get
+        rows = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        missing = np.flatnonzero(rows < 0)
+        if not len(missing):
+            return rows
+        new = list(dict.fromkeys([words[i] for i in missing]))
+        if len(self.index) + len(new) > len(self.table):
+            if self.index:  # begin anew, with what this step needs
+                self.index = {}
+                self.table = self.table[:0]
+                return self._rows(words)
+            self.table = np.empty((max(MEMO_WORDS, len(new)), 6 * HIDDEN), np.float32)
+        for at in range(0, len(new), 20_000):
+            part = new[at:at + 20_000]
+            x = embed(self.params, self.inputs.rows(part))
+            to = len(self.index)
+            self.table[to:to + len(part), :3 * HIDDEN] = x @ self.params["Wf"] + self.params["cf"]
+            self.table[to:to + len(part), 3 * HIDDEN:] = x @ self.params["Wb"] + self.params["cb"]
+            self.index.update(zip(part, range(to, to + len(part))))
+        rows[missing] = [self.index[words[i]] for i in missing]
+        return rows
 
     def score(self, texts: list[str | None]) -> list[list[tuple[int, int, float]]]:
         """Per text, all windows as (first word, end word, score)."""
@@ -318,9 +341,7 @@ class Scorer:
             return [[] for _ in docs]
         words = [w for d in docs for w in d]
         rows = self._rows(words)
-        if len(self.tables) > 1:
-            self.tables = [np.concatenate(self.tables)]
-        table = self.tables[0] if self.tables else np.zeros((1, 6 * HIDDEN), np.float32)
+        table = self.table
         base = np.cumsum([0] + [len(d) for d in docs])
         starts = [starts_of(len(d)) for d in docs]
         owner = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
