@@ -82,6 +82,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(spell(base), 256).alias("base_sha256"), spell(F.col("parts")).alias("spans"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatch.llm.jaccard import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from swatch.llm import languages
 
@@ -109,6 +115,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
+    "op7_jaccard": op7_jaccard,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
 }

@@ -178,9 +178,7 @@ def normalise(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{"file": name, "index": f"{name}.idx", "records": n}], pa.schema(
                     [("file", pa.string()), ("index", pa.string()), ("records", pa.int64())]))
 
-    # One file a task: an archive is inflated as a whole, so files are the unit of work.
-    dealt = files.select("file").repartition("file")
-    return materialize(dealt.mapInArrow(run, "file string, index string, records long"), "warc-members")
+    return materialize(_one_each(files.select("file")).mapInArrow(run, "file string, index string, records long"), "warc-members")
 
 
 RECORD = "page string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
@@ -224,7 +222,13 @@ def read_records(members: DataFrame, payloads: bool = True) -> DataFrame:
                             out, held = [], 0
                 yield pa.RecordBatch.from_pylist(out, arrow)
 
-    return members.select("file", "index").repartition("file").mapInArrow(run, schema)
+    return _one_each(members.select("file", "index")).mapInArrow(run, schema)
+
+
+def _one_each(files: DataFrame) -> DataFrame:
+    """About one file a task.  A file is the unit of work, and the table of names is tiny: without a
+    stated number of partitions adaptive execution would merge them all into one task."""
+    return files.repartition(max(1, files.count()), "file")
 
 
 def _lines(stream):
