@@ -1,6 +1,6 @@
 """Document fingerprints after I-Match.  DataFrame functions only.
 
-* Terms are the distinct lower-cased runs of ASCII letters, digits and anything beyond ASCII.
+* Terms are the distinct runs of ASCII letters, digits and anything beyond ASCII.
 * The lexicon keeps terms within a band of inverse document frequency: document frequency from
   ``low`` to ``high`` of all documents (2 documents at least).  If a document has d distinct terms on average, at
   most d / low terms can reach the lower bound, however large the corpus is: the lexicon does not
@@ -12,7 +12,7 @@
   takes the whole lexicon.  A fingerprint is all of them in hex.
 
 Likeness of two fingerprints: equal signatures over signatures that are not empty in both.  Null
-text is empty; a text without a term of the lexicon gets the hash of its lower-cased text as first
+text is empty; a text without a term of the lexicon gets the hash of its text as first
 signature and no others, so equal texts always have equal fingerprints.
 """
 
@@ -35,7 +35,7 @@ EMPTY = "0" * WIDTH
 
 def _words(text: Column) -> Column:
     """Distinct terms, and always the empty string, which keeps texts without terms in the joins."""
-    return F.array_union(F.split(F.lower(text), SEPARATORS, -1), F.array(F.lit("")))
+    return F.array_union(F.split(text, SEPARATORS, -1), F.array(F.lit("")))
 
 
 def build_lexicon(texts: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
@@ -81,12 +81,15 @@ def fingerprint(df: DataFrame, texts: list[str], lexicon: DataFrame, keys: list[
                            lambda w: F.struct(F.lit(i).alias("side"), w.alias("term")))
 
     words = F.concat(*[sided(i, t) for i, t in enumerate(texts)])
-    plain = [F.xxhash64(F.lower(F.coalesce(F.col(t), F.lit("")))).alias(f"{t}_plain") for t in texts]
+    # Computed below the explode; in the same select it would be worked out anew for every term.
+    for t in texts:
+        df = df.withColumn(f"{t}_plain", F.xxhash64(F.coalesce(F.col(t), F.lit(""))))
+    plain = [f"{t}_plain" for t in texts]
     each = df.select(*keys, *carry, *plain, F.explode(words).alias("w")).select("*", "w.*").drop("w")
     joined = each.join(F.broadcast(lex) if bounded else lex, F.col("term") == F.col("l_term"))
     term = F.struct("h", "mask")
     grouped = joined.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in [*carry, *[f"{t}_plain" for t in texts]]],
+        *[F.first(c).alias(c) for c in [*carry, *plain]],
         *[F.collect_list(F.when((F.col("side") == i) & (F.col("term") != ""), term)).alias(f"{t}_terms")
           for i, t in enumerate(texts)])
     return grouped.select(*keys, *carry, *[_signatures(F.col(f"{t}_terms"), F.col(f"{t}_plain")).alias(f"{t}_fp")
