@@ -33,7 +33,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +46,7 @@ WORDS, PERCENT = 3, 90
 HOT_SHARE = 5e-4  # n-grams of so many documents come last in the order: at most mean set size / share of them
 SMALL, PIVOTS, ROUNDS = 64, 8, 3
 BLOCK, CHUNK = 128, 512
+ROWS_A_GROUP = 4000
 BROADCAST_IDS = 4_000_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -136,19 +137,16 @@ def _points(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, h
     return materialize(map_rows(slim, run, schema), "jaccard-points")
 
 
-def groups(batches, keys: int):
-    """Runs of rows with equal first ``keys`` columns, across Arrow batches, as lists of rows."""
-    own, last = [], None
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for row in zip(*columns):
-            if row[:keys] != last:
-                if own:
-                    yield own
-                own, last = [], row[:keys]
-            own.append(row)
-    if own:
-        yield own
+def runs(table: pa.Table, keys: int):
+    """Rows of ``table`` by equal first ``keys`` columns, as lists of tuples."""
+    own: dict[tuple, list] = {}
+    for row in zip(*[c.to_pylist() for c in table.columns]):
+        own.setdefault(row[:keys], []).append(row)
+    return own.values()
+
+
+def pair_table(pairs: list[tuple]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
 
 
 def candidate_pairs(rows: list, percent: int) -> list[tuple]:
@@ -245,7 +243,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        percent: int = PERCENT, hot_share: float = HOT_SHARE) -> DataFrame:
     """Per row: ``id_col``, ``n_shingles``, ``component_id``: the smallest id reachable by links of
     100 * intersection >= percent * union."""
-    spark = docs.sparkSession
     hot = hot_grams(docs, text_col, n, hot_share)
     points = _points(docs, id_col, text_col, n, percent, hot)
     # One point per distinct set; its name is the key of the set.
@@ -262,21 +259,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.bit_xor(F.xxhash64("point")).alias("sig")).where("m > 1 AND home > 0"))
     regions = materialize(regions, "jaccard-regions")
     small = regions.where(F.col("m") <= SMALL).select("token", "cls")
+    total = regions.where(F.col("m") <= SMALL).agg(F.sum("m")).first()[0] or 0
+    deal = max(1, -(-int(total) // ROWS_A_GROUP))  # regions go to groups of about so many rows
     rows = (entries.join(small, ["token", "cls"]).select("token", "cls", "point")
-            .join(home, "point").select("token", "cls", "point", "n", "own", "prefix")
-            .repartition("token", "cls").sortWithinPartitions("token", "cls"))
-    pair_schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+            .join(home, "point")
+            .select(F.pmod(F.xxhash64("token", "cls"), F.lit(deal)).alias("deal"), "token", "cls", "point", "n", "own", "prefix"))
 
-    def search(batches):
+    def search(dealt: pa.Table) -> pa.Table:
         out = []
-        for region in groups(batches, 2):
+        for region in runs(dealt.drop_columns("deal"), 2):
             out += candidate_pairs(region, percent)
-            if len(out) > 50_000:
-                yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], pair_schema)
-                out = []
-        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], pair_schema)
+        return pair_table(out)
 
-    pairs = materialize(rows.mapInArrow(search, "a binary, b binary"), "jaccard-pairs")
+    pairs = materialize(rows.groupBy("deal").applyInArrow(search, "a binary, b binary"), "jaccard-pairs")
 
     # Large regions; tokens with the same points are one region.
     large = regions.where(F.col("m") > SMALL)
@@ -296,23 +291,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             # One point of each of the PIVOTS largest parts of a region, by a hash of the round.
             parts = now.groupBy("region", "label").agg(
                 F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64(F.lit(turn), "point"), "point")).alias("p"))
-            top = (parts.groupBy("region").agg(F.slice(F.sort_array(F.collect_list(
-                F.struct("m", F.col("p.point").alias("point"))), asc=False), 1, PIVOTS).alias("top"))
-                if turn else parts.groupBy("region").agg(F.slice(F.sort_array(F.collect_list(
-                    F.struct("m", F.col("p.point").alias("point"))), asc=False), 1, PIVOTS).alias("top")))
-            pivots = top.select("region", F.explode("top.point").alias("pivot"))
-            new = (now.join(pivots.join(now.select("region", F.col("point").alias("pivot"), F.col("label").alias("l")),
-                                        ["region", "pivot"]), "region").where("label <> l AND point <> pivot")
+            rank = F.row_number().over(Window.partitionBy("region").orderBy(F.desc("m"), "p"))
+            pivots = materialize(parts.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select(
+                "region", F.col("p.point").alias("pivot"), F.col("label").alias("l")), "jaccard-pivots")
+            new = (now.join(pivots, "region").where("label <> l AND point <> pivot")
                    .select(F.least("point", "pivot").alias("a"), F.greatest("point", "pivot").alias("b")).distinct())
             links = materialize(links.union(_verify(new, sets, percent)).distinct(), "jaccard-links")
         now = materialize(_labelled(members, links), "jaccard-labels")
         main = (now.groupBy("region", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("region")
-                .agg(F.max(F.struct("m", "label")).alias("main"), F.sum("m").alias("size")))
-        placed = now.join(main, "region").select("region", "point", "label", "size",
-                                                 (F.col("label") != F.col("main.label")).alias("outside"))
-        outer = placed.where("outside")
-        blocks = outer.groupBy("region").agg((F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
-        spread = placed.join(blocks, "region")
+                .agg(F.max(F.struct("m", "label")).alias("main"), F.sum("m").alias("size"))
+                .where("main.m < size")
+                .select("region", "size", F.col("main.label").alias("main"),
+                        F.ceil((F.col("size") - F.col("main.m")) / BLOCK).cast("int").alias("blocks")))
+        spread = now.join(materialize(main, "jaccard-main"), "region").withColumn(
+            "outside", F.col("label") != F.col("main"))
         chunks = F.ceil(F.col("size") / CHUNK).cast("int")
         block_of = F.pmod(F.xxhash64(F.lit("b"), "point"), F.col("blocks")).cast("int")
         chunk_of = F.pmod(F.xxhash64(F.lit("c"), "point"), chunks).cast("int")
@@ -321,15 +313,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                                                     F.lit(0).alias("role"), "point", "label")
         inner_rows = spread.select("region", numbers(F.col("blocks")).alias("block"), chunk_of.alias("chunk"),
                                    F.lit(1).alias("role"), "point", "label")
-        blocks_in = (outer_rows.union(inner_rows).join(sets, "point")
-                     .select("region", "block", "chunk", "role", "point", "label", "grams")
-                     .repartition("region", "block", "chunk").sortWithinPartitions("region", "block", "chunk"))
+        blocks_in = outer_rows.union(inner_rows).join(sets, "point").select(
+            "region", "block", "chunk", "role", "point", "label", "grams")
 
-        def compare(batches):
-            for block in groups(batches, 3):
-                yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in _cross(block, percent)], pair_schema)
+        def compare(block: pa.Table) -> pa.Table:
+            return pair_table(_cross(list(zip(*[c.to_pylist() for c in block.columns])), percent))
 
-        links = materialize(links.union(blocks_in.mapInArrow(compare, "a binary, b binary")), "jaccard-links")
+        found = blocks_in.groupBy("region", "block", "chunk").applyInArrow(compare, "a binary, b binary")
+        links = materialize(links.union(found), "jaccard-links")
     # Components over the smallest ids of the points.
     names = reps.select(F.col("key").alias("point"), "rep")
     by_id = (links.join(names.withColumnRenamed("point", "a").withColumnRenamed("rep", "ia"), "a")
