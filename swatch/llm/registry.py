@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from swatch.llm.common import table
 
 
@@ -108,7 +109,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_sentencepiece": op1_sentencepiece,
     "op2_imatch": op2_imatch,
     "op3_ppm": op3_ppm,
