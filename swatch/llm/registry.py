@@ -89,6 +89,14 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatch.llm.repeats import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from swatch.llm import languages
 
@@ -122,6 +130,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_secrets": op6_secrets,
     "op7_jaccard": op7_jaccard,
+    "op8_repeats": op8_repeats,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
 }
