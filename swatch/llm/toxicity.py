@@ -30,7 +30,7 @@ from swatch.llm.languages import _FOLD
 from swatch.llm.ppm import _add_up
 
 SPAN, STEP = 32, 16
-MAX_POSITIVE, MAX_NEGATIVE = 2500, 5000
+MAX_POSITIVE, MAX_NEGATIVE = 900, 1800
 HIDDEN, VECTOR, SLOTS, POOL = 8, 6, 1 << 13, 8
 MEMO_WORDS = 500_000
 THRESHOLD = 0.3
