@@ -18,7 +18,6 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,10 +26,9 @@ from pyspark.sql import types as T
 
 from swatch.llm.common import map_rows
 from swatch.llm.languages import _FOLD
-from swatch.llm.ppm import _add_up
 
 SPAN, STEP = 32, 16
-MAX_POSITIVE, MAX_NEGATIVE = 900, 1800
+MAX_POSITIVE, MAX_NEGATIVE = 1000, 4000
 HIDDEN, VECTOR, SLOTS, POOL = 8, 6, 1 << 13, 8
 MEMO_WORDS = 500_000
 THRESHOLD = 0.3
@@ -203,59 +201,64 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", i
         F.lit(int(min(1.0, MAX_NEGATIVE / max(1, sizes.get(False, 0))) * (1 << 30))))
     picked = rows.where(F.pmod(F.xxhash64(F.lit("toxicity"), "id"), F.lit(1 << 30)) < cut).toArrow()
     order = np.argsort(picked.column("id").to_pylist(), kind="stable")  # the result does not depend on the order of tasks
-    texts, ys = picked.column("text").to_pylist(), np.array(picked.column("y").to_pylist(), bool)
-    texts, ys = [texts[i] for i in order], ys[order]
-    docs = [words_of(t) for t in texts]
-    live = np.array([bool(d) for d in docs], bool) if docs else np.zeros(0, bool)
-    docs, ys = [d for d in docs if d], ys[live]
+    column, labels = picked.column("text"), picked.column("y").to_pylist()
+    vocabulary: dict[bytes, int] = {}
+    ids, ys = [], []
+    for i in order.tolist():
+        words = words_of(column[i].as_py())
+        if words:
+            ids.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32))
+            ys.append(labels[i])
+    ys = np.array(ys, bool)
     model = {"word_odds": {}, "char_odds": (np.zeros(0, np.uint64), np.zeros(0, np.float32)), "params": None}
     if not ys.any() or ys.all():
         return model
+    names = list(vocabulary)
+    del picked, column, vocabulary
     n_pos, n_neg = int(ys.sum()), int((~ys).sum())
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    words_in, chars_in = {True: Counter(), False: Counter()}, {True: none, False: none}
-    for y in (True, False):  # each key once a text
-        own = [set(d) for d, label in zip(docs, ys) if bool(label) is y]
-        for at in range(0, len(own), 250):
-            part = [np.unique(char_grams(sorted(ws))[0]) for ws in own[at:at + 250]]
-            chars_in[y] = _add_up(np.concatenate([chars_in[y][0], *part]),
-                                  np.concatenate([chars_in[y][1], np.ones(sum(map(len, part)), np.int64)]))
-            for ws in own[at:at + 250]:
-                words_in[y].update(ws)
-    keys = list(words_in[True])
-    low = log_odds(np.array([words_in[True][w] for w in keys]), np.array([words_in[False][w] for w in keys]), n_pos, n_neg)
-    model["word_odds"] = {w: float(x) for w, x in zip(keys, low) if x > 0}
-    codes, found = chars_in[True]
-    at = np.searchsorted(chars_in[False][0], codes)
-    others = np.append(chars_in[False][1], 0)[at] * (np.append(chars_in[False][0], np.uint64(0))[at] == codes)
-    low = log_odds(found, others, n_pos, n_neg)
-    model["char_odds"] = codes[low > 0], low[low > 0].astype(np.float32)
-    del words_in, chars_in
+    codes, owner = (np.concatenate(x) for x in zip(*[
+        (c, o.astype(np.int32) + at) for at in range(0, len(names), 50_000) for c, o in [char_grams(names[at:at + 50_000])]]))
+    char_first = np.searchsorted(owner, np.arange(len(names) + 1))
+    kinds, code_of = np.unique(codes, return_inverse=True)
+    code_of = code_of.astype(np.int32)
+    del codes, owner
+    in_words, in_chars = np.zeros((2, len(names)), np.int32), np.zeros((2, len(kinds)), np.int32)
+    for own, y in zip(ids, ys):  # each key once a text
+        words = np.unique(own)
+        in_words[int(y), words] += 1
+        in_chars[int(y), np.unique(np.concatenate([code_of[char_first[w]:char_first[w + 1]] for w in words]))] += 1
+    low = log_odds(in_words[1], in_words[0], n_pos, n_neg)
+    model["word_odds"] = {names[i]: float(low[i]) for i in np.flatnonzero(low)}
+    low = log_odds(in_chars[1], in_chars[0], n_pos, n_neg)
+    model["char_odds"] = kinds[low > 0], low[low > 0].astype(np.float32)
+    del code_of, kinds, in_chars, in_words
 
     g = np.random.default_rng(seed)
     params = init(seed)
     inputs = Inputs(model)
-    vocabulary: dict[bytes, int] = {}
-    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in d]) for d in docs]
-    feats = inputs.rows(list(vocabulary))
-    char_first = np.searchsorted(feats[3], np.arange(len(vocabulary) + 1))
-    owner = np.array([i for i, d in enumerate(docs) for _ in starts_of(len(d))])
-    starts = np.array([s for d in docs for s in starts_of(len(d))])
+    parts = [inputs.rows(names[at:at + 50_000]) for at in range(0, len(names), 50_000)]
+    feats = (np.concatenate([f[0] for f in parts]), np.concatenate([f[1] for f in parts]),
+             np.concatenate([f[2].astype(np.int16) for f in parts]),
+             np.repeat(np.arange(len(names), dtype=np.int32), np.diff(char_first)))
+    del parts
+    owner = np.array([i for i, d in enumerate(ids) for _ in starts_of(len(d))])
+    starts = np.array([s for d in ids for s in starts_of(len(d))])
     flat = np.concatenate(ids)
-    base = np.cumsum([0] + [len(d) for d in docs])
-    lens = np.minimum(SPAN, np.array([len(d) for d in docs]))[owner]
+    base = np.cumsum([0] + [len(d) for d in ids])
+    lens = np.minimum(SPAN, np.array([len(d) for d in ids]))[owner]
     where = np.minimum(starts[:, None] + np.arange(SPAN), starts[:, None] + lens[:, None] - 1) + base[owner][:, None]
     windows, masks = flat[where], np.arange(SPAN)[None, :] < lens[:, None]
-    strength = np.where(masks, feats[0].sum(1)[windows], 0).max(1)
+    del where, flat
+    strength = np.where(masks, feats[0].sum(1)[windows], np.float32(0)).max(1)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
     step = 0
     for turn in range(rounds):
         if turn:
-            strength = _score_windows(params, embed(params, feats), windows, masks)
+            strength = _score_windows(params, table_of(params, feats), windows, masks)
         # The best window of each document, and of the others one more at random.
         best = np.lexsort((strength, owner))
         last = best[np.flatnonzero(np.append(owner[best][1:] != owner[best][:-1], True))]
-        extra = g.choice(len(owner), size=min(len(owner), 2 * len(docs)), replace=False)
+        extra = g.choice(len(owner), size=min(len(owner), 2 * len(ids)), replace=False)
         chosen = np.unique(np.concatenate([last, extra[~ys[owner[extra]]]]))
         y = ys[owner[chosen]].astype(np.float32)
         weight = np.where(y > 0, min(10.0, (len(y) - y.sum()) / max(1.0, y.sum())) ** 0.5, 1.0).astype(np.float32)
@@ -292,6 +295,17 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", i
     return model
 
 
+def table_of(params: dict, feats) -> np.ndarray:
+    """Input rows of all words of ``Inputs.rows``, some at a time."""
+    first = np.searchsorted(feats[3], np.arange(len(feats[0]) + 1))
+    out = []
+    for at in range(0, len(feats[0]), 50_000):
+        to = min(len(feats[0]), at + 50_000)
+        a, b = first[at], first[to]
+        out.append(embed(params, (feats[0][at:to], feats[1][at:to], feats[2][a:b], feats[3][a:b] - at)))
+    return np.concatenate(out)
+
+
 def _score_windows(params: dict, table: np.ndarray, windows: np.ndarray, masks: np.ndarray) -> np.ndarray:
     """Probability per window; ``windows`` holds rows of ``table``."""
     pf, pb = table @ params["Wf"] + params["cf"], table @ params["Wb"] + params["cb"]
