@@ -28,6 +28,7 @@ RATES = [4, 16, 48, 128, 320, 800, 2000]
 PER_RATE = 9  # 63 subsets fit the bits of a long
 SUBSETS = len(RATES) * PER_RATE
 BROADCAST_TERMS = 2_000_000
+QUANTILES, BUCKET = 256, 1024  # the first a power of two
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WIDTH = 6  # hex digits of a signature
 EMPTY = "0" * WIDTH
@@ -72,28 +73,33 @@ def _signatures(terms: Column, fallback: Column) -> Column:
 def fingerprint(df: DataFrame, texts: list[str], lexicon: DataFrame, keys: list[str],
                 carry: list[str]) -> DataFrame:
     """Fingerprints ``<name>_fp`` of the text columns ``texts``; one row per value of ``keys``, which
-    must tell rows apart, with the columns ``carry``."""
+    must tell rows apart, with the columns ``carry``.
+
+    Terms are exploded in place and grouped by the keys again, without a shuffle if ``df`` is already
+    partitioned by a part of them.  Carried columns ride on the one empty term of a row only."""
     lex = lexicon.select(F.col("term").alias("l_term"), "h", "mask")
     bounded = lexicon.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     lex = lex.unionByName(df.sparkSession.sql("SELECT '' AS l_term, 0L AS h, 0L AS mask"))
+    plain = [f"{t}_plain" for t in texts]
+    # Computed below the explode; in the same select they would be worked out anew for every term.
+    for t in texts:
+        df = df.withColumn(f"{t}_plain", F.xxhash64(F.coalesce(F.col(t), F.lit(""))))
+    df = df.withColumn("meta", F.struct(*carry, *plain))
+
     def sided(i: int, t: str) -> Column:
-        return F.transform(_words(F.coalesce(F.col(t), F.lit(""))),
-                           lambda w: F.struct(F.lit(i).alias("side"), w.alias("term")))
+        return F.transform(_words(F.coalesce(F.col(t), F.lit(""))), lambda w: F.struct(
+            F.lit(i).alias("side"), w.alias("term"), F.when((w == "") & F.lit(i == 0), F.col("meta")).alias("meta")))
 
     words = F.concat(*[sided(i, t) for i, t in enumerate(texts)])
-    # Computed below the explode; in the same select it would be worked out anew for every term.
-    for t in texts:
-        df = df.withColumn(f"{t}_plain", F.xxhash64(F.coalesce(F.col(t), F.lit(""))))
-    plain = [f"{t}_plain" for t in texts]
-    each = df.select(*keys, *carry, *plain, F.explode(words).alias("w")).select("*", "w.*").drop("w")
+    each = df.select(*keys, F.explode(words).alias("w")).select(*keys, "w.*")
     joined = each.join(F.broadcast(lex) if bounded else lex, F.col("term") == F.col("l_term"))
     term = F.struct("h", "mask")
     grouped = joined.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in [*carry, *plain]],
+        F.first("meta", ignorenulls=True).alias("meta"),
         *[F.collect_list(F.when((F.col("side") == i) & (F.col("term") != ""), term)).alias(f"{t}_terms")
           for i, t in enumerate(texts)])
-    return grouped.select(*keys, *carry, *[_signatures(F.col(f"{t}_terms"), F.col(f"{t}_plain")).alias(f"{t}_fp")
-                                           for t in texts])
+    return grouped.select(*keys, "meta.*", *[f"{t}_terms" for t in texts]).select(
+        *keys, *carry, *[_signatures(F.col(f"{t}_terms"), F.col(f"{t}_plain")).alias(f"{t}_fp") for t in texts])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -105,45 +111,79 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(some) == 0, (a == b).cast("double")).otherwise(F.size(same) / F.size(some))
 
 
-def next_ids(docs: DataFrame, id_col: str) -> DataFrame:
-    """(id, next_id) over the distinct ids in ascending order; the first follows the last.
-
-    Ids alone are range partitioned and written once; within a partition the next id comes from a
-    window, at its end from the first id of the next partition (one row per partition).
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """Adds ``bucket``, a struct that orders like ``doc_id`` and holds about ``BUCKET`` rows: quantiles of the ids
+    (a bounded number, found by binary search), each cut into parts of equal width."""
+    n = rows.count()
+    points = [(i + 1) / QUANTILES for i in range(QUANTILES - 1)]
+    found = rows.agg(F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", points, 10_000)).first()
+    if found[0] is None:
+        return rows.withColumn("bucket", F.struct(F.lit(-1).alias("q"), F.lit(0).cast("long").alias("part")))
+    low, high = found[0], found[1]
+    cuts = (found[2] + [high + 1] * QUANTILES)[:QUANTILES - 1]
+    bounds = F.array(*[F.lit(x).cast("long") for x in cuts])
+    edges = F.array(*[F.lit(x).cast("long") for x in [low, *cuts, high + 1]])
+    # Number of bounds at or below the id.
+    search = F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(QUANTILES.bit_length() - 1))]), F.lit(0), lambda at, step: F.when(
+        F.element_at(bounds, at + step) <= F.col("doc_id"), at + step).otherwise(at))
+    parts = max(1, n // (QUANTILES * BUCKET))
+    out = rows.withColumn("q", F.coalesce(F.when(F.col("doc_id").isNotNull(), search), F.lit(-1)))
+    if parts == 1:
+        part = F.lit(0).cast("long")
+    else:
+        lo, hi = F.element_at(edges, F.col("q") + 1), F.element_at(edges, F.col("q") + 2)
+        share = (F.col("doc_id") - lo).cast("double") / F.greatest(hi - lo, F.lit(1).cast("long"))
+        part = F.when(F.col("q") < 0, F.lit(0).cast("long")).otherwise(F.least(F.floor(share * parts), F.lit(parts - 1).cast("long")))
+    return out.withColumn("bucket", F.struct("q", part.alias("part"))).drop("q")
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows ``bucket, wrap, doc_id, row, text, halo``: documents dealt to buckets of neighbouring ids, and the rows of
+    the first id of each bucket once more (``halo``) in the bucket before, so that each row finds the next one beside it.
+
+    The last bucket gets the very first row, after all others (``wrap``).  Rows with one id follow in the
+    order of the input, null ids come first, in one bucket.  Texts are shuffled once; the first ids (one
+    per bucket) are broadcast below a checked count.
     """
-    ids = docs.select(F.col(id_col).alias("id")).where("id is not null").distinct()
-    dealt = materialize(ids.repartitionByRange("id").withColumn("part", F.spark_partition_id()), "imatch-ids")
-    heads = dealt.groupBy("part").agg(F.min("id").alias("head"))
-    order = Window.orderBy("part")  # over one row per partition
-    heads = heads.select("part", F.coalesce(F.lead("head").over(order), F.min("head").over(
-        order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    inside = dealt.withColumn("next_id", F.lead("id").over(Window.partitionBy("part").orderBy("id")))
-    return inside.join(heads, "part").select("id", F.coalesce("next_id", "after").alias("next_id"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"),
+                       F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = _bucketed(rows)
+    order = Window.orderBy("bucket")  # over one row per bucket
+    firsts = rows.groupBy("bucket").agg(F.min("doc_id").alias("first_id"))
+    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = materialize(firsts.select(
+        "first_id", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(everything)).alias("before"),
+        F.lag("bucket").over(order).isNull().alias("wraps")), "imatch-firsts")
+    small = firsts.count() <= BROADCAST_TERMS
+    marked = rows.join(F.broadcast(firsts) if small else firsts, F.col("doc_id").eqNullSafe(F.col("first_id")), "left")
+    own = F.struct("bucket", F.lit(False).alias("halo"), F.lit(False).alias("wrap"))
+    halo = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("halo"), F.col("wraps").alias("wrap"))
+    copies = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, halo))
+    return marked.select("row", "doc_id", "text", F.explode(copies).alias("c")).select("c.*", "row", "doc_id", "text")
 
 
-def half_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``key, row, doc_id, next_id, text, edited``: the last floor(n / 2) of n code points are
-    replaced by the first as many, or all, of the next document.
+NEXT = ["wrap", "halo", "doc_id", "row"]
 
-    Texts are shuffled once, by id, for both uses (the two exchanges are the same and one is reused);
-    beside that only the needed beginning of the next text travels to its predecessor.  Of rows with
-    one id, the smallest beginning stands for that id as a next document; a row with a null id has
-    no next one and only loses its second half.
-    """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias("doc_id"),
-                       F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    # Never null, so that no filter tells the two uses of the exchange apart; "" is a null id.
-    rows = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+def half_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``with_next`` with ``edited``: the last floor(n / 2) of n code points are replaced by the first as many,
+    or all, of the next document."""
+    rows = with_next(docs, id_col, text_col)
+    after = F.lead("text").over(Window.partitionBy("bucket").orderBy(*NEXT))
     half = F.floor(F.length("text") / 2).cast("int")
-    after = next_ids(docs, id_col)
-    sizes = docs.select(docs[id_col].alias("to"), F.length(docs[text_col]).alias("n")).groupBy("to").agg(
-        F.floor(F.max(F.coalesce("n", F.lit(0))) / 2).cast("int").alias("need"))
-    need = sizes.join(after, F.col("to") == F.col("id")).select(
-        F.col("next_id").cast("string").alias("next_key"), F.col("next_id"), F.col("to").cast("string").alias("to"), "need")
-    head = F.struct(F.substring("text", F.lit(1), F.col("need")).alias("head"), "row")
-    heads = (rows.join(need, F.col("key") == F.col("next_key"))
-             .groupBy("to", "next_id").agg(F.min(head).alias("first")))
-    both = rows.join(heads, F.col("key") == F.col("to"), "left")
     kept = F.substring("text", F.lit(1), F.length("text") - half)
-    edited = F.concat(kept, F.substring(F.coalesce("first.head", F.lit("")), F.lit(1), half))
-    return both.select("key", "row", "doc_id", "next_id", "text", edited.alias("edited"))
+    return rows.withColumn("after", after).withColumn(
+        "edited", F.concat(kept, F.substring(F.coalesce("after", F.lit("")), F.lit(1), half))).drop("after")
+
+
+def compare_with_edit(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``doc_id, n_chars, edited_sha256``, the fingerprints ``text_fp``, ``edited_fp`` and that of the next
+    document, ``next_fp``.  One shuffle of the texts, by bucket, serves windows and grouping."""
+    pairs = (half_edited(docs, id_col, text_col).withColumn("n_chars", F.length("text").cast("long"))
+             .withColumn("edited_sha256", F.sha2("edited", 256)))
+    # Buckets are small: a task keeps the groups of some of them, more fall back to sorting.
+    docs.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(2 * BUCKET))
+    prints = fingerprint(pairs, ["text", "edited"], lexicon, ["bucket", *NEXT], ["n_chars", "edited_sha256"])
+    following = F.lead("text_fp").over(Window.partitionBy("bucket").orderBy(*NEXT))
+    return prints.withColumn("next_fp", following).where(~F.col("halo")).select(
+        F.col("doc_id").alias(id_col), "n_chars", "edited_sha256", "text_fp", "edited_fp", "next_fp")

@@ -24,19 +24,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from swatch.llm import imatch
-    from swatch.session import materialize
 
     docs = table(spark, sf_dir, "documents")
-    pairs = (imatch.half_edited(docs).withColumn("n_chars", F.length("text").cast("long"))
-             .withColumn("edited_sha256", F.sha2("edited", 256)))
-    prints = materialize(imatch.fingerprint(pairs, ["text", "edited"], imatch.build_lexicon(docs), ["key", "row"],
-                                            ["doc_id", "next_id", "n_chars", "edited_sha256"]), "imatch-prints")
-    nexts = prints.groupBy(F.col("doc_id").alias("id")).agg(F.min("text_fp").alias("next_fp"))
-    out = prints.join(nexts, F.col("next_id") == F.col("id"), "left")
+    out = imatch.compare_with_edit(docs, imatch.build_lexicon(docs))
     return out.select("doc_id", "n_chars", "edited_sha256", F.col("text_fp").alias("fingerprint"),
                       F.col("edited_fp").alias("edited_fingerprint"),
                       imatch.likeness(F.col("text_fp"), F.col("edited_fp")).alias("near_edited"),
-                      F.coalesce(imatch.likeness(F.col("text_fp"), F.col("next_fp")), F.lit(0.0)).alias("near_next"))
+                      imatch.likeness(F.col("text_fp"), F.col("next_fp")).alias("near_next"))
 
 
 def remainder(n: int, id_col: str = "doc_id"):

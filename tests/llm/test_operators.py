@@ -18,23 +18,28 @@ def by_id(df, key="doc_id"):
 
 # ---- fingerprints ---------------------------------------------------------------------------------
 def test_imatch(spark, odd, none):
-    rows = imatch.half_edited(odd)
-    prints = imatch.fingerprint(rows, ["text", "edited"], imatch.build_lexicon(odd), ["key", "row"], ["doc_id"])
-    got = prints.collect()
-    assert len(got) == 10
-    prints_of = collections.defaultdict(set)
-    texts = {r.row: r for r in rows.collect()}
+    got = imatch.compare_with_edit(odd, imatch.build_lexicon(odd)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3, 4, 5, 5, 6, 7, 8, 9]
+    prints = collections.defaultdict(set)
     for r in got:
-        prints_of[texts[r.row].text].add(r.text_fp)
-    assert all(len(v) == 1 for v in prints_of.values())
-    assert imatch.half_edited(none).count() == 0
-
-
-def test_imatch_edit(spark):
-    d = spark.createDataFrame([(10, "abcde"), (3, "xy"), (7, "é1234567")], "doc_id long, text string")
-    got = by_id(imatch.half_edited(d))
-    assert (got[3].edited, got[7].edited, got[10].edited) == ("xé", "é123abcd", "abcxy")
-    one = imatch.half_edited(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).first()
+        prints[r.doc_id].add(r.text_fp)
+    assert prints[5] == prints[9] and prints[1] == prints[2] and len(prints[5]) == 1
+    assert imatch.compare_with_edit(none, imatch.build_lexicon(none)).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [1, 2, 1024])
+def test_imatch_edit(spark, monkeypatch, bucket):
+    monkeypatch.setattr(imatch, "BUCKET", bucket)
+    monkeypatch.setattr(imatch, "QUANTILES", 4)
+    rng = random.Random(bucket)
+    texts = {i: "".join(rng.choice("abcdé") for _ in range(rng.randrange(9))) for i in rng.sample(range(-50, 10**12), 20) + [3, 4, 5]}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = by_id(imatch.half_edited(d).where("NOT halo"))
+    ids = sorted(texts)
+    for i, after in zip(ids, ids[1:] + ids[:1]):
+        h = len(texts[i]) // 2
+        assert got[i].edited == texts[i][:len(texts[i]) - h] + texts[after][:h]
+    one = imatch.half_edited(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).where("NOT halo").first()
     assert one.edited == "abab"
 
 
