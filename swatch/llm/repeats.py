@@ -239,23 +239,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = starts.groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     copies = (texts.select("key", F.octet_length("text").alias("n")).where(F.col("n") >= length)
               .groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"))
-    removed = materialize(ranges.join(copies, "key", "full").select("key", "ranges", F.col("copies").isNotNull().alias("whole")),
-                          "repeat-removed")
-    items = removed.agg(F.sum(F.coalesce(F.size("ranges"), F.lit(0)) + 1)).first()[0] or 0
-    both = texts.join(_side(removed, items), "key", "left").select("id", "text", "ranges", "whole")
+    marked = ranges.join(copies, "key", "full").select("key", "ranges", F.col("copies").isNotNull().alias("whole"))
+
+    def merge(keys, parts, wholes):
+        """Maximal byte spans of the ranges of starts, so that little is left to join with the texts."""
+        out = []
+        for own, all_ in zip(parts, wholes):
+            merged: list[dict] = []
+            for lo, hi in [] if all_ else sorted((p["lo"], p["hi"] - 1 + length) for p in own):
+                if merged and lo <= merged[-1]["end"]:
+                    merged[-1]["end"] = max(merged[-1]["end"], hi)
+                else:
+                    merged.append({"begin": lo, "end": hi})
+            out.append(merged)
+        return [keys, out, wholes]
+
+    removed = materialize(map_rows(marked, merge, T.StructType.fromDDL(
+        "key binary, spans array<struct<begin:int,end:int>>, whole boolean")), "repeat-removed")
+    items = removed.agg(F.sum(F.size("spans") + 1)).first()[0] or 0
+    both = texts.join(_side(removed, items), "key", "left").select("id", "text", "spans", "whole")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *T.StructType.fromDDL(
         "n_bytes long, n_removed long, spans array<struct<begin:int,end:int>>, kept binary").fields])
 
-    def apply(ids, own, ranges_, wholes):
+    def apply(ids, own, found_, wholes):
         sizes, gone, spans, kept = [], [], [], []
-        for text, parts, all_ in zip(own, ranges_, wholes):
+        for text, parts, all_ in zip(own, found_, wholes):
             data = text.encode("utf-8")
-            merged: list[list[int]] = [[0, len(data)]] if all_ else []
-            for lo, hi in [] if all_ else sorted((p["lo"], p["hi"] - 1 + length) for p in parts or []):
-                if merged and lo <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], hi)
-                else:
-                    merged.append([lo, hi])
+            merged = [(0, len(data))] if all_ else [(p["begin"], p["end"]) for p in parts or []]
             edge = [0, *[x for m in merged for x in m], len(data)]
             rest = b"".join(data[a:b] for a, b in zip(edge[::2], edge[1::2]))
             sizes.append(len(data)), gone.append(len(data) - len(rest)), kept.append(rest)
