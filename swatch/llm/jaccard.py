@@ -251,8 +251,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ratio = math.log(100 / percent)
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio)).cast("int")
     home = reps.select(F.col("key").alias("point"), "n", own.alias("own"), "prefix")
-    entries = (home.select("point", "own", F.explode("prefix").alias("token"))
-               .select("point", "own", "token", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("cls")))
+    # N-grams first of one point only make no region.  What is left is small beside the prefixes: the
+    # repeated n-grams are broadcast below a checked count, so that the prefixes are not shuffled again.
+    tokens = materialize(home.select(F.explode("prefix").alias("token")).groupBy("token").agg(
+        F.count(F.lit(1)).alias("m")).where("m > 1").select("token"), "jaccard-tokens")
+    small = tokens.count() <= BROADCAST_IDS
+    entries = materialize(home.select("point", "own", F.explode("prefix").alias("token")).join(
+        F.broadcast(tokens) if small else tokens, "token"), "jaccard-entries")
+    entries = entries.select("point", "own", "token", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("cls"))
     # Points in a region by its size class: at least one of them must be at home in the class.
     regions = (entries.groupBy("token", "cls").agg(
         F.count(F.lit(1)).alias("m"), F.sum((F.col("own") == F.col("cls")).cast("int")).alias("home"),
