@@ -55,19 +55,20 @@ def build_lexicon(texts: DataFrame, text_col: str = "text", low: float = LOW, hi
 
 
 def _signatures(terms: Column, fallback: Column) -> Column:
-    """Fingerprint of an array of ``struct<h, mask>``."""
-    ordered = F.array_sort(F.array_distinct(terms))
-
-    def signature(r: Column) -> Column:
-        own = F.transform(F.filter(ordered, lambda t: F.bit_get(t["mask"], r) == 1),
-                          lambda t: t["h"])
-        return F.when(F.size(own) > 0, F.right(F.concat(F.lit(EMPTY), F.lower(F.hex(F.xxhash64(own)))), F.lit(WIDTH))
-                      ).otherwise(F.lit(EMPTY))
-
-    whole = F.when(F.size(ordered) > 0, F.xxhash64(F.transform(ordered, lambda t: t["h"]))).otherwise(fallback)
-    first = F.right(F.concat(F.lit(EMPTY), F.lower(F.hex(whole))), F.lit(WIDTH))
-    return F.concat(first, F.array_join(
-        F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), signature), ""))
+    """Fingerprint of an array of distinct ``struct<h, mask>``."""
+
+    def fingerprint_of(ordered: Column) -> Column:
+        def signature(r: Column) -> Column:
+            own = F.transform(F.filter(ordered, lambda t: F.bit_get(t["mask"], r) == 1), lambda t: t["h"])
+            return F.when(F.size(own) > 0, F.right(F.concat(F.lit(EMPTY), F.lower(F.hex(F.xxhash64(own)))), F.lit(WIDTH))
+                          ).otherwise(F.lit(EMPTY))
+
+        whole = F.when(F.size(ordered) > 0, F.xxhash64(F.transform(ordered, lambda t: t["h"]))).otherwise(fallback)
+        first = F.right(F.concat(F.lit(EMPTY), F.lower(F.hex(whole))), F.lit(WIDTH))
+        return F.concat(first, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), signature), ""))
+
+    # Bound as the one element of an array, so that the terms are sorted once and not once per subset.
+    return F.element_at(F.transform(F.array(F.sort_array(terms)), fingerprint_of), 1)
 
 
 def fingerprint(df: DataFrame, texts: list[str], lexicon: DataFrame, keys: list[str],
