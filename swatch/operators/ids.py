@@ -1,10 +1,7 @@
 """Dense surrogate ids in a given order (M5).
 
-Inputs proven small (at most ``local_limit`` rows, checked by reading at most ``local_limit + 1``
-rows) get their ids from one ``row_number`` over the order: deterministic, lazy, one bounded task.
-
-Larger inputs take two passes over a materialised, range-partitioned copy, so no task ever holds
-more than one range partition:
+Every input, small or large, takes two passes over a materialised, range-partitioned copy, so no
+task ever holds more than one range partition:
   1. ``repartitionByRange`` + ``sortWithinPartitions`` puts the rows in global order across
      partitions; ``monotonically_increasing_id`` then encodes (partition, position) and the copy is
      written once to the shared checkpoint directory (``session.materialize``), so both later
@@ -29,18 +26,11 @@ def next_id(df: DataFrame, id_col: str = "id") -> Column:
     return F.coalesce(df.agg(F.max(id_col)).scalar(), F.lit(0)).cast("long") + F.lit(1)
 
 
-LOCAL_LIMIT = 200_000
-
-
 def assign_ids(df: DataFrame, order: Sequence[str | Column], start: int | Column = 1, id_col: str = "id",
-               num_partitions: int | None = None, local_limit: int = LOCAL_LIMIT) -> DataFrame:
+               num_partitions: int | None = None) -> DataFrame:
     """Add ``id_col`` = start, start+1, ... following ``order`` (which must be unique per row)."""
     order = list(order)
     first = start if isinstance(start, Column) else F.lit(start)
-    if local_limit and df.limit(local_limit + 1).count() <= local_limit:
-        # Bounded by the check above: a single ordered window is safe and needs no materialisation.
-        rank = F.row_number().over(Window.orderBy(*order))
-        return df.withColumn(id_col, (first - F.lit(1) + rank).cast("long"))
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *order)

@@ -61,14 +61,14 @@ def zero_if_dirty(df: DataFrame, col: str = WHOLE_COLUMN_RULE_COLUMN, by: str =
     """If any non-null value of ``col`` in a file is not numeric, the whole column of that file
     becomes 0.0; otherwise it is parsed as a number with nulls kept (no null → 0 here).
 
-    The per-file verdict is one aggregate row per file; the file count is bounded by the file
-    listing, so the verdict table is broadcast.
+    The per-file verdict is one aggregate row per file; adaptive execution broadcasts it if its
+    measured size allows.
     """
     if col not in df.columns:
         return df
     bad = F.col(col).isNotNull() & to_double(col).isNull() & ~F.lower(F.trim(F.col(col))).isin("nan")
     verdict = df.groupBy(by).agg(F.max(bad.cast("int")).alias("_dirty"))
-    return (df.join(F.broadcast(verdict), by, "left")
+    return (df.join(verdict, by, "left")
             .withColumn(col, F.when(F.col("_dirty") == 1, F.lit(0.0)).otherwise(to_double(col)))
             .drop("_dirty"))
 

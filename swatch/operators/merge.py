@@ -14,7 +14,7 @@ import datetime as _dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,8 +144,10 @@ def reduce_batch(batch: DataFrame, key: str, order: str | None = None,
     present = present or {}
     values = [c for c in batch.columns if c != key and c != order and c not in present.values()]
     if order is None:
-        out = batch.select(key, *values, *present.values()).withColumn("_rows", F.lit(1).cast("long"))
-        return out
+        # Rows of a key have no order: the greatest by value stands for it, so keys stay unique.
+        flags = list(present.values())
+        one = batch.groupBy(key).agg(F.max(F.struct(*values, *flags)).alias("_r"), F.count(F.lit(1)).alias("_rows"))
+        return one.select(key, *[F.col(f"_r.{c}").alias(c) for c in [*values, *flags]], "_rows")
     aggs = []
     for c in values:
         rank = F.col(order) if c not in present else F.when(F.col(present[c]), F.col(order))
@@ -224,13 +226,27 @@ def lookup(target: DataFrame, keys: DataFrame, key: str = "order_id") -> tuple[D
     return target.join(k, key, "left_semi"), k.join(target.select(key), key, "left_anti")
 
 
+def _one_per_key(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(the smallest row of each key, by value; the other rows).  Keys that occur once need no second
+    look, so the window that numbers repeats runs on repeated keys only; null keys stay as they are."""
+    others = [c for c in rows.columns if c != key]
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    again = counts.where("_n > 1").select(key)
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*others))
+    ranked = rows.join(again, key, "left_semi").withColumn("_rank", rank)
+    first = rows.join(again, key, "left_anti").unionByName(ranked.where("_rank = 1").drop("_rank"))
+    return first.select(*rows.columns), ranked.where("_rank > 1").select(*rows.columns)
+
+
 def insert_new(target: DataFrame, rows: DataFrame, as_of, key: str = "order_id") -> tuple[DataFrame, DataFrame]:
     """insert rows whose key is absent; rows with an existing key are returned as rejects.
 
-    New rows get ``created_at = updated_at = as_of`` and ids after the target's largest.
+    New rows get ``created_at = updated_at = as_of`` and ids after the target's largest.  Of rows that
+    repeat a new key the smallest by value is inserted, the others are rejects too.
     """
     rejects = rows.join(target.select(key), key, "left_semi")
-    fresh = rows.join(target.select(key), key, "left_anti")
+    fresh, again = _one_per_key(rows.join(target.select(key), key, "left_anti"), key)
+    rejects = rejects.unionByName(again.select(*rejects.columns))
     cols = []
     for f in target.schema.fields:
         if f.name == "id":
@@ -254,8 +270,10 @@ def patch(target: DataFrame, changes: DataFrame, as_of, key: str = "order_id",
     """F8: partial update; only non-null change fields are set and ``updated_at = as_of``.
 
     ``changes`` has ``lookup_col`` (the key to find) and any subset of target columns; a ``key``
-    column in it renames the row's key.  Returns (new table, change rows whose key was not found).
+    column in it renames the row's key.  Returns (new table, change rows that were not applied: the key
+    was not found, or another change, smaller by value, has the same key).
     """
+    every, (changes, again) = changes, _one_per_key(changes, lookup_col)
     fields = [c for c in changes.columns if c in target.columns and c not in ("id", "created_at", "updated_at")]
     ch = changes.select(F.col(lookup_col).alias("_lk"), *[F.col(c).alias(f"_c_{c}") for c in fields])
     joined = target.join(ch, target[key] == F.col("_lk"), "left")
@@ -270,7 +288,7 @@ def patch(target: DataFrame, changes: DataFrame, as_of, key: str = "order_id",
             cols.append(F.col(f.name))
     table = joined.select(*cols, F.when(hit, F.lit(UPDATED)).otherwise(F.lit(UNCHANGED)).alias(ACTION))
     missing = changes.join(target.select(F.col(key).alias(lookup_col)), lookup_col, "left_anti")
-    return table, missing
+    return table, missing.select(*every.columns).unionByName(again.select(*every.columns))
 
 
 def delete_keys(target: DataFrame, keys: DataFrame, key: str = "order_id") -> tuple[DataFrame, DataFrame]:
@@ -284,10 +302,11 @@ def edit_customers(customers: DataFrame, changes: DataFrame, fields: Sequence[st
     """whitelisted edit.  ``changes`` holds (key, map<string,string>); a field present in the map
     is set, even to null; fields outside ``fields`` are ignored; ``updated_at`` is not touched.
 
-    Map values are text: timestamps are parsed, ``tags`` is a JSON array.  Returns (new table, change
-    rows whose key was not found).
+    Map values are text: timestamps are parsed, ``tags`` is a JSON array.  Of several changes of a key the
+    greatest by its JSON text is applied.  Returns (new table, change rows whose key was not found).
     """
-    ch = changes.select(F.col(key).alias("_ck"), F.col(change_col).alias("_m"))
+    ch = (changes.groupBy(F.col(key).alias("_ck"))
+          .agg(F.max_by(F.col(change_col), F.to_json(change_col)).alias("_m")))
     joined = customers.join(ch, customers[key] == F.col("_ck"), "left")
     cols = []
     for f in customers.schema.fields:

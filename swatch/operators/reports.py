@@ -45,14 +45,14 @@ def unconverted_report(customers: DataFrame, links: DataFrame, n: int = 50, rece
     """The T2 customers with their ``recent`` latest sample orders nested as
     ``sample_orders array<struct<order_id, date, amount>>`` (date descending, nulls first).
 
-    The top-n side is bounded by ``n`` and broadcast; the latest-k per customer is a ``row_number``
+    The top-n side has ``n`` rows, which adaptive execution broadcasts if their size allows; the latest-k per customer is a ``row_number``
     filter that Spark plans as a partial ``WindowGroupLimit`` before the shuffle, so a customer with
     a million links sends at most ``recent`` rows per task.
     """
     top = unconverted(customers, n).select(
         "id", F.col("customer_name").alias("name"), "shop", "handler", "first_sample_date", "last_sample_date",
         "sample_orders_count")
-    ids = F.broadcast(top.select(F.col("id").alias("sample_customer_id")))
+    ids = top.select(F.col("id").alias("sample_customer_id"))
     w = Window.partitionBy("sample_customer_id").orderBy(F.desc_nulls_first("order_date"), F.asc("order_id"))
     latest = (links.join(ids, "sample_customer_id", "left_semi")
               .withColumn("_rn", F.row_number().over(w))
@@ -60,7 +60,7 @@ def unconverted_report(customers: DataFrame, links: DataFrame, n: int = 50, rece
               .groupBy("sample_customer_id")
               .agg(F.sort_array(F.collect_list(F.struct("_rn", "order_id", F.col("order_date").alias("date"),
                                                         "amount"))).alias("_orders")))
-    out = top.join(F.broadcast(latest), top["id"] == latest["sample_customer_id"], "left")
+    out = top.join(latest, top["id"] == latest["sample_customer_id"], "left")
     orders = F.transform(F.coalesce(F.col("_orders"), F.array().cast(latest.schema["_orders"].dataType)),
                          lambda x: F.struct(x["order_id"].alias("order_id"), x["date"].alias("date"),
                                             x["amount"].alias("amount")))

@@ -20,15 +20,13 @@ from pyspark.sql import functions as F
 
 # Rows one task should handle for a single key before the key is split.
 HOT_KEY_ROWS = 4_000_000
-MAX_SALTS = 512
 
 
-def hot_keys(counts: DataFrame, key: str, count_col: str, rows_per_task: int = HOT_KEY_ROWS,
-             max_salts: int = MAX_SALTS) -> DataFrame:
+def hot_keys(counts: DataFrame, key: str, count_col: str, rows_per_task: int = HOT_KEY_ROWS) -> DataFrame:
     """(key, _salts) for keys with more than ``rows_per_task`` rows; at most total/rows_per_task rows."""
     n = F.col(count_col)
     return (counts.where(n > F.lit(rows_per_task))
-            .select(key, F.least(F.lit(max_salts), F.ceil(n / F.lit(rows_per_task))).cast("int").alias("_salts")))
+            .select(key, F.ceil(n / F.lit(rows_per_task)).cast("int").alias("_salts")))
 
 
 def salted_join(large: DataFrame, small: DataFrame, key: str, hot: DataFrame) -> DataFrame:

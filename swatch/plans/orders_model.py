@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swatch.plans.common import load
-from swatch.sources.tables import checked_broadcast
 
 SAMPLE_TYPES_P3 = ("1-URGENT", "2-HIGH")
 BULK_TYPES_P3 = ("3-MEDIUM", "4-NOT SPECIFIED")
@@ -37,7 +36,7 @@ def p3_orders(spark: SparkSession, sf_dir: str, names: str = "nation") -> DataFr
     c = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     n = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     joined = (o.join(c, o.o_custkey == c.c_custkey)
-              .join(checked_broadcast(n, max_rows=100_000), F.col("c_nationkey") == F.col("n_nationkey")))
+              .join(n, F.col("c_nationkey") == F.col("n_nationkey")))
     return joined.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderkey").cast("string").alias("order_id"),

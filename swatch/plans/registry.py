@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from swatch.plans import analysis
+from swatch.plans import analysis, customers, ingest, merge, reports
 from swatch.plans.common import Query
 
 
@@ -17,11 +17,4 @@ def all_queries() -> dict[str, Query]:
 
 
 def _modules():
-    mods = [analysis]
-    for name in ("merge", "customers", "ingest", "reports", "checks"):
-        try:
-            mods.append(__import__(f"swatch.plans.{name}", fromlist=["queries"]))
-        except ModuleNotFoundError as e:
-            if e.name != f"swatch.plans.{name}":
-                raise
-    return mods
+    return [analysis, merge, customers, ingest, reports]

@@ -2,7 +2,7 @@
 
 Files are read as text (every column ``string``): numbers and dates are typed later by the ingest
 operators, so nothing is damaged by inference (phone numbers keep their form).  Each row carries
-``_file`` (the file name) and ``_ordinal`` (file block start and row position), which give "first
+``_file`` (the whole path, as two folders may hold one name) and ``_ordinal`` (file block start and row position), which give "first
 row in the file" a meaning after a distributed read.
 """
 
@@ -17,29 +17,31 @@ LOCK_PREFIX = "~$"
 
 
 def read_order_files(spark: SparkSession, path: str, suffixes: Sequence[str] = (".csv",), fmt: str = "csv",
-                     options: dict | None = None) -> DataFrame:
+                     options: dict | None = None, recursive: bool = False) -> DataFrame:
     """S3 + S4: every file under ``path`` whose name ends with one of ``suffixes`` and does not start
     with the lock-file prefix, as text, with ``_file`` and ``_ordinal``.
 
     CSV is read with its header row; JSON and Parquet carry their own column names.  Files of one
-    read must share their header; read groups of differently shaped files separately and combine
+    read must share their header (another order of columns fails); ``recursive`` also reads subfolders;
+    read groups of differently shaped files separately and combine
     them with ``unionByName(allowMissingColumns=True)``.
     """
     reader = spark.read.options(**(options or {}))
     globs = [f"*{s}" for s in suffixes]
     reader = reader.option("pathGlobFilter", globs[0] if len(globs) == 1 else "*{" + ",".join(suffixes) + "}")
-    reader = reader.option("recursiveFileLookup", "true")
+    reader = reader.option("recursiveFileLookup", str(recursive).lower())
     if fmt == "csv":
-        df = reader.option("header", "true").option("inferSchema", "false").csv(path)
+        df = reader.option("header", "true").option("inferSchema", "false").option("enforceSchema", "false").csv(path)
     elif fmt == "json":
         df = reader.option("primitivesAsString", "true").json(path)
     else:
         df = reader.format(fmt).load(path)
     df = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns],
-                   F.col("_metadata.file_name").alias("_file"),
+                   F.col("_metadata.file_path").alias("_file"),
+                   F.col("_metadata.file_name").alias("_name"),
                    F.col("_metadata.file_block_start").alias("_block"),
                    F.monotonically_increasing_id().alias("_pos"))
-    df = df.where(~F.col("_file").startswith(LOCK_PREFIX))
+    df = df.where(~F.col("_name").startswith(LOCK_PREFIX)).drop("_name")
     return (df.withColumn("_ordinal", F.struct("_block", "_pos")).drop("_block", "_pos"))
 
 

@@ -1,17 +1,19 @@
 """Versioned table snapshots and result sinks.
 
-A table set lives under ``<base>/v=<version>/<table>.parquet``; ``<base>/_current`` names the
-published version.  A job writes every output table under a new version directory and writes the
-marker last, so readers see either the old set or the whole new one (the all-or-nothing commit of
-the source).  A plan never overwrites a path it reads: the snapshot it reads and the one it writes
-are different directories.
+A version's tables lie under ``<base>/v=<version>/<table>.parquet``.  Publishing appends one entry to
+``<base>/_published``: a sequence number, the version, and for every table of the set the version
+that holds it.  The entry is a new file written after the tables, so readers see either the old set
+or the whole new one, and no marker is ever rewritten.  Tables that a publish does not pass are
+carried forward by name, without a copy.  An existing version is refused, so a plan never
+overwrites a path it reads.  Errors while reading raise; only a missing ``_published`` folder means that
+nothing is published.  One writer at a time, as in the source.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from swatch.operators.ids import assign_ids, next_id
@@ -19,50 +21,64 @@ from swatch.operators.merge import ACTION, INSERTED, UNCHANGED, MergeResult
 from swatch.operators.quality import duplicate_keys, key_clashes
 from swatch.sources.tables import empty_table, read_table
 
-MARKER = "_current"
+PUBLISHED = "_published"
+ENTRY = "seq long, version string, tables map<string,string>"
 
 
 def version_dir(base: str, version: str) -> str:
     return f"{base.rstrip('/')}/v={version}"
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, asked of the file system that holds it."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _entry(spark: SparkSession, base: str) -> Row | None:
+    """The newest published entry, or None before the first publish."""
+    path = f"{base.rstrip('/')}/{PUBLISHED}"
+    if not _exists(spark, path):
+        return None
+    return spark.read.schema(ENTRY).json(path).orderBy(F.desc("seq")).first()
+
+
 def current_version(spark: SparkSession, base: str) -> str | None:
     """The published version, or None before the first publish."""
-    try:
-        row = spark.read.text(f"{base.rstrip('/')}/{MARKER}").first()
-    except Exception:  # noqa: BLE001 - no marker yet
-        return None
-    return row[0].strip() if row else None
+    entry = _entry(spark, base)
+    return entry["version"] if entry else None
 
 
 def read_current(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """S1 over a snapshot set: the table in the published version, or an empty one."""
-    v = current_version(spark, base)
-    if v is None:
+    """S1 over a snapshot set: the table as last published, or an empty one (S6) if none of it was."""
+    entry = _entry(spark, base)
+    if entry is None or name not in entry["tables"]:
         return empty_table(spark, name)
-    return read_table(spark, name, version_dir(base, v))
+    return read_table(spark, name, version_dir(base, entry["tables"][name]))
 
 
 def publish(spark: SparkSession, base: str, version: str, tables: Mapping[str, DataFrame],
             drop_columns: Sequence[str] = (ACTION,)) -> str:
-    """Write every table under the new version, then move the marker to it."""
+    """Write the tables under a new version, then add its entry; other tables are carried forward."""
     vdir = version_dir(base, version)
+    before = _entry(spark, base)
+    if before and version in {before["version"], *before["tables"].values()}:
+        raise ValueError(f"version {version} is already published")
     for name, df in tables.items():
-        df.drop(*[c for c in drop_columns if c in df.columns]).write.mode("overwrite").parquet(f"{vdir}/{name}.parquet")
-    spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(
-        f"{base.rstrip('/')}/{MARKER}")
+        df.drop(*[c for c in drop_columns if c in df.columns]).write.mode("errorifexists").parquet(f"{vdir}/{name}.parquet")
+    held = {**(before["tables"] if before else {}), **{name: version for name in tables}}
+    entry = spark.createDataFrame([((before["seq"] if before else 0) + 1, version, held)], ENTRY)
+    entry.coalesce(1).write.mode("append").json(f"{base.rstrip('/')}/{PUBLISHED}")
     return vdir
 
 
 def ensure_tables(spark: SparkSession, base: str, version: str, names: Sequence[str]) -> str:
-    """Create (as empty tables of their declared schema) a version holding ``names``; tables of
-    the current version that exist are carried over, which is create-if-missing.  Recreating is
-    publishing a version of empty tables."""
-    current = current_version(spark, base)
-    tables = {}
-    for n in names:
-        tables[n] = read_current(spark, base, n) if current else empty_table(spark, n)
-    return publish(spark, base, version, tables)
+    """Create those of ``names`` that no published version holds, as empty tables of their declared
+    schema; the others are carried over.  Recreating is publishing a version of empty tables."""
+    entry = _entry(spark, base)
+    missing = [n for n in names if entry is None or n not in entry["tables"]]
+    return publish(spark, base, version, {n: empty_table(spark, n) for n in missing})
 
 
 def write_csv(df: DataFrame, path: str, sort_by: Sequence[str] | None = None) -> None:

@@ -34,23 +34,3 @@ def empty_table(spark: SparkSession, name_or_schema: str | T.StructType) -> Data
     """An empty DataFrame with a table's schema (create-if-missing starts from this)."""
     schema = TABLE_SCHEMAS[name_or_schema] if isinstance(name_or_schema, str) else name_or_schema
     return spark.createDataFrame([], schema)
-
-
-def read_or_empty(spark: SparkSession, name: str, base: str) -> DataFrame:
-    """Read a table, or an empty one with its declared schema when it does not exist yet."""
-    path = table_path(base, name)
-    if "://" not in path and not os.path.exists(path):
-        return empty_table(spark, name)
-    return read_table(spark, name, base)
-
-
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows; otherwise leave the join
-    to the shuffle planner (and AQE's runtime-measured broadcast).
-
-    The check reads at most ``max_rows + 1`` rows per partition, so it stays cheap on a large side.
-    """
-    from pyspark.sql import functions as F
-
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df

@@ -20,6 +20,7 @@ from swatch.operators import ingest as ing
 from swatch.operators.merge import upsert
 from swatch.schemas import HEADER_MAP, ORIGINAL_ORDERS
 from swatch.sources import snapshots as snap
+from swatch.sources.files import LOCK_PREFIX
 
 
 def order_file_stream(spark: SparkSession, path: str, headers=tuple(HEADER_MAP)) -> DataFrame:
@@ -32,8 +33,9 @@ def order_file_stream(spark: SparkSession, path: str, headers=tuple(HEADER_MAP))
     schema = T.StructType([T.StructField(h, T.StringType(), True) for h in headers])
     df = (spark.readStream.schema(schema).option("header", "true").option("pathGlobFilter", "*.csv")
           .option("enforceSchema", "false").csv(path))
-    return df.select("*", F.col("_metadata.file_name").alias("_file"),
-                     F.col("_metadata.file_block_start").alias("_block"))
+    df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("_name"),
+                   F.col("_metadata.file_block_start").alias("_block"))
+    return df.where(~F.col("_name").startswith(LOCK_PREFIX)).drop("_name")
 
 
 def upsert_batches(base: str, table: str = "original_orders", as_of=None, preserve_created: bool = True):

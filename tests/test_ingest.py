@@ -24,11 +24,11 @@ def test_files_and_cleaning(spark, tmp_path):
     _write(d / "~$a.csv", HEAD + "X,1,1,1,1,2025-01-01,c,s,,u\n")
     _write(d / "c.txt", HEAD + "Y,1,1,1,1,2025-01-01,c,s,,u\n")
     raw = read_order_files(spark, str(d), (".csv",))
-    assert {r._file for r in raw.collect()} == {"a.csv", "b.csv"}
+    assert {r._file.rpartition("/in/")[2] for r in raw.collect()} == {"a.csv", "b.csv"}
     dup = duplicate_key_count(ing.fill_strings(ing.map_headers(raw), ["order_id"]), ["_file", "order_id"]).first()
     assert (dup.rows, dup.distinct_keys, dup.duplicate_rows) == (5, 4, 1)
     clean = ing.preprocess(raw)
-    got = {(r._file, r.order_id): r for r in clean.collect()}
+    got = {(r._file.rpartition("/in/")[2], r.order_id): r for r in clean.collect()}
     a1 = got[("a.csv", "A1")]                       # first row of the file wins
     assert (a1.amount, a1.quantity, a1.picture_amount) == (0.0, 2, 0)
     assert a1.order_created_date == dt.datetime(2025, 2, 4, 10, 6)
@@ -39,7 +39,7 @@ def test_files_and_cleaning(spark, tmp_path):
     assert got[("a.csv", "")].order_created_date is None
     assert got[("b.csv", "B1")].cloth_pack_cost == 0.0   # text in file b zeroes its whole column
     good, rejects = ing.prepare_batch(clean, ORIGINAL_ORDERS, dt.datetime(2026, 1, 1))
-    assert rows(rejects, "_file", "order_id") == [("a.csv", "")]
+    assert [(f.rpartition("/in/")[2], k) for f, k in rows(rejects, "_file", "order_id")] == [("a.csv", "")]
     assert "未知列" not in good.columns and "role" in good.columns
     g = {r.order_id: r for r in good.collect()}
     assert (g["A1"].picture_price, g["A1"].color_amount, g["A1"].role) == (0.0, 0, None)
@@ -97,3 +97,12 @@ def test_files_with_different_headers_upsert_by_presence(spark, tmp_path):
     got = {r.order_id: r for r in res.table.collect()}
     assert (got["K1"].amount, got["K1"].quantity) == (11.0, 3)   # quantity from the older file
     assert (got["K2"].amount, got["K2"].quantity) == (20.0, 4)
+
+
+def test_files_of_one_name_in_two_folders_stay_apart(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        _write(tmp_path / folder / "o.csv", HEAD + f"K1,1,1,1,1,2025-01-01,{folder},s,,u\n")
+    both = read_order_files(spark, str(tmp_path), (".csv",), recursive=True)
+    assert len({r._file for r in both.collect()}) == 2
+    assert read_order_files(spark, str(tmp_path / "a"), (".csv",)).count() == 1

@@ -133,3 +133,21 @@ def test_upsert_counters_cover_every_batch_row(spark):
         last[k] = amount
     got = {r.order_id: r.amount for r in res.table.collect()}
     assert all(got[k] == v for k, v in last.items())
+
+
+def test_keys_stay_unique_without_an_order(spark):
+    import datetime as dt
+
+    from swatch.operators import merge as m
+    t = spark.createDataFrame([(1, "A", 5.0)], "id long, order_id string, amount double")
+    stamp = dt.datetime(2026, 1, 1)
+    b = spark.createDataFrame([("A", 1.0), ("A", 2.0), ("N", 3.0), ("N", 4.0)], "order_id string, amount double")
+    got = sorted((r.order_id, r.amount) for r in m.upsert(t, b, stamp).table.collect())
+    assert got == [("A", 2.0), ("N", 4.0)]
+    table, rejects = m.insert_new(t, b, stamp)
+    assert sorted((r.order_id, r.amount) for r in table.collect()) == [("A", 5.0), ("N", 3.0)]
+    assert sorted((r.order_id, r.amount) for r in rejects.collect()) == [("A", 1.0), ("A", 2.0), ("N", 4.0)]
+    ch = spark.createDataFrame([("A", 7.0), ("A", 8.0), ("Z", 9.0)], "lookup_key string, amount double")
+    table, missing = m.patch(t, ch, stamp)
+    assert [(r.order_id, r.amount) for r in table.collect()] == [("A", 7.0)]
+    assert sorted((r.lookup_key, r.amount) for r in missing.collect()) == [("A", 8.0), ("Z", 9.0)]

@@ -48,10 +48,8 @@ def test_a11_f5_t4(spark):
 
 def test_assign_ids_dense_across_partitions(spark):
     df = spark.range(0, 1000).selectExpr("(id * 7919) % 1000 AS k").repartition(5)
-    for limit in (0, 10_000):   # distributed two-pass path, then the checked single-window path
-        out = assign_ids(df, ["k"], start=10, num_partitions=4, local_limit=limit)
-        got = sorted((r.k, r.id) for r in out.collect())
-        assert got == [(k, k + 10) for k in range(1000)]
+    out = assign_ids(df, ["k"], start=10, num_partitions=4)
+    assert sorted((r.k, r.id) for r in out.collect()) == [(k, k + 10) for k in range(1000)]
 
 
 def test_publish_and_append(spark, tmp_path):
@@ -72,18 +70,20 @@ def test_publish_and_append(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
 
 
-def test_checked_broadcast_only_under_the_bound(spark):
-    from swatch.sources.tables import checked_broadcast
-    small = spark.range(10).withColumnRenamed("id", "k")
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    probe = spark.range(1000).withColumnRenamed("id", "k")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        hinted = probe.join(checked_broadcast(small, max_rows=100), "k")._jdf.queryExecution().executedPlan().toString()
-        plain = probe.join(checked_broadcast(big, max_rows=100), "k")._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert "BroadcastHashJoin" in hinted and "BroadcastHashJoin" not in plain
+def test_publish_keeps_other_tables_and_refuses_old_versions(spark, tmp_path):
+    import pytest
+
+    base = str(tmp_path / "tables")
+    one = spark.createDataFrame([(1,)], "id long")
+    snap.publish(spark, base, "1", {"a": one})
+    snap.publish(spark, base, "2", {"b": one})
+    assert snap.read_current(spark, base, "a").count() == 1 and snap.current_version(spark, base) == "2"
+    for used in ("1", "2"):
+        with pytest.raises(ValueError):
+            snap.publish(spark, base, used, {"a": snap.read_current(spark, base, "a")})
+    snap.ensure_tables(spark, base, "3", ["original_orders"])
+    assert snap.read_current(spark, base, "original_orders").count() == 0
+    assert snap.read_current(spark, base, "b").count() == 1
 
 
 def test_scale_conf_bounds():
