@@ -1,6 +1,6 @@
 """Session settings and lineage helpers.
 
-Every operator in this package is a lazy DataFrame transformation; the session only fixes the few
+Operators are DataFrame transformations (some write intermediate tables); the session only fixes the few
 settings the semantics depend on (UTC, ANSI) and the ones that make the plans scale (AQE with skew
 join, runtime-measured broadcast only).
 """
