@@ -3,6 +3,9 @@
 A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns
 of ``documents``.  ``run`` writes each result as Parquet in the shared checkpoint folder and reads it
 back as the next stage's input.
+
+Near duplicates are documents whose sets of ``NEAR_WORDS``-word n-grams have a Jaccard similarity of at least
+``NEAR_PERCENT`` per cent: the stage's own choice, not that of the query op7.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from swatch.llm.common import DOC_COLUMNS, table
 from swatch.session import materialize
 
 MIN_LANGUAGE_SCORE = 0.3
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 BROADCAST_ROWS = 1_000_000
 MASK = "[SECRET]"
 
@@ -41,9 +45,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays; of rows that repeat it, one."""
+    """Of each group of documents linked at 5 words and 0.8 the one with the smallest id stays; of rows that repeat it, one."""
     docs = docs.select(*DOC_COLUMNS)
-    parts = materialize(jaccard.jaccard_components(docs), "pipeline-components")
+    found = jaccard.jaccard_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
+    parts = materialize(found, "pipeline-components")
     gone = parts.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(_side(gone), "doc_id", "left_anti")
     again = _side(parts.where("n_shingles > 0 AND component_id = doc_id").groupBy("doc_id").count()

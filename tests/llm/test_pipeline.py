@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
@@ -16,6 +18,41 @@ def test_stages_on_odd_rows(spark, odd, none):
     assert sorted(r.doc_id for r in cp.near_duplicates(spark, odd, SF).collect()) == [1, 2, 3, 4, 5, 6, 7, 8]
 
 
+def brute_kept(docs, n=5, percent=80):
+    """Ids that stay: the smallest of each group linked by n-gram sets."""
+    sets = {}
+    for i, t in docs:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k:k + n]) for k in range(max(1, len(w) - n + 1))}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if v == high else v for i, v in label.items()}
+    return sorted(i for i, v in label.items() if i == v)
+
+
+def test_near_duplicates_brute_force(spark):
+    rng = random.Random(4)
+    base = [f"a{k}" for k in range(200)]
+    edited = [f"x{k}" if k in (20, 70, 120, 170) else w for k, w in enumerate(base)]  # 0.886 of 3 words, 0.815 of 5
+    short = [f"b{k}" for k in range(50)]
+    docs = [(0, " ".join(base)), (1, " ".join(edited)), (2, " ".join(short)), (3, " ".join(short[:25] + ["y"] + short[26:]))]
+    for _ in range(8):
+        text = [f"w{rng.randrange(300)}" for _ in range(rng.choice([30, 80, 150]))]
+        for _ in range(6):
+            own = list(text)
+            for _ in range(rng.randrange(6)):
+                own[rng.randrange(len(own))] = f"v{rng.randrange(90)}"
+            docs.append((len(docs), " ".join(own)))
+    d = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in docs],
+                              "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in cp.near_duplicates(spark, d, SF).collect())
+    assert got == brute_kept(docs) and 1 not in got and 3 not in got
+    assert got != brute_kept(docs, 3, 90)
+
+
 def test_mask(spark):
     parts = "array<struct<start:long,kind_no:int,kind:string,end:long>>"
     d = spark.createDataFrame([("ab\U0001F600cdefgh", [(2, 0, "x", 4), (3, 0, "x", 5), (7, 0, "x", 8)])], f"text string, parts {parts}")
