@@ -2,14 +2,15 @@
 
 A text is lower-cased (A-Z), cut into words at ASCII white space, and read as the bytes of every word
 followed by a space, then a line feed as the end.  The pretrained trie holds, for contexts of 0 to
-``ORDER`` bytes, the symbols that followed them in the training texts.  Escape estimation (method D): with n
-occurrences of a context, a kept symbol of count c has (c - 1/2) / n, escaping the rest; after an
+``ORDER`` bytes, all symbols that followed them in the training texts.  Escape estimation (method D): with n
+occurrences of a context, a symbol of count c has (c - 1/2) / n, escaping the rest; after an
 escape the symbols of the longer context are excluded from the counts of the shorter one.  Below order 0 the bytes left are equally likely.
 
-Only symbols whose count reaches ``SHARE`` of all training symbols stay in the trie, so an order has at
-most 1 / SHARE of them whatever the corpus; what is pruned adds to the escape.  Counts themselves are taken over all
-training texts: each task adds up its own (ORDER + 1)-grams, Spark sums them, and shorter contexts
-are sums of longer ones.
+Nothing is pruned at any size.  Counts are taken over all training texts: each task adds up its own
+(ORDER + 1)-grams, Spark sums them, and shorter contexts are sums of longer ones.  The cost of a symbol depends on its
+(ORDER + 1)-gram only.  Grams whose count reaches ``SHARE`` of all training symbols (at most 1 / SHARE) are
+broadcast with their costs; each document's other distinct grams are joined to the costs that ``gram_costs`` takes from
+the tables of all contexts.  A corpus of at most 1 / SHARE symbols is broadcast whole.
 
 The base needs the count of every token.  Tokens that reach ``TOKEN_SHARE`` of all (at most 1 / TOKEN_SHARE) are
 broadcast; the rest is joined by token, where by definition no key is hot.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swatch.llm.common import map_rows
+from swatch.llm.common import list_array, map_rows
 from swatch.session import materialize
 
 ORDER = 5
@@ -37,6 +38,7 @@ SHARE = 2.0 ** -21
 TOKEN_SHARE = 2.0 ** -20
 DISCOUNT = 0.5
 END = b"\n"
+BROADCAST_COSTS = 1_000_000
 FLUSH_GRAMS, FLUSH_TOKENS = 3_000_000, 300_000  # a task hands on its counts beyond so many keys
 PAD = END * ORDER  # what stands before a text
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -160,7 +162,7 @@ def _mask(symbols: int) -> np.uint64:
 
 
 class Trie:
-    """Costs of a pruned trie.  ``levels[k]``: contexts of k bytes with ``ctx`` (codes, sorted), ``n``
+    """Costs of a whole trie (of a pruned one, what is pruned adds to the escape).  ``levels[k]``: contexts of k bytes with ``ctx`` (codes, sorted), ``n``
     (occurrences), and the kept ``gram`` (context and symbol, sorted) with ``c``."""
 
     def __init__(self, levels: list[dict]):
@@ -225,8 +227,22 @@ class Trie:
         return out
 
 
+class Frequent:
+    """Costs of the (ORDER + 1)-grams of one level, NaN for others."""
+
+    def __init__(self, level: dict):
+        self.entries = Hashed(level["gram"])
+        n = level["n"][np.searchsorted(level["ctx"], level["gram"] >> np.uint64(8))]
+        self.costs = np.append(np.log10(level["c"] - DISCOUNT) - np.log10(n), np.nan)
+
+    def cost(self, code: np.ndarray) -> np.ndarray:
+        return self.costs[self.entries.find(code)]
+
+
 def fit(counts: DataFrame, share: float = SHARE, token_share: float = TOKEN_SHARE) -> dict:
-    """Bounded model tables from ``count_corpus``: trie levels, frequent tokens, N and V."""
+    """Bounded model tables from ``count_corpus``: trie levels, frequent tokens, N and V.
+
+    ``whole``: the levels hold every gram; else only the last one is filled, with the frequent grams."""
     totals = counts.agg(
         F.sum(F.when(F.col("gram").isNotNull(), F.col("n"))).alias("symbols"),
         F.sum(F.when(F.col("token").isNotNull(), F.col("n"))).alias("N"),
@@ -235,7 +251,7 @@ def fit(counts: DataFrame, share: float = SHARE, token_share: float = TOKEN_SHAR
     least = max(1.0, share * symbols)
     level = counts.where("gram IS NOT NULL").select("gram", "n")
     both = None
-    for k in range(ORDER, -1, -1):
+    for k in range(ORDER, -1 if least <= 1 else ORDER - 1, -1):
         if k < ORDER:
             level = (level.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("gram"))
                      .agg(F.sum("n").alias("n")))
@@ -256,10 +272,76 @@ def fit(counts: DataFrame, share: float = SHARE, token_share: float = TOKEN_SHAR
                        "c": c[own][order].astype(float)})
     often = counts.where(F.col("token").isNotNull() & (F.col("n") >= max(1.0, token_share * n_tokens))).select("token", "n")
     often = often.toArrow()
-    return {"levels": levels, "N": int(n_tokens), "V": int(totals["V"] or 0), "symbols": int(symbols),
+    return {"levels": levels, "N": int(n_tokens), "V": int(totals["V"] or 0), "symbols": int(symbols), "whole": least <= 1,
             "often": dict(zip(often.column("token").to_pylist(), often.column("n").to_pylist()))}
 
 
+def context_tables(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Per order 0 to ``ORDER``: all entries ``(gram, c)``, and all contexts ``(ctx, n, first, down, den)``.
+
+    ``first``: log10 of escaping from the context as the longest known one; ``den``: log10 of what is left of the next shorter
+    context's count without this one's symbols; ``down``: log10 of escaping from all shorter contexts in turn."""
+    entries = [counts.where("gram IS NOT NULL").select("gram", F.col("n").alias("c"))]
+    for k in range(ORDER - 1, -1, -1):
+        short = F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("gram")
+        level = entries[0].groupBy(short).agg(F.sum("c").alias("c"))
+        entries.insert(0, materialize(level, "ppm-entries"))
+    nodes: list[DataFrame] = []
+    ctx, first = F.shiftright("gram", 8).alias("ctx"), F.log10(F.lit(DISCOUNT) * F.col("d") / F.col("n")).alias("first")
+    for k, own in enumerate(entries):
+        if k == 0:
+            node = own.groupBy(ctx).agg(F.sum("c").alias("n"), F.count("c").alias("d")).select(
+                "ctx", "n", "d", first, F.lit(0.0).alias("down"), F.lit(0.0).alias("den"))
+        else:
+            up = entries[k - 1].select(F.col("gram").alias("up"), F.col("c").alias("up_c"))
+            above = nodes[k - 1].select(F.col("ctx").alias("up"), F.col("n").alias("up_n"), F.col("d").alias("up_d"),
+                                        F.col("down").alias("up_down"))
+            low = (1 << (8 * k)) - 1
+            node = (own.withColumn("up", F.col("gram").bitwiseAND(F.lit(low))).join(up, "up").groupBy(ctx)
+                    .agg(F.sum("c").alias("n"), F.count("c").alias("d"), F.sum("up_c").alias("gone"))
+                    .withColumn("up", F.col("ctx").bitwiseAND(F.lit(low >> 8)))
+                    .join(F.broadcast(above) if k <= 3 else above, "up"))  # at most 256 ^ 2 contexts
+            rest, kinds = F.col("up_n") - F.col("gone"), F.col("up_d") - F.col("d")
+            esc = F.when(rest > 0, F.log10(F.lit(DISCOUNT) * kinds / rest)).otherwise(0.0)
+            node = node.select("ctx", "n", "d", first, (F.col("up_down") + esc).alias("down"),
+                               F.when(rest > 0, F.log10(rest)).otherwise(0.0).alias("den"))
+        nodes.append(materialize(node, "ppm-contexts"))
+    return entries, nodes
+
+
+def gram_costs(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(gram, cost)`` of distinct (ORDER + 1)-grams: the log10 probability of the last symbol, from all counts."""
+    entries, nodes = context_tables(counts)
+    met = materialize(grams.join(entries[ORDER], "gram", "left"), "ppm-met")
+    own = nodes[ORDER].select("ctx", "n")
+    seen = (met.where("c IS NOT NULL").withColumn("ctx", F.shiftright("gram", 8)).join(own, "ctx")
+            .select("gram", (F.log10(F.col("c") - F.lit(DISCOUNT)) - F.log10("n")).alias("cost")))
+    # Grams never seen: the longest known context is escaped from, then the shorter ones in turn.
+    state, none = met.where("c IS NULL").select("gram"), F.lit(None).cast("double")
+    for col in ("cost", "esc", "down", "den"):  # of the context escaped from last
+        state = state.withColumn(col, none)
+    for k in range(ORDER, -1, -1):
+        node = nodes[k].select("ctx", F.col("n").alias("_n"), F.col("first").alias("_first"),
+                               F.col("down").alias("_down"), F.col("den").alias("_den"))
+        state = state.withColumn("ctx", F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)), 8))
+        state = state.join(F.broadcast(node) if k <= 2 else node, "ctx", "left")  # at most 256 ^ 2 contexts
+        if k < ORDER:
+            entry = entries[k].select(F.col("gram").alias("_gram"), "c")
+            code = F.col("gram").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1))
+            state = state.join(F.broadcast(entry) if k <= 1 else entry, code == F.col("_gram"), "left")
+            log_c = F.log10(F.col("c") - F.lit(DISCOUNT))
+            hit = (F.when(F.col("c").isNotNull() & F.col("esc").isNull(), log_c - F.log10("_n"))
+                   .when(F.col("c").isNotNull(), F.col("esc") - F.col("down") + log_c - F.col("den")))
+            state = state.withColumn("cost", F.coalesce("cost", hit))
+        state = state.select("gram", "cost", F.coalesce("esc", F.col("_first") + F.col("_down")).alias("esc"),
+                             F.coalesce("_down", "down").alias("down"), F.coalesce("_den", "den").alias("den"))
+        if k in (ORDER - 1, ORDER - 2):  # most are met here; the rest goes on
+            state = materialize(state, "ppm-unseen")
+            seen, state = seen.unionByName(state.where("cost IS NOT NULL").select("gram", "cost")), state.where("cost IS NULL")
+    left = F.lit(-float(np.log10(max(1, 256 - entries[0].count()))))
+    return materialize(seen.unionByName(state.select("gram", F.coalesce("cost", F.col("esc") + left).alias("cost"))), "ppm-costs")
+
+
 _TRIES: dict[str, tuple] = {}
 
 
@@ -268,12 +350,12 @@ def score_documents(docs: DataFrame, counts: DataFrame, model: dict, id_col: str
     """Per row: ``id_col``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (log10
     probability of the text under the trie).
 
-    One pass over the texts; of it only tokens that are not frequent travel, one row per document and
-    token, to meet their counts."""
+    One pass over the texts; of it only tokens and grams that are not frequent travel, one row per document and
+    token or gram, to meet their counts and costs."""
     shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     slim = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].alias(id_col), docs[text_col].alias("text"))
     schema = T.StructType([*slim.drop("text").schema.fields, *T.StructType.fromDDL(
-        "n_tokens long, known long, base double, score double, rare array<struct<token:binary,times:int>>").fields])
+        "n_tokens long, known long, base double, score double, rare array<struct<token:binary,times:int>>, grams array<long>, gram_times array<int>").fields])
     total = model["N"] + 0.1 * (model["V"] + 1)
 
     def run(rows, ids, texts):
@@ -282,7 +364,7 @@ def score_documents(docs: DataFrame, counts: DataFrame, model: dict, id_col: str
             m = shared.value
             logs = {t: np.log10((c + 0.1) / total) for t, c in m["often"].items()}
             logs.setdefault(END, np.log10(0.1 / total))
-            _TRIES[key] = (Trie(m["levels"]), logs, END in m["often"])
+            _TRIES[key] = (Trie(m["levels"]) if m["whole"] else Frequent(m["levels"][ORDER]), logs, END in m["often"])
         trie, logs, end_known = _TRIES[key]
         n_tokens, known, base, rare, streams = [], [], [], [], []
         for text in texts:
@@ -298,7 +380,7 @@ def score_documents(docs: DataFrame, counts: DataFrame, model: dict, id_col: str
                     sum_ += times * got
                     hits += times
             n_tokens.append(len(words) + 1), known.append(hits), base.append(float(sum_)), rare.append(others)
-        score = []
+        score, away, away_times, away_sizes = [], [], [], []
         at = 0
         while at < len(streams):  # steps of a few MB of symbols, or one text
             to, size = at, 0
@@ -306,18 +388,35 @@ def score_documents(docs: DataFrame, counts: DataFrame, model: dict, id_col: str
                 size += len(streams[to])
                 to += 1
             code, ends = grams(streams[at:to])
-            sums = np.concatenate(([0.0], np.cumsum(trie.cost(code))))[ends]
+            cost = trie.cost(code)
+            unmet = np.isnan(cost)  # to be joined
+            sums = np.concatenate(([0.0], np.cumsum(np.where(unmet, 0.0, cost))))[ends]
             score += np.diff(np.concatenate(([0.0], sums))).tolist()
+            for begin, end in zip(np.concatenate(([0], ends)), ends):
+                own, times = np.unique(code[begin:end][unmet[begin:end]], return_counts=True)
+                away.append(own.astype(np.int64)), away_times.append(times), away_sizes.append(len(own))
             at = to
-        return [rows, ids, n_tokens, known, base, score, rare]
+        grams_, times_ = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (away, away_times))
+        return [rows, ids, n_tokens, known, base, score, rare, list_array(grams_, away_sizes, pa.int64()),
+                list_array(times_.astype(np.int32), away_sizes, pa.int32())]
 
-    scored = materialize(map_rows(slim, run, schema), "ppm-scored")
+    scored = base_rows = materialize(map_rows(slim, run, schema), "ppm-scored")
     tokens = counts.where("token IS NOT NULL").select("token", F.col("n").alias("c"))
     met = (scored.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.times")
            .join(tokens, "token", "left").groupBy("row")
            .agg(F.sum(F.col("times") * F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.1)) / F.lit(total))).alias("more"),
                 F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("also")))
-    return scored.join(met, "row", "left").select(
+    scored, score = scored.join(met, "row", "left"), F.col("score")
+    if not model["whole"]:
+        unmet = base_rows.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("g")).select(
+            "row", F.col("g.grams").alias("gram"), F.col("g.gram_times").alias("times"))
+        costs = gram_costs(unmet.select("gram").distinct(), counts)
+        few = costs.limit(BROADCAST_COSTS + 1).count() <= BROADCAST_COSTS
+        # Grams that many training texts hold are frequent and broadcast; one side has each gram once.
+        rest = (unmet.join(F.broadcast(costs) if few else costs, "gram").groupBy("row")
+                .agg(F.sum(F.col("times") * F.col("cost")).alias("rest")))
+        scored, score = scored.join(rest, "row", "left"), score + F.coalesce("rest", F.lit(0.0))
+    return scored.select(
         id_col, "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),
         F.lit(model["N"]).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), score.alias("score"))

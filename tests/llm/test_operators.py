@@ -77,6 +77,47 @@ def test_ppm_documents(spark, odd, none):
     assert got[5].base_score == pytest.approx(0.0) and got[5].n_known == 0
 
 
+def brute_ppm(train, texts):
+    """log10 probabilities under the unpruned trie, symbol by symbol."""
+    seen = collections.defaultdict(collections.Counter)
+    stream = lambda t: ppm.PAD + ppm.symbols_of(ppm.words_of(t))
+    for t in train:
+        s = stream(t)
+        for at in range(ppm.ORDER, len(s)):
+            for k in range(ppm.ORDER + 1):
+                seen[s[at - k:at]][s[at]] += 1
+
+    def cost(context, symbol):
+        out, gone = 0.0, set()
+        for k in range(ppm.ORDER, -1, -1):
+            all_ = seen.get(context[ppm.ORDER - k:])
+            left = {v: c for v, c in (all_ or {}).items() if v not in gone}
+            if left:
+                if symbol in left:
+                    return out + np.log10((left[symbol] - 0.5) / sum(left.values()))
+                out += np.log10(0.5 * len(left) / sum(left.values()))
+                gone |= set(left)
+        return out - np.log10(max(1, 256 - len(gone)))
+
+    return [sum(cost(s[at - ppm.ORDER:at], s[at]) for at in range(ppm.ORDER, len(s))) for s in map(stream, texts)]
+
+
+@pytest.mark.parametrize(("share", "few"), [(ppm.SHARE, 10), (2e-3, 10**6), (2e-3, 10), (1.0, 10)])
+def test_ppm_is_not_pruned(spark, monkeypatch, share, few):
+    monkeypatch.setattr(ppm, "BROADCAST_COSTS", few)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    train = [" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(40)]
+    texts = train[:5] + [None, "", "Zz " + words[0] + "q~", "\U0001F600 abcde", words[0] + words[1]] + [
+        "".join(rng.choice("abcdeé fz") for _ in range(60)) for _ in range(20)]
+    schema = "doc_id long, text string"
+    counts = ppm.count_corpus(spark.createDataFrame(list(enumerate(train)), schema))
+    model = ppm.fit(counts, share)
+    assert model["whole"] == (share == ppm.SHARE)
+    got = by_id(ppm.score_documents(spark.createDataFrame(list(enumerate(texts)), schema), counts, model))
+    assert [got[i].score for i in range(len(texts))] == pytest.approx(brute_ppm(train, texts), abs=1e-9)
+
+
 # ---- decontamination ------------------------------------------------------------------------------
 def brute_contamination(text, items, window=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
