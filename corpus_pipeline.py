@@ -46,15 +46,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked at 5 words and 0.8 the one with the smallest id stays; of rows that repeat it, one."""
-    docs = docs.select(*DOC_COLUMNS)
-    found = jaccard.jaccard_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
+    docs = _keyed(docs.select(*DOC_COLUMNS))
+    found = jaccard.jaccard_components(docs, id_col="_key", n=NEAR_WORDS, percent=NEAR_PERCENT)
     parts = materialize(found, "pipeline-components")
-    gone = parts.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(_side(gone), "doc_id", "left_anti")
-    again = _side(parts.where("n_shingles > 0 AND component_id = doc_id").groupBy("doc_id").count()
-                  .where("count > 1").select("doc_id"))
-    once = kept.join(again, "doc_id", "left_anti")
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*DOC_COLUMNS)
+    groups = _side(parts.where("component_id <> _key").select("component_id").distinct())
+    members = _side(parts.join(groups, "component_id").select("component_id", "_key").distinct())
+    first = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))
+    named = materialize(docs.select("_key", first.alias("row")).join(members, "_key"), "pipeline-members")
+    stays = named.groupBy("component_id").agg(F.min("row").alias("stays"))
+    gone = named.join(_side(stays), "component_id").where("row <> stays").select("_key").distinct()
+    kept = docs.join(_side(gone), "_key", "left_anti")
+    again = _side(parts.where("n_shingles > 0").groupBy("_key").count().where("count > 1").select("_key"))
+    once = kept.join(again, "_key", "left_anti")
+    return once.unionByName(kept.join(again, "_key", "left_semi").dropDuplicates(["_key"])).select(*DOC_COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,6 +53,16 @@ def test_near_duplicates_brute_force(spark):
     assert got != brute_kept(docs, 3, 90)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    text = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (4, text("e")), (4, text("e")),
+            (None, text("f")), (None, text("g")), (5, text("g")), (6, text("h")), (6, text("h") + " end")]
+    d = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in rows],
+                              "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or 0, r.text[0]) for r in cp.near_duplicates(spark, d, SF).collect())
+    assert got == [(0, "f"), (1, "a"), (2, "b"), (3, "c"), (3, "d"), (4, "e"), (5, "g"), (6, "h")]
+
+
 def test_mask(spark):
     parts = "array<struct<start:long,kind_no:int,kind:string,end:long>>"
     d = spark.createDataFrame([("ab\U0001F600cdefgh", [(2, 0, "x", 4), (3, 0, "x", 5), (7, 0, "x", 8)])], f"text string, parts {parts}")
