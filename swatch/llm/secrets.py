@@ -2,13 +2,13 @@
 
 Base kinds (``assign``, ``access``, ``hex``) stand by themselves.  Weak kinds (``ident``: a named
 access identifier, ``key``: a bare 40 character token, ``endpoint``: a service address) are reported only when
-complementary parts lie in the same scope, ``scope`` code points to either side: an ``ident`` needs a
+complementary parts lie in the same scope, at most ``scope`` code points between the end of one and the start of the other: an ``ident`` needs a
 secret, a ``key`` an identifier, an ``endpoint`` both.  A base ``access`` is an identifier; the other
 base kinds are secrets.
 
-The interval join of parts within a scope is an ordered sweep: per document, parts sorted by start,
-two running counts per role (all starts up to start + scope, all up to start - scope - 1) whose
-difference is the number of partners in the scope.  It is linear in the parts; no pairs are made.
+The interval join of parts within a scope is an ordered sweep: per document, parts sorted by start, and per role
+the furthest end of the parts up to here and the first start from here on, which tell whether a partner
+is in the scope.  It is linear in the parts; no pairs are made.
 Only parts are shuffled, never text.
 
 Positions are code points, ends exclusive.  Null and empty texts have no parts; a row of the input
@@ -81,19 +81,19 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
               .withColumn("start", F.col("end") - F.col("size"))
               .withColumn("kind", F.when(F.col("kept"), F.col("kind"))))  # a failing match is no part
     roles = {"secret": [k[1] for k in KINDS if k[5]], "identifier": [k[1] for k in KINDS if k[6]]}
-    by_start = Window.partitionBy("row").orderBy("start")
+    before = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
     near = placed
     for role, nos in roles.items():
-        is_role = F.when(F.col("kind").isin(nos), 1).otherwise(0)
-        near = near.withColumn(role, F.sum(is_role).over(by_start.rangeBetween(Window.unboundedPreceding, scope))
-                               - F.coalesce(F.sum(is_role).over(
-                                   by_start.rangeBetween(Window.unboundedPreceding, -scope - 1)), F.lit(0)))
+        of_role = lambda col: F.when(F.col("kind").isin(nos), F.col(col))  # noqa: B023, E731
+        near = near.withColumn(role, F.coalesce(F.max(of_role("end")).over(before) >= F.col("start") - scope, F.lit(False))
+                               | F.coalesce(F.min(of_role("start")).over(after) <= F.col("end") + scope, F.lit(False)))
     name = F.element_at(F.array(*[F.lit(k[0]) for k in KINDS]), F.col("kind") + 1)
     named = near.withColumn("name", name)
     reported = (F.col("name").isin(*BASE)
-                | ((F.col("name") == "ident") & (F.col("secret") > 0))
-                | ((F.col("name") == "key") & (F.col("identifier") > 0))
-                | ((F.col("name") == "endpoint") & (F.col("secret") > 0) & (F.col("identifier") > 0)))
+                | ((F.col("name") == "ident") & F.col("secret"))
+                | ((F.col("name") == "key") & F.col("identifier"))
+                | ((F.col("name") == "endpoint") & F.col("secret") & F.col("identifier")))
     part = F.struct(F.col("start").cast("long").alias("start"), F.col("kind").alias("kind_no"),
                     F.col("name").alias("kind"), F.col("end").cast("long").alias("end"))
     return (named.groupBy("row", id_col)

@@ -207,6 +207,18 @@ def test_secrets(spark, odd, none):
     assert secrets.find_secrets(odd).count() == 10 and secrets.find_secrets(none).count() == 0
 
 
+def test_scope_is_the_gap_between_parts(spark):
+    gap = lambda n: " " * n
+    long = "token=" + "z" * 900
+    texts = [f"{long} user: bob", f"{long}{gap(300)}user: bob", f"{long}{gap(301)}user: bob", f"user: bob{gap(300)}{long}",
+             f"user: bob{gap(301)}{long}", f"{long} password=abcdefgh{gap(280)}user: bob",
+             f"user: {'q' * 900}{gap(10)}{long}", f"{long} https://a.example/{'p' * 700} user: bob"]
+    got = by_id(secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    linked = [i for i in range(len(texts)) if any(p.kind == "ident" for p in got[i].parts)]
+    assert linked == [0, 1, 3, 5, 6]
+    assert [p.kind for p in got[7].parts] == ["assign", "endpoint"]  # between both, which are far from each other
+
+
 # ---- n-gram join ----------------------------------------------------------------------------------
 def brute_components(docs):
     fold = jaccard._FOLD
