@@ -7,7 +7,7 @@
   are a span.  The label with most letters is the text's language (of equals, the first in order).
 
 Null texts and texts without a letter get ``und`` and score 0 and have no spans.  The model is fitted on a
-sample of at most about ``sample_rows`` labelled rows (a hash of the id below a share): trigrams and
+sample of at most about ``sample_rows`` labelled rows of each language (a hash of the id below its share): trigrams and
 scripts are counted by Spark; the table is as large as the sample's trigrams, whatever the corpus.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from swatch.llm.common import map_rows
 
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 8000  # of a language
 PENALTY = 18.0
 FLOOR = -12.0  # a word speaks against a language by this much at most
 ALPHA = 0.5
@@ -57,10 +57,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         sample_rows: int = SAMPLE_ROWS) -> dict:
     """Trigram and script counts per language over a sample of ``labelled`` rows."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = min(1.0, sample_rows / max(1, rows.count()))
-    cut = int(share * (1 << 30))
+    lang = F.col(lang_col).cast("string")
+    cuts = [(r["lang"], int(min(1.0, sample_rows / r["count"]) * (1 << 30)))
+            for r in rows.groupBy(lang.alias("lang")).count().collect()]
+    cut = F.create_map(*[F.lit(x) for pair in cuts for x in pair])[lang] if cuts else F.lit(0)
     picked = rows.where(F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col).cast("string")), F.lit(1 << 30)) < cut)
-    slim = picked.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    slim = picked.select(lang.alias("lang"), F.col(text_col).alias("text"))
 
     def count(langs, texts):
         got: Counter = Counter()

@@ -315,6 +315,14 @@ def test_languages(spark, odd, none):
     assert languages.identify(odd, languages.fit(none)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_rare_language_is_sampled(spark):
+    rows = [(i, "the quick brown thing", "en") for i in range(2000)] + [(2000 + i, "der schnelle braune fuchs", "de") for i in range(3)]
+    model = languages.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=20)
+    assert model["langs"] == ["de", "en"]
+    d = spark.createDataFrame([(1, "schnelle fuchs"), (2, "quick thing")], "doc_id long, text string")
+    assert {i: r.lang_pred for i, r in by_id(languages.identify(d, model)).items()} == {1: "de", 2: "en"}
+
+
 def test_viterbi_is_optimal():
     g = np.random.default_rng(0)
     for _ in range(60):
