@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, rows
+from helpers import SF_MID, rows
 from swatch.operators import conversion as cv
 from swatch.plans.common import P1, P2, load, round_doubles
 from swatch.schemas import OrderCols, STATUS_CONVERTED, STATUS_NOT_CONVERTED

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from helpers import rows
 from swatch.operators import customers as cu
 from swatch.schemas import BULK_SIDE, SAMPLE_SIDE
 from swatch.sources.tables import empty_table

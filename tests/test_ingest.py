@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import rows
+from helpers import rows
 from swatch.operators import ingest as ing
 from swatch.operators.quality import duplicate_key_count, find_columns
 from swatch.schemas import ORIGINAL_ORDERS

@@ -9,7 +9,7 @@ import sys
 
 import pytest
 
-from conftest import ROOT, SF_SMALL
+from helpers import ROOT, SF_SMALL
 
 
 def test_scan_prunes_and_pushes(spark):

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import rows
+from helpers import rows
 from swatch.operators import reports as rp
 from swatch.operators.ids import assign_ids
 from swatch.sources import snapshots as snap
