@@ -111,6 +111,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatch.llm import merkle
+
+    docs = table(spark, sf_dir, "documents")
+    changed = merkle.leaf([F.try_add(docs[f], F.lit(1)) if f == "n_chars" else docs[f] for f in merkle.FIELDS])
+    out = merkle.manifest(docs, carry={"changed": F.when(remainder(7) == 0, changed)})
+    folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("steps"))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("steps")).alias("proof_sha256"),
+                      folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -127,8 +138,24 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op12_merkle": op12_merkle,
 }
 
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text"]
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({f}) AS VARCHAR) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a short ASCII text: a bit at a time, by the reflected polynomial."""
+    bits = "list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda k: 0::BIGINT)), " \
+           "lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), "
+            f"lambda x: ascii(x)::BIGINT)), lambda a, b: {bits}), 4294967295)")
+
+
 SQL: dict[str, str] = {
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -138,4 +165,41 @@ SQL: dict[str, str] = {
                CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM q LEFT JOIN f USING (payload_digest)""",
+    "op12_merkle": f"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, lang, {_leaf_sql("n_chars")} AS leaf,
+                 CASE WHEN {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf_sql("n_chars + 1")} END AS changed
+          FROM documents),
+        leaves AS (
+          SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                 count(*) OVER (PARTITION BY lang) AS n FROM d),
+        tree AS (
+          SELECT lang, 0 AS level, pos, leaf AS h, n FROM leaves
+          UNION ALL
+          SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+          FROM tree WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+        subs AS (
+          SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n,
+                 level AS height FROM tree WHERE n = 1),
+        top AS (
+          SELECT 0 AS level, pos, subroot AS h, n FROM subs
+          UNION ALL
+          SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2
+          FROM top WHERE n > 1 GROUP BY level, pos // 2, n),
+        up AS (
+          SELECT l.doc_id, l.lang, l.leaf, l.pos, s.pos AS top_pos, s.height, 0 AS step, coalesce(l.changed, l.leaf) AS h,
+                 '' AS proof, s.height + (SELECT max(level) FROM top) AS steps, s.subroot
+          FROM leaves l JOIN subs s ON l.lang IS NOT DISTINCT FROM s.lang
+          UNION ALL
+          SELECT u.doc_id, u.lang, u.leaf, u.pos, u.top_pos, u.height, u.step + 1,
+                 sha256(CASE WHEN u.at % 2 = 1 THEN coalesce(t.h, r.h, '') || u.h ELSE u.h || coalesce(t.h, r.h, '') END),
+                 u.proof || coalesce(t.h, r.h, ''), u.steps, u.subroot
+          FROM (SELECT *, CASE WHEN step < height THEN pos >> step ELSE top_pos >> (step - height) END AS at
+                FROM up WHERE step < steps) u
+          LEFT JOIN tree t ON u.step < u.height AND t.level = u.step AND t.lang IS NOT DISTINCT FROM u.lang
+                          AND t.pos = xor(u.at, 1)
+          LEFT JOIN top r ON u.step >= u.height AND r.level = u.step - u.height AND r.pos = xor(u.at, 1))
+        SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(proof) AS proof_sha256,
+               h AS folded_root, h = (SELECT h FROM top WHERE n = 1) AS verified
+        FROM up WHERE step = steps""",
 }
