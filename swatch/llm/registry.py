@@ -111,6 +111,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swatch.llm.licenses import find_licenses
+
+    out = find_licenses(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word",
+                      *[F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")], "score")
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from swatch.llm import merkle
 
@@ -147,6 +155,7 @@ QUERIES = {
     "op8_repeats": op8_repeats,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_licenses": op11_licenses,
     "op12_merkle": op12_merkle,
     "op13_hard_negatives": op13_hard_negatives,
 }
