@@ -62,9 +62,21 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
 # M3 + M4 + M7: route sync
 # ------------------------------------------------------------------------------------------------
 
+def sync_changes(target: DataFrame, source: DataFrame, types: Sequence[str], key: str = "order_id",
+                 type_col: str = "order_type") -> DataFrame:
+    """Source rows of the route that ``sync_route`` would update or insert; of the target only the key and
+    ``updated_at`` are read."""
+    known = target.select(F.col(key).alias("_k"), F.col("updated_at").alias("_u"), F.lit(True).alias("_in_t"))
+    src = route(source, types, type_col)
+    both = src.join(known, src[key] == F.col("_k"), "left")
+    due = F.col("_in_t").isNull() | F.col("_u").isNull() | F.coalesce(src["updated_at"] > F.col("_u"), F.lit(False))
+    return both.where(due).select(*[src[c] for c in src.columns])
+
+
 def sync_route(target: DataFrame, source: DataFrame, types: Sequence[str], as_of, key: str = "order_id",
-               insert_order: Sequence[str] = ("id",), type_col: str = "order_type") -> DataFrame:
-    """M3 (newer-wins update) and M4 (insert missing) for one route.
+               insert_order: Sequence[str] = ("id",), type_col: str = "order_type", first_id=None) -> DataFrame:
+    """M3 (newer-wins update) and M4 (insert missing) for one route.  ``first_id`` is the first new id, where ``target`` is
+    a part of the table.
 
     * matched rows take the source value columns and ``updated_at = as_of`` when the source row is
       newer or the target's ``updated_at`` is null; ``id``, ``created_at`` and target-only columns stay;
@@ -107,7 +119,8 @@ def sync_route(target: DataFrame, source: DataFrame, types: Sequence[str], as_of
     order = [F.col(c) for c in insert_order if c in src.columns] + [F.col(key)]
     inserted = new_rows.select(*new_cols, *[o.alias(f"_o{i}") for i, o in enumerate(order)])
     if "id" in target.columns:
-        inserted = assign_ids(inserted, [f"_o{i}" for i in range(len(order))], start=next_id(target))
+        inserted = assign_ids(inserted, [f"_o{i}" for i in range(len(order))],
+                              start=next_id(target) if first_id is None else first_id)
     inserted = inserted.drop(*[f"_o{i}" for i in range(len(order))]).withColumn(ACTION, F.lit(INSERTED))
     return kept.unionByName(inserted.select(*kept.columns))
 
@@ -158,7 +171,7 @@ def reduce_batch(batch: DataFrame, key: str, order: str | None = None,
 
 
 def upsert(target: DataFrame, batch: DataFrame, as_of, key: str = "order_id", preserve_created: bool = True,
-           order: str | None = None, present: dict[str, str] | None = None) -> MergeResult:
+           order: str | None = None, present: dict[str, str] | None = None, first_id=None) -> MergeResult:
     """M1 (``preserve_created=True``) and M2 (``False``): insert new keys, update existing ones.
 
     Only the columns present in the batch are written; target columns absent from the batch keep
@@ -166,10 +179,11 @@ def upsert(target: DataFrame, batch: DataFrame, as_of, key: str = "order_id", pr
     get ``created_at = as_of``, as the batch stamps both.  Inserted rows get both stamps, null for
     absent columns, and new ids after the target's largest, in batch order.
     Counters: ``inserted`` = new keys, ``updated`` = all other batch rows (a key repeated in the batch
-    is inserted once and then updated).
+    is inserted once and then updated).  Rows with a null key match nothing and are left out (I11 rejects them
+    before).  ``first_id`` is the first new id, where ``target`` is a part of the table.
     """
     present = present or {}
-    b = reduce_batch(batch, key, order, present)
+    b = reduce_batch(batch.where(F.col(key).isNotNull()), key, order, present)
     values = [c for c in b.columns if c in target.columns and c != key and c not in META_COLUMNS]
     now = _ts(as_of)
     # One full outer join on the unique key serves both the updated/kept rows and the inserted rows.
@@ -206,7 +220,7 @@ def upsert(target: DataFrame, batch: DataFrame, as_of, key: str = "order_id", pr
     order_cols = (["_first"] if order else []) + [key]
     inserted = new_rows.select(*new_cols, "_rows", *order_cols[:-1])
     if "id" in target.columns:
-        inserted = assign_ids(inserted, order_cols, start=next_id(target))
+        inserted = assign_ids(inserted, order_cols, start=next_id(target) if first_id is None else first_id)
     inserted = inserted.withColumn(ACTION, F.lit(INSERTED))
     table = kept.unionByName(inserted.select(*kept.columns))
     stats = table.agg(

@@ -3,9 +3,10 @@
 The system we reproduce has no streaming; its loads are batch jobs over order files.  This module
 only drives the existing batch operators from a file stream: each micro-batch of newly arrived
 order files is cleaned (``operators.ingest``), upserted (``operators.merge.upsert``) into the
-current snapshot and published as a new version named after the batch id.  ``foreachBatch`` gives
-exactly-once publishing as long as the version written for a batch id is deterministic, which it is:
-the version directory is derived from the batch id and written before the marker moves.
+current snapshot and published as a new version named after the stream and the batch.  ``foreachBatch`` may run a batch again;
+the version of a batch is always the same, a version is published once, and what a killed attempt wrote is in no one's way, so
+every batch is published exactly once.  The stream's id is part of the version because batch numbers start
+from 0 again with a new checkpoint.
 """
 
 from __future__ import annotations
@@ -38,20 +39,26 @@ def order_file_stream(spark: SparkSession, path: str, headers=tuple(HEADER_MAP))
     return df.where(~F.col("_name").startswith(LOCK_PREFIX)).drop("_name")
 
 
-def upsert_batches(base: str, table: str = "original_orders", as_of=None, preserve_created: bool = True):
+def upsert_batches(base: str, table: str = "original_orders", as_of=None, preserve_created: bool = True,
+                   stream: str | None = None):
     """``foreachBatch`` function: clean the micro-batch, upsert it into ``table`` of the snapshot set
-    at ``base`` (later files win), and publish version ``b<batch id>``."""
+    at ``base`` (later files win), and publish version ``<stream>-b<batch id>``.  ``stream`` is by default the query's id, which
+    lives in its checkpoint: a restart goes on with it, a new checkpoint has a new one."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        version = f"b{batch_id:012d}"
-        if snap.current_version(spark, base) == version:
+        name = stream or spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not name:
+            raise RuntimeError("no stream id: call from foreachBatch or pass stream=")
+        version = f"{name}-b{batch_id:012d}"
+        if snap.is_published(spark, base, version):
             return  # already published by an earlier attempt of this batch
+        entry = snap.current(spark, base)
         stamp = as_of or _dt.datetime.now().replace(microsecond=0)
         rows = batch.withColumn("_ordinal", F.struct("_block", F.monotonically_increasing_id())).drop("_block")
         good, _ = ing.prepare_batch(ing.preprocess(rows), ORIGINAL_ORDERS, stamp)
-        target = snap.read_current(spark, base, table)
+        target = snap.read_entry(spark, base, entry, table)
         res = upsert(target, good.drop("_ordinal"), stamp, order="_file", preserve_created=preserve_created)
-        snap.publish(spark, base, version, {table: res.table})
+        snap.publish(spark, base, version, {table: res.table}, based_on=entry)
 
     return run

@@ -58,7 +58,7 @@ def test_publish_and_append(spark, tmp_path):
     t = spark.createDataFrame([(1, "a")], "id long, order_id string")
     snap.publish(spark, base, "1", {"t": t})
     assert snap.current_version(spark, base) == "1"
-    cur = snap.read_table(spark, "t", snap.version_dir(base, "1"))
+    cur = snap.read_current(spark, base, "t")
     ok = snap.append_load(cur, spark.createDataFrame([("b",), ("c",)], "order_id string"))
     assert (ok.stats.first().inserted, ok.stats.first().errors) == (2, 0)
     assert rows(ok.table, "id", "order_id") == [(1, "a"), (2, "b"), (3, "c")]
