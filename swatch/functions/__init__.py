@@ -7,6 +7,7 @@ from swatch.functions.expr import (
     in_types,
     is_blank,
     is_sample,
+    missing_to_null,
     percent_text,
     to_double,
     to_int_or_zero,
@@ -15,6 +16,6 @@ from swatch.functions.expr import (
 )
 
 __all__ = [
-    "as_double", "as_timestamp_ntz", "bin_index", "in_types", "is_blank", "is_sample", "percent_text",
+    "as_double", "as_timestamp_ntz", "bin_index", "in_types", "is_blank", "is_sample", "missing_to_null", "percent_text",
     "to_double", "to_int_or_zero", "to_timestamp_ntz", "whole_days",
 ]

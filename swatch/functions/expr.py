@@ -13,15 +13,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Text accepted as a number: optional sign, digits with an optional fraction (or a bare fraction),
-# optional exponent, or infinity / nan.  Spark's own cast would also take "1.0d" or "1f"; this guard
+# optional exponent, or infinity / nan in any case.  Spark's own cast would also take "1.0d" or "1f"; this guard
 # keeps those out.
-NUMBER_PATTERN = r"^\s*[+-]?((\d+\.?\d*)|(\.\d+))([eE][+-]?\d+)?\s*$|^\s*[+-]?(inf|infinity|nan)\s*$"
-
-# Date text: year first, with "-", "/" or "." between the date fields (or none, yyyyMMdd), then an
-# optional time h:m[:s[.fraction]].  Text is normalised to the ISO form and cast once.
-DATE_SEPARATORS = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})"
-COMPACT_DATE = r"^(\d{4})(\d{2})(\d{2})$"
-ISO_DATE_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?)?$"
+NUMBER_PATTERN = r"(?i)^\s*[+-]?((\d+\.?\d*)|(\.\d+))(e[+-]?\d+)?\s*$|^\s*[+-]?(inf|infinity|nan)\s*$"
+
+# Cell texts that stand for a missing value, compared as they are.
+MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+                  "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+# Date text is rewritten to the ISO form and cast once.  First layout that fits:
+#   year first, with "-", "/" or "." between the fields, or none (yyyyMMdd);
+#   day first, where the first number cannot be a month; month first otherwise;
+#   named month, "4 Feb 2025" or "February 4, 2025".
+# Then an optional time h:m[:s[.fraction]] with AM or PM, and an optional zone, which is converted to UTC.
+_BETWEEN = r"[/.\-]"
+DATE_LAYOUTS = [
+    (r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(?!\d)", "$1-$2-$3"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (rf"^(1[3-9]|2\d|3[01]){_BETWEEN}(\d{{1,2}}){_BETWEEN}(\d{{4}})(?!\d)", "$3-$2-$1"),
+    (rf"^(\d{{1,2}}){_BETWEEN}(\d{{1,2}}){_BETWEEN}(\d{{4}})(?!\d)", "$3-$1-$2"),
+]
+_MONTH = (r"(?i:(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+          r"(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?)")
+NAMED_LAYOUTS = [
+    (rf"^(\d{{1,2}})[ \-]{_MONTH}\.?,?[ \-](\d{{4}})(?!\d)", "$3-$2-$1"),
+    (rf"^{_MONTH}\.? (\d{{1,2}}),? (\d{{4}})(?!\d)", "$3-$1-$2"),
+]
+_TIME = r"[ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?"
+ISO_DATE_PATTERN = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}({_TIME})?$"
+ZONED_PATTERN = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}{_TIME} ?(Z|UTC|[+-]\d{{2}}:?\d{{2}})$"
+HALF_DAY_PATTERN = rf"^(\d{{4}}-\d{{1,2}}-\d{{1,2}}[ T])(0?[1-9]|1[0-2])(:\d{{1,2}}(?::\d{{1,2}}(?:\.\d{{1,9}})?)?) ?[AaPp][Mm]"
 
 
 def c(col: str | Column) -> Column:
@@ -82,15 +103,53 @@ def to_int_or_zero(col: str | Column) -> Column:
     return F.coalesce(F.when(finite, d.try_cast("int")), F.lit(0))
 
 
+def missing_to_null(col: str | Column) -> Column:
+    """Text that stands for a missing value becomes null."""
+    col = c(col)
+    return F.when(~col.isin(*MISSING_TOKENS), col)
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _iso_text(text: Column) -> Column:
+    """Date text of any known layout with its date in the ISO form; other text as it is."""
+    for pattern, to in [*DATE_LAYOUTS, *NAMED_LAYOUTS]:
+        text = F.regexp_replace(text, pattern, to)
+
+    def numbered(named: Column) -> Column:
+        month = F.lower(F.regexp_extract(named, r"^\d{4}-([A-Za-z]{3})-", 1))
+        number = ((F.position(month, F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int").cast("string")
+        return F.when(month == "", named).otherwise(F.regexp_replace(
+            named, F.lit(r"^(\d{4})-[A-Za-z]{3}-"), F.concat(F.lit("$1-"), number, F.lit("-"))))
+
+    def whole_day(iso: Column) -> Column:
+        hour = F.regexp_extract(iso, HALF_DAY_PATTERN, 2).try_cast("int") % 12 + F.when(iso.rlike(r"[Pp][Mm]"), 12).otherwise(0)
+        return F.when(iso.rlike(HALF_DAY_PATTERN), F.regexp_replace(iso, F.lit(HALF_DAY_PATTERN), F.concat(
+            F.lit("$1"), F.lpad(hour.cast("string"), 2, "0"), F.lit("$3")))).otherwise(iso)
+
+    return once(once(text, numbered), whole_day)
+
+
 def to_timestamp_ntz(col: str | Column) -> Column:
     """Date text to ``timestamp_ntz``; text that is not a date (or an impossible one) becomes null.
 
-    One regex normalisation and one cast, guarded by a pattern test, so bad text never reaches the
-    parser: no per-format attempts, no exception per failed row.
+    Text is rewritten layout by layout and cast once behind a pattern test, so bad text never reaches the
+    parser: no per-format attempts, no exception per failed row.  Only text that is not in the ISO form
+    already goes through the rewriting.
     """
+
+    def cast(iso: Column) -> Column:
+        # For the cast, an offset needs its colon and the time its seconds.
+        zoned = F.regexp_replace(F.regexp_replace(iso, r" ?UTC$", "Z"), r" ?([+-]\d{2}):?(\d{2})$", "$1:$2")
+        zoned = F.regexp_replace(zoned, r"([ T]\d{1,2}:\d{1,2}) ?([Z+-])", "$1:00$2")
+        return F.when(iso.rlike(ISO_DATE_PATTERN), iso.try_cast("timestamp_ntz")).when(
+            iso.rlike(ZONED_PATTERN), zoned.try_cast("timestamp").cast("timestamp_ntz"))
+
     text = F.trim(c(col).cast("string"))
-    iso = F.regexp_replace(F.regexp_replace(text, DATE_SEPARATORS, "$1-$2-$3"), COMPACT_DATE, "$1-$2-$3")
-    return F.when(iso.rlike(ISO_DATE_PATTERN), iso.try_cast("timestamp_ntz"))
+    return F.when(text.rlike(ISO_DATE_PATTERN), text.try_cast("timestamp_ntz")).otherwise(once(_iso_text(text), cast))
 
 
 def as_timestamp_ntz(col: str | Column, data_type: T.DataType) -> Column:

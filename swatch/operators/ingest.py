@@ -1,11 +1,12 @@
 """Order-file cleaning (I1-I12), in the fixed step order of the source:
-I1 headers, I2 required columns, I3 dates, I6 whole-column rule, I4 ints, I5 floats, I7 strings,
+I1 headers, missing-value texts, I2 required columns, I3 dates, I6 whole-column rule, I4 ints, I5 floats, I7 strings,
 I8 keep-first; then I12 NaN cleaning, I11 rejects, I9 load stamps, I10 schema alignment.
 
 Input is text (every column ``string``), one row per file row, with a ``_file`` column naming the
 file and an ordinal column giving the row's position in it (``sources.files`` provides both).
-Everything is a column expression except I6 (one aggregate per file, joined back) and I8 (one
-aggregate per (file, key)); both are map-side combined, so a key or file with a third of the rows is
+Everything is a column expression except I8 (one aggregate per (file, key)) and I6.  The text is read once: the
+aggregate of I8 also tells whether any row of the key was dirty, its result is written, and I6's verdict of a
+file comes from that.  The aggregate is map-side combined, so a key or file with a third of the rows is
 reduced to one row per task before any shuffle.
 """
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swatch.functions import to_double, to_int_or_zero, to_timestamp_ntz
+from swatch.functions import missing_to_null, to_double, to_int_or_zero, to_timestamp_ntz
 from swatch.operators.quality import require_columns
 from swatch.schemas import (
     COUNT_DEFAULT_COLUMNS,
@@ -30,6 +31,7 @@ from swatch.schemas import (
     STRING_COLUMNS,
     WHOLE_COLUMN_RULE_COLUMN,
 )
+from swatch.session import materialize
 
 FILE_COL = "_file"
 ORDINAL_COL = "_ordinal"
@@ -57,20 +59,35 @@ def coerce_dates(df: DataFrame, cols: Sequence[str] = DATE_COLUMNS) -> DataFrame
     return df.withColumns({c: to_timestamp_ntz(c) for c in cols if c in df.columns})
 
 
+def null_missing(df: DataFrame, skip: Sequence[str] = (FILE_COL, ORDINAL_COL)) -> DataFrame:
+    """Cell texts that stand for a missing value (``n/a``, ``NULL``, ...) become null, in every text column."""
+    return df.withColumns({f.name: missing_to_null(f.name) for f in df.schema.fields
+                           if isinstance(f.dataType, T.StringType) and f.name not in skip})
+
+
+DIRTY = "_dirty"
+
+
+def mark_dirty(df: DataFrame, col: str = WHOLE_COLUMN_RULE_COLUMN) -> DataFrame:
+    """I6, first half: ``col`` parsed as a number with nulls kept (no null → 0 here), and whether its text
+    was none."""
+    if col not in df.columns:
+        return df
+    bad = F.col(col).isNotNull() & to_double(col).isNull() & ~F.lower(F.trim(F.col(col))).isin("nan", "+nan", "-nan")
+    return df.withColumn(DIRTY, bad).withColumn(col, to_double(col))
+
+
 def zero_if_dirty(df: DataFrame, col: str = WHOLE_COLUMN_RULE_COLUMN, by: str = FILE_COL) -> DataFrame:
-    """If any non-null value of ``col`` in a file is not numeric, the whole column of that file
-    becomes 0.0; otherwise it is parsed as a number with nulls kept (no null → 0 here).
+    """I6, second half: if any row of a file is dirty, the whole column of that file becomes 0.0.
 
     The per-file verdict is one aggregate row per file; adaptive execution broadcasts it if its
-    measured size allows.
+    measured size allows.  ``df`` should be a written table, as it is read twice.
     """
-    if col not in df.columns:
+    if DIRTY not in df.columns:
         return df
-    bad = F.col(col).isNotNull() & to_double(col).isNull() & ~F.lower(F.trim(F.col(col))).isin("nan")
-    verdict = df.groupBy(by).agg(F.max(bad.cast("int")).alias("_dirty"))
-    return (df.join(verdict, by, "left")
-            .withColumn(col, F.when(F.col("_dirty") == 1, F.lit(0.0)).otherwise(to_double(col)))
-            .drop("_dirty"))
+    verdict = df.where(DIRTY).select(by).distinct().withColumn("_zero", F.lit(True))
+    return (df.drop(DIRTY).join(verdict, by, "left")
+            .withColumn(col, F.when(F.col("_zero"), F.lit(0.0)).otherwise(F.col(col))).drop("_zero"))
 
 
 def coerce_ints(df: DataFrame, cols: Sequence[str] = INT_COLUMNS) -> DataFrame:
@@ -94,10 +111,11 @@ def keep_first(df: DataFrame, key: str = "order_id", by: str = FILE_COL, ordinal
     An aggregate (``min_by`` of the whole row) instead of a window: a key repeated a billion times
     is reduced map-side and never lands whole in one task.
     """
-    others = [c for c in df.columns if c not in (by, key)]
+    others = [c for c in df.columns if c not in (by, key, DIRTY)]
+    dirty = [F.bool_or(DIRTY).alias(DIRTY)] if DIRTY in df.columns else []  # of any row, not of the first one
     row = F.struct(*others)
-    return (df.groupBy(by, key).agg(F.min_by(row, F.col(ordinal)).alias("_r"))
-            .select(by, key, *[F.col(f"_r.{c}").alias(c) for c in others])
+    return (df.groupBy(by, key).agg(F.min_by(row, F.col(ordinal)).alias("_r"), *dirty)
+            .select(by, key, *[F.col(f"_r.{c}").alias(c) for c in others], *[DIRTY for _ in dirty])
             .select(*df.columns))
 
 
@@ -137,23 +155,33 @@ def align_schema(df: DataFrame, schema: T.StructType, keep: Sequence[str] = ())
     return df.select(*cols, *[c for c in keep if c in df.columns])
 
 
+def carried(df: DataFrame, schema: T.StructType, keep: Sequence[str] = ()) -> DataFrame:
+    """The target's columns that the files carry, typed; unknown columns dropped (except ``keep``).  What an upsert
+    takes: a column that no file carries must not reach it."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields if f.name in df.columns],
+                     *[c for c in keep if c in df.columns])
+
+
 def preprocess(df: DataFrame, key: str = "order_id", by: str = FILE_COL, ordinal: str = ORDINAL_COL) -> DataFrame:
-    """I1, I2, I3, I6, I4, I5, I7, I8 in the source's order."""
+    """I1, I2, I3, I6, I4, I5, I7, I8 in the source's order; the cleaned rows are written once (I6 reads them twice)."""
     out = map_headers(df)
     require_columns(out, [key])
+    out = null_missing(out, (by, ordinal))
     out = coerce_dates(out)
-    out = zero_if_dirty(out, by=by)
+    out = mark_dirty(out)
     out = coerce_ints(out)
     out = coerce_floats(out)
     out = fill_strings(out)
-    return keep_first(out, key, by, ordinal)
+    out = keep_first(out, key, by, ordinal)
+    return zero_if_dirty(materialize(out, "clean-orders"), by=by) if DIRTY in out.columns else out
 
 
 def prepare_batch(df: DataFrame, schema: T.StructType, as_of, key: str = "order_id",
-                  keep: Sequence[str] = (FILE_COL, ORDINAL_COL)) -> tuple[DataFrame, DataFrame]:
-    """I12, I11, I9, I10 after ``preprocess``: (load-ready rows, rejected rows).  Presence flags are
-    kept, so the upsert can leave columns a file lacked untouched."""
+                  keep: Sequence[str] = (FILE_COL, ORDINAL_COL), align: bool = True) -> tuple[DataFrame, DataFrame]:
+    """I12, I11, I9, I10 after ``preprocess``: (load-ready rows, rejected rows).  An append (S8) takes all columns of the
+    target (``align``); an upsert only those that the files carry.  Presence flags are kept, so that it can leave
+    columns untouched that the row's own file lacked."""
     good, rejects = split_rejects(null_nans(df), key)
     target = T.StructType([f for f in schema.fields if f.name != "id"])
     keep = list(keep) + [c for c in df.columns if c.startswith(PRESENCE_PREFIX)]
-    return align_schema(stamp(good, as_of), target, keep), rejects
+    return (align_schema if align else carried)(stamp(good, as_of), target, keep), rejects

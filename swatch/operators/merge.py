@@ -213,6 +213,8 @@ def upsert(target: DataFrame, batch: DataFrame, as_of, key: str = "order_id", pr
             continue
         if f.name in ("created_at", "updated_at"):
             new_cols.append(now.alias(f.name))
+        elif f.name in present and f.name in values:
+            new_cols.append(F.when(F.col(present[f.name]), F.col(f.name).cast(f.dataType)).alias(f.name))
         elif f.name in values or f.name == key:
             new_cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
         else:

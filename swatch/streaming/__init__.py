@@ -56,7 +56,7 @@ def upsert_batches(base: str, table: str = "original_orders", as_of=None, preser
         entry = snap.current(spark, base)
         stamp = as_of or _dt.datetime.now().replace(microsecond=0)
         rows = batch.withColumn("_ordinal", F.struct("_block", F.monotonically_increasing_id())).drop("_block")
-        good, _ = ing.prepare_batch(ing.preprocess(rows), ORIGINAL_ORDERS, stamp)
+        good, _ = ing.prepare_batch(ing.preprocess(rows), ORIGINAL_ORDERS, stamp, align=False)
         target = snap.read_entry(spark, base, entry, table)
         res = upsert(target, good.drop("_ordinal"), stamp, order="_file", preserve_created=preserve_created)
         snap.publish(spark, base, version, {table: res.table}, based_on=entry)

@@ -106,3 +106,63 @@ def test_files_of_one_name_in_two_folders_stay_apart(spark, tmp_path):
     both = read_order_files(spark, str(tmp_path), (".csv",), recursive=True)
     assert len({r._file for r in both.collect()}) == 2
     assert read_order_files(spark, str(tmp_path / "a"), (".csv",)).count() == 1
+
+
+def test_date_layouts(spark):
+    from swatch.functions import to_timestamp_ntz
+    want = {
+        "2025-02-04": dt.datetime(2025, 2, 4), "2025/2/4 10:06": dt.datetime(2025, 2, 4, 10, 6), "20250204": dt.datetime(2025, 2, 4),
+        "2025.02.04 10:06:07.5": dt.datetime(2025, 2, 4, 10, 6, 7, 500000),
+        "02/04/2025 10:06": dt.datetime(2025, 2, 4, 10, 6), "2/4/2025": dt.datetime(2025, 2, 4), "13/02/2025": dt.datetime(2025, 2, 13),
+        "4 Feb 2025": dt.datetime(2025, 2, 4), "Feb 4, 2025 10:06": dt.datetime(2025, 2, 4, 10, 6), "february 4 2025": dt.datetime(2025, 2, 4),
+        "04-Feb-2025": dt.datetime(2025, 2, 4), "Sept. 4, 2025": dt.datetime(2025, 9, 4), "31 December 2025 12:01 AM": dt.datetime(2025, 12, 31, 0, 1),
+        "02/04/2025 3:06 PM": dt.datetime(2025, 2, 4, 15, 6), "2025-02-04 12:30pm": dt.datetime(2025, 2, 4, 12, 30),
+        "2025-02-04T10:06:00Z": dt.datetime(2025, 2, 4, 10, 6), "2025-02-04 10:06:00+08:00": dt.datetime(2025, 2, 4, 2, 6),
+        "2025-02-04 10:06 -0530": dt.datetime(2025, 2, 4, 15, 36), "2025-02-04 10:06 UTC": dt.datetime(2025, 2, 4, 10, 6),
+        "2025-02-30": None, "13/13/2025": None, "Foo 4, 2025": None, "4 Febby 2025": None, "not a date": None, "": None, None: None,
+        "2025-02-04 25:00": None, "02/04/2025 13:06 PM": None, "2025-02-04x": None, "1/2/20255": None, "10:06": None,
+    }
+    df = spark.createDataFrame([(k,) for k in want], "d string")
+    got = {r[0]: r[1] for r in df.select("d", to_timestamp_ntz("d")).collect()}
+    assert got == want
+
+
+def test_missing_texts_and_infinity(spark):
+    from pyspark.sql import functions as F
+    head = "`订单ID` string, `金额` string, `叠衣服成本` string, `客户` string, `衣服总数` string, _file string, _ordinal int"
+    data = [("A", "inf", "0.5", "n/a", "NULL", "a", 1), ("B", "Infinity", "#N/A", "NA", "inf", "a", 2), ("NULL", "1", "nan", "x", "1", "a", 3),
+            ("C", "-INF", "cheap", " n/a", "2", "b", 1), ("C", "5", "0.5", "kept", "3", "b", 2), ("D", "", "0.5", "None", "4", "b", 3)]
+    out = ing.preprocess(spark.createDataFrame(data, head))
+    got = {(r._file, r.order_id): (r.amount, r.cloth_pack_cost, r.customer_name, r.quantity) for r in out.collect()}
+    inf = float("inf")
+    assert got == {("a", "A"): (inf, 0.5, "", 0), ("a", "B"): (inf, None, "", 0), ("a", ""): (1.0, None, "x", 1),
+                   ("b", "C"): (-inf, 0.0, " n/a", 2), ("b", "D"): (0.0, 0.0, "", 4)}
+    # The verdict counts rows that keep-first drops, and every text is read once.
+    scans = out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD")
+    assert scans == 0
+    later = ing.preprocess(spark.createDataFrame([("E", "1", "0.5", "x", "1", "c", 1), ("E", "1", "text", "x", "1", "c", 2)], head))
+    assert later.first().cloth_pack_cost == 0.0
+
+
+def test_upsert_of_narrow_files_keeps_the_rest(spark, tmp_path):
+    from swatch.operators import merge as mg
+    from swatch.sources.files import order_file_headers, read_mixed_order_files
+    from swatch.sources.tables import empty_table
+    _write(tmp_path / "1.csv", "订单ID,客户,金额\nA1,new,5\nA3,c3,7\n")
+    _write(tmp_path / "2.csv", "金额,订单ID\n9,A1\n8,A4\n")
+    _write(tmp_path / "3.csv", "\ufeff订单ID,\"未知,列\"\nA2,u\n")
+    _write(tmp_path / "4.csv", "")
+    _write(tmp_path / "~$1.csv", "订单ID\nX\n")
+    groups = order_file_headers(spark, str(tmp_path))
+    assert list(groups) == [("订单ID", "客户", "金额"), ("金额", "订单ID"), ("订单ID", "未知,列")]
+    raw, present = read_mixed_order_files(spark, str(tmp_path))
+    good, _ = ing.prepare_batch(ing.preprocess(raw), ORIGINAL_ORDERS, "2026-01-01", align=False)
+    target = empty_table(spark, "original_orders").unionByName(spark.createDataFrame(
+        [(i, f"A{i}", "p", "note", 7.5, "old", 1.0) for i in (1, 2)],
+        "id long, order_id string, phone string, notes string, work_cost double, customer_name string, amount double"),
+        allowMissingColumns=True)
+    res = mg.upsert(target, good.drop("_ordinal"), "2026-01-01", order="_file", present=ing.present_columns(good))
+    got = {r.order_id: (r.id, r.phone, r.notes, r.work_cost, r.customer_name, r.amount) for r in res.table.collect()}
+    assert got == {"A1": (1, "p", "note", 7.5, "new", 9.0), "A2": (2, "p", "note", 7.5, "old", 1.0),
+                   "A3": (3, None, None, None, "c3", 7.0), "A4": (4, None, None, None, None, 8.0)}
+    assert tuple(res.stats.first()) == (2, 3)
