@@ -116,8 +116,11 @@ def once(value: Column, use) -> Column:
 
 def _iso_text(text: Column) -> Column:
     """Date text of any known layout with its date in the ISO form; other text as it is."""
-    for pattern, to in [*DATE_LAYOUTS, *NAMED_LAYOUTS]:
-        text = F.regexp_replace(text, pattern, to)
+    numeric = named = text
+    for pattern, to in DATE_LAYOUTS:
+        numeric = F.regexp_replace(numeric, pattern, to)
+    for pattern, to in NAMED_LAYOUTS:
+        named = F.regexp_replace(named, pattern, to)
 
     def numbered(named: Column) -> Column:
         month = F.lower(F.regexp_extract(named, r"^\d{4}-([A-Za-z]{3})-", 1))
@@ -130,7 +133,9 @@ def _iso_text(text: Column) -> Column:
         return F.when(iso.rlike(HALF_DAY_PATTERN), F.regexp_replace(iso, F.lit(HALF_DAY_PATTERN), F.concat(
             F.lit("$1"), F.lpad(hour.cast("string"), 2, "0"), F.lit("$3")))).otherwise(iso)
 
-    return once(once(text, numbered), whole_day)
+    # A letter that begins a month's name ("UTC" has none), and the last letter of AM and PM.
+    iso = F.when(text.rlike(r"[A-Sa-s][A-Za-z]{2}"), once(named, numbered)).otherwise(numeric)
+    return F.when(text.rlike(r"[AaPp][Mm]\b"), once(iso, whole_day)).otherwise(iso)
 
 
 def to_timestamp_ntz(col: str | Column) -> Column:
@@ -149,7 +154,10 @@ def to_timestamp_ntz(col: str | Column) -> Column:
             iso.rlike(ZONED_PATTERN), zoned.try_cast("timestamp").cast("timestamp_ntz"))
 
     text = F.trim(c(col).cast("string"))
-    return F.when(text.rlike(ISO_DATE_PATTERN), text.try_cast("timestamp_ntz")).otherwise(once(_iso_text(text), cast))
+    plain = text
+    for pattern, to in DATE_LAYOUTS[:2]:  # year first: the common case, without further layouts
+        plain = F.regexp_replace(plain, pattern, to)
+    return F.when(plain.rlike(ISO_DATE_PATTERN), plain.try_cast("timestamp_ntz")).otherwise(once(_iso_text(text), cast))
 
 
 def as_timestamp_ntz(col: str | Column, data_type: T.DataType) -> Column:

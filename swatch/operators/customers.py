@@ -32,11 +32,15 @@ from pyspark.sql import functions as F
 
 from swatch.functions import is_blank
 from swatch.operators.ids import assign_ids, next_id
-from swatch.operators.skew import HOT_KEY_ROWS, hot_keys, salted_join
+from swatch.operators.skew import HOT_KEY_ROWS, grid_join, grid_of
 from swatch.session import materialize
 from swatch.schemas import BULK_SIDE, SAMPLE_SIDE, CustomerSide
 
 
+# Customers of one name that a task should meet with its share of the name's orders, or of the other side's customers.
+CELL_CUSTOMERS = 2_000
+
+
 def _ts(as_of) -> Column:
     if isinstance(as_of, str):
         as_of = _dt.datetime.fromisoformat(as_of)
@@ -73,8 +77,10 @@ def _count_tags(frames: dict[str, DataFrame]) -> DataFrame:
     return tagged.agg(*[F.count_if(F.col("_tag") == F.lit(tag)).alias(tag) for tag in frames])
 
 
-def resolve_customers(existing: DataFrame, triples: DataFrame, as_of, side: CustomerSide = SAMPLE_SIDE) -> Resolution:
-    """Find-or-create customers for the triples (rules in the module doc).
+def resolve_customers(existing: DataFrame, triples: DataFrame, as_of, side: CustomerSide = SAMPLE_SIDE,
+                      first_id=None) -> Resolution:
+    """Find-or-create customers for the triples (rules in the module doc).  ``first_id`` is the first new id, where
+    ``existing`` is a part of the table.
 
     The triples (distinct (name, shop, handler), far fewer than orders) are written once to the
     checkpoint directory: every rule reads them, and without the cut each read would rescan the
@@ -99,7 +105,7 @@ def resolve_customers(existing: DataFrame, triples: DataFrame, as_of, side: Cust
                  .select("customer_name", F.col("_f.shop").alias("shop"), F.col("_f.handler").alias("handler"),
                          "_created_at_seen"))
     created = new_pairs.select("customer_name", "shop", "handler", "_created_at_seen").unionByName(new_blank)
-    created = assign_ids(created, ["_created_at_seen"], start=next_id(existing))
+    created = assign_ids(created, ["_created_at_seen"], start=next_id(existing) if first_id is None else first_id)
 
     # Resolve every triple.
     new_pair_ids = created.where(~is_blank("shop")).select("customer_name", "shop", F.col("id").alias("_new_pair"))
@@ -147,8 +153,32 @@ def resolve_customers(existing: DataFrame, triples: DataFrame, as_of, side: Cust
     return Resolution(customers, resolved, counters, t, created)
 
 
+def merge_stats(customers: DataFrame, new_links: DataFrame, linked: DataFrame, side: CustomerSide = SAMPLE_SIDE) -> DataFrame:
+    """C6 by deltas: the stored statistics of customers that get new links are merged with those of the new links
+    alone (counts and sums add up, first and last dates extend).
+
+    ``linked`` holds the ids (link customer column) of customers that had links before: of the others the stored values are
+    not statistics of links, so theirs are those of the new links.  Customers without new links keep their row."""
+    cid = side.link_customer_col
+    had = linked.select(F.col(cid).alias("_had")).distinct()
+    st = new_links.groupBy(cid).agg(F.count(F.lit(1)).cast("int").alias("_n"), F.coalesce(F.sum("amount"), F.lit(0.0)).alias("_sum"),
+                                    F.min("order_date").alias("_first"), F.max("order_date").alias("_last"))
+    st = st.join(had, st[cid] == F.col("_had"), "left")
+    j = customers.join(st, customers["id"] == st[cid], "left")
+    has, before = F.col(cid).isNotNull(), F.col("_had").isNotNull()
+    old = lambda name: F.when(before, F.col(name))
+    return j.withColumns({
+        side.orders_count: F.when(has, F.coalesce(old(side.orders_count), F.lit(0)) + F.col("_n")).otherwise(F.col(side.orders_count)),
+        side.total_amount: F.when(has, F.coalesce(old(side.total_amount), F.lit(0.0)) + F.col("_sum"))
+        .otherwise(F.col(side.total_amount)),
+        side.first_date: F.when(has, F.least(old(side.first_date), F.col("_first"))).otherwise(F.col(side.first_date)),
+        side.last_date: F.when(has, F.greatest(old(side.last_date), F.col("_last"))).otherwise(F.col(side.last_date)),
+    }).select(*customers.columns)
+
+
 def link_orders(orders: DataFrame, triple_map: DataFrame, existing_links: DataFrame, as_of,
-                side: CustomerSide = SAMPLE_SIDE, ordinal: str = "id", hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+                side: CustomerSide = SAMPLE_SIDE, ordinal: str = "id", hot_rows: int = HOT_KEY_ROWS,
+                first_id=None, cell: int | None = None) -> DataFrame:
     """New (customer, order) links.  An order links to every customer resolved from a triple of
     its name, whatever the shop; ``order_date`` is the order's ``created_at``; an amount of 0 or NaN
     is stored as null; pairs already linked are skipped.  Returns the new link rows with ids after
@@ -160,26 +190,27 @@ def link_orders(orders: DataFrame, triple_map: DataFrame, existing_links: DataFr
                                     F.col("created_at").alias("order_date"),
                                     F.nullif(F.nanvl(F.col("amount").cast("double"), F.lit(None).cast("double")),
                                              F.lit(0.0)).alias("amount"))
-    # A name with more orders than one task should take (the blank name can be huge) is salted.
-    hot = hot_keys(o.groupBy("customer_name").agg(F.count(F.lit(1)).alias("_n")), "customer_name", "_n",
-                   hot_rows)
-    links = (salted_join(o, per_name, "customer_name", hot)
+    # A name may have more orders than one task should take, and more customers too (the blank name, with many
+    # shops): its orders x customers are dealt over a grid.
+    grid = grid_of(o, per_name, "customer_name", hot_rows, CELL_CUSTOMERS if cell is None else cell)
+    links = (grid_join(o, per_name, "customer_name", grid)
              .join(existing_links.select(cust_col, "order_id"), [cust_col, "order_id"], "left_anti"))
     links = assign_ids(links.select(cust_col, "order_id", "_ord", "order_date", "amount"), [cust_col, "_ord"],
-                       start=next_id(existing_links))
+                       start=next_id(existing_links) if first_id is None else first_id)
     return links.select("id", cust_col, "order_id", "order_date", "amount", _ts(as_of).alias("created_at"))
 
 
 def detect_conversions(sample_customers: DataFrame, bulk_customers: DataFrame, existing: DataFrame,
-                       as_of) -> DataFrame:
+                       as_of, cell: int | None = None) -> DataFrame:
     """C4: one conversion per (sample, bulk) customer pair of the same name not yet recorded.
 
-    Pairs per name are bounded: resolution makes at most one customer per (name, shop) and one
-    blank-shop customer per name on each side.
+    The pairs are the result; a name's are bounded by its shops on either side, as resolution makes at most one customer
+    per (name, shop) and one blank-shop customer per name.  A name with many is dealt over a grid.
     """
     s = sample_customers.select(F.col("id").alias("sample_customer_id"), "customer_name")
     b = bulk_customers.select(F.col("id").alias("bulk_customer_id"), "customer_name")
-    pairs = (s.join(b, "customer_name")
+    rows = CELL_CUSTOMERS if cell is None else cell
+    pairs = (grid_join(s, b, "customer_name", grid_of(s, b, "customer_name", rows, rows))
              .join(existing.select("sample_customer_id", "bulk_customer_id"),
                    ["sample_customer_id", "bulk_customer_id"], "left_anti")
              .select("sample_customer_id", "bulk_customer_id"))
@@ -239,6 +270,21 @@ class CustomerBuild:
     counters: DataFrame           # C8, one row
 
 
+def _routed(orders: DataFrame, ordinal: str) -> DataFrame:
+    """The columns of routed orders that C1 and C3 read, written once: the triples, the rows per name and the links all
+    read them, and the source behind them may be a join."""
+    return materialize(drop_missing(orders).select(
+        F.col(ordinal).alias(ordinal), "order_id", "customer_name", "shop", "handler", "amount", "created_at"), "routed-orders")
+
+
+def _counters(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row."""
+    return _count_tags(parts).select(
+        "new_sample", (F.col("_triples_sample") - F.col("new_sample")).alias("updated_sample"),
+        "new_bulk", (F.col("_triples_bulk") - F.col("new_bulk")).alias("updated_bulk"),
+        "sample_relations", "bulk_relations", "conversions", F.lit(0).cast("long").alias("errors"))
+
+
 def build_customers(sample_orders: DataFrame, bulk_orders: DataFrame, existing: dict[str, DataFrame], as_of,
                     ordinal: str = "id", hot_rows: int = HOT_KEY_ROWS) -> CustomerBuild:
     """C1-C3 for the sample side, C1-C3 for the bulk side, C4, C5, C6 for both sides.
@@ -252,8 +298,9 @@ def build_customers(sample_orders: DataFrame, bulk_orders: DataFrame, existing:
     for side, orders in ((SAMPLE_SIDE, sample_orders), (BULK_SIDE, bulk_orders)):
         ex_c = existing[f"{side.name}_customers"]
         ex_l = existing[f"{side.name}_order_customers"]
+        orders = _routed(orders, ordinal)
         res = resolve_customers(ex_c, customer_triples(orders, ordinal), as_of, side)
-        new_links = link_orders(orders, res.triple_map, ex_l, as_of, side, ordinal, hot_rows)
+        new_links = materialize(link_orders(orders, res.triple_map, ex_l, as_of, side, ordinal, hot_rows), "new-links")
         out[side.name] = (res.customers, ex_l.unionByName(new_links))
         parts.update({f"_triples_{side.name}": res.triples, f"new_{side.name}": res.created,
                       f"{side.name}_relations": new_links})
@@ -262,9 +309,43 @@ def build_customers(sample_orders: DataFrame, bulk_orders: DataFrame, existing:
     s_c = customer_stats(s_c, out["sample"][1], SAMPLE_SIDE)
     b_c = customer_stats(b_c, out["bulk"][1], BULK_SIDE)
     parts["conversions"] = conv_new
-    cnt = _count_tags(parts).select(
-        "new_sample", (F.col("_triples_sample") - F.col("new_sample")).alias("updated_sample"),
-        "new_bulk", (F.col("_triples_bulk") - F.col("new_bulk")).alias("updated_bulk"),
-        "sample_relations", "bulk_relations", "conversions", F.lit(0).cast("long").alias("errors"))
     return CustomerBuild(s_c, b_c, out["sample"][1], out["bulk"][1],
-                         existing["customer_conversions"].unionByName(conv_new), cnt)
+                         existing["customer_conversions"].unionByName(conv_new), _counters(parts))
+
+
+def update_customers(orders: dict[str, DataFrame], new_orders: dict[str, DataFrame], existing: dict[str, DataFrame], as_of,
+                     ordinal: str = "id", hot_rows: int = HOT_KEY_ROWS) -> CustomerBuild:
+    """C7 after a load: what ``build_customers`` over all ``orders`` gives, from the customers that the ``new_orders`` touch.
+
+    ``orders`` and ``new_orders`` map a side to its orders: all of them (with the new ones), and those that were loaded since
+    ``existing`` was built.  Whatever a new order changes has its name: only orders, customers and links of the names of
+    new orders are read beyond their key columns and take part in C1 to C3 (an old order of such a name gets links to its
+    new customers).  Statistics are merged from the new links alone, and conversions come from pairs with a
+    customer that is new on either side.  All other rows pass unchanged.  The counters count what the touched names did."""
+    out, parts, born = {}, {}, {}
+    for side in (SAMPLE_SIDE, BULK_SIDE):
+        ex_c, ex_l = existing[f"{side.name}_customers"], existing[f"{side.name}_order_customers"]
+        cid = side.link_customer_col
+        names = materialize(drop_missing(new_orders[side.name]).select("customer_name").distinct(), "touched-names")
+        touched = _routed(orders[side.name].join(names, "customer_name", "left_semi"), ordinal)
+        mine = ex_c.join(names, "customer_name", "left_semi").select(*ex_c.columns)
+        rest = ex_c.join(names, "customer_name", "left_anti").select(*ex_c.columns)
+        # New ids go on after those of the whole table, the touched part of which may lack the largest.
+        res = resolve_customers(mine, customer_triples(touched, ordinal), as_of, side, first_id=next_id(ex_c))
+        old_links = ex_l.join(mine.select(F.col("id").alias(cid)), cid, "left_semi").select(cid, "order_id")
+        new_links = materialize(link_orders(touched, res.triple_map, old_links, as_of, side, ordinal, hot_rows,
+                                            first_id=next_id(ex_l)), "new-links")
+        now = merge_stats(res.customers, new_links, old_links, side)
+        out[side.name] = (materialize(rest.unionByName(now.select(*rest.columns)), "customers-now"), ex_l.unionByName(new_links))
+        born[side.name] = res.created.select("id", "customer_name")
+        parts.update({f"_triples_{side.name}": res.triples, f"new_{side.name}": res.created,
+                      f"{side.name}_relations": new_links})
+    # A pair is new if one of its customers is, or if it was never recorded for customers that both were there.
+    (s_c, s_l), (b_c, b_l) = out["sample"], out["bulk"]
+    seen = born["sample"].unionByName(born["bulk"]).select("customer_name").distinct()
+    conv_new = detect_conversions(s_c.join(seen, "customer_name", "left_semi"), b_c.join(seen, "customer_name", "left_semi"),
+                                  existing["customer_conversions"], as_of)
+    conv_new = materialize(conv_new, "new-conversions")
+    s_c, b_c = apply_conversions(s_c, b_c, conv_new)
+    parts["conversions"] = conv_new
+    return CustomerBuild(s_c, b_c, s_l, b_l, existing["customer_conversions"].unionByName(conv_new), _counters(parts))

@@ -14,12 +14,13 @@ import datetime as _dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from swatch.functions import in_types
 from swatch.operators.ids import assign_ids, next_id
+from swatch.session import materialize
 
 ACTION = "_action"
 INSERTED, UPDATED, UNCHANGED, DELETED = "inserted", "updated", "unchanged", "deleted"
@@ -243,15 +244,41 @@ def lookup(target: DataFrame, keys: DataFrame, key: str = "order_id") -> tuple[D
 
 
 def _one_per_key(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(the smallest row of each key, by value; the other rows).  Keys that occur once need no second
-    look, so the window that numbers repeats runs on repeated keys only; null keys stay as they are."""
+    """(the smallest row of each key, by value; the other rows).  Rows with a null key all stay in the first.
+
+    Equal rows are counted and each key's smallest is an aggregate, so no task holds all rows of a key."""
     others = [c for c in rows.columns if c != key]
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    again = counts.where("_n > 1").select(key)
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*others))
-    ranked = rows.join(again, key, "left_semi").withColumn("_rank", rank)
-    first = rows.join(again, key, "left_anti").unionByName(ranked.where("_rank = 1").drop("_rank"))
-    return first.select(*rows.columns), ranked.where("_rank > 1").select(*rows.columns)
+    counted = rows.where(F.col(key).isNotNull()).groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_m"))
+    least = counted.groupBy(F.col(key).alias("_k")).agg(F.min(F.struct(F.lit(0).alias("_"), *others)).alias("_r"))
+    first = least.select(F.col("_k").alias(key), *[F.col("_r")[c].alias(c) for c in others]).select(*rows.columns)
+    mine = F.struct(F.lit(0).alias("_"), *others).eqNullSafe(F.col("_r")).cast("int")
+    again = (counted.join(least, counted[key] == F.col("_k")).withColumn("_m", (F.col("_m") - mine).cast("int"))
+             .where("_m > 0").select(*rows.columns, F.explode(F.sequence(F.lit(1), F.col("_m"))).alias("_copy")))
+    return first.unionByName(rows.where(F.col(key).isNull())), again.select(*rows.columns)
+
+
+def resolve_renames(keys: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which of several simultaneous renames ``(old, new)`` can stand, so that keys stay unique: (accepted, rejected).
+
+    ``keys`` has the present keys (column ``key``), all of ``old`` among them, each with one rename at most.  Of renames to
+    one new key that of the smallest old key wins.  Winning renames form chains and rings: A to B and B to C.  A ring
+    stands; a chain stands if its last new key is no present key, and else none of it does, because the row in
+    the way stays and with it every row behind.  The ends of chains are found by doubling: each round a chain's
+    pieces reach twice as far, so there are about log2(longest chain) rounds."""
+    won = renames.groupBy("new").agg(F.min("old").alias("old"))
+    step = materialize(won.select("old", "new", F.col("new").alias("end")), "renames")
+    for _ in range(max(1, int(step.count()).bit_length() + 1)):
+        ahead = step.select(F.col("old").alias("_at"), F.col("end").alias("_further"))
+        far = step.join(ahead, step["end"] == F.col("_at"), "left")
+        if not far.where("_at IS NOT NULL").limit(1).count():
+            break
+        step = materialize(far.select("old", "new", F.coalesce("_further", "end").alias("end")), "renames")
+    # What ends at a key that is itself renamed is a ring.
+    inner = step.select(F.col("old").alias("_o"))
+    blocked = (step.join(inner, step["end"] == F.col("_o"), "left_anti")
+               .join(keys.select(F.col("key").alias("_k")), F.col("end") == F.col("_k"), "left_semi"))
+    accepted = step.join(blocked.select("old"), "old", "left_anti").select("old", "new")
+    return accepted, renames.join(accepted.select("old"), "old", "left_anti").select("old", "new")
 
 
 def insert_new(target: DataFrame, rows: DataFrame, as_of, key: str = "order_id") -> tuple[DataFrame, DataFrame]:
@@ -286,12 +313,26 @@ def patch(target: DataFrame, changes: DataFrame, as_of, key: str = "order_id",
     """F8: partial update; only non-null change fields are set and ``updated_at = as_of``.
 
     ``changes`` has ``lookup_col`` (the key to find) and any subset of target columns; a ``key``
-    column in it renames the row's key.  Returns (new table, change rows that were not applied: the key
-    was not found, or another change, smaller by value, has the same key).
+    column in it renames the row's key.  All changes happen at once, so keys may be exchanged or passed on; a rename that
+    would give two rows one key is not applied, nor is the rest of its change (``resolve_renames``).  Returns (new table,
+    change rows that were not applied: the key was not found, the rename cannot stand, or another change, smaller by value, has
+    the same key).
     """
     every, (changes, again) = changes, _one_per_key(changes, lookup_col)
+    present = target.select(F.col(key).alias("key"))
+    found = changes.join(present.withColumnRenamed("key", lookup_col), lookup_col, "left_semi").select(*every.columns)
+    missing = changes.join(present.withColumnRenamed("key", lookup_col), lookup_col, "left_anti").select(*every.columns)
+    refused = again
+    if key in every.columns and key != lookup_col:
+        found = materialize(found, "found-changes")
+        renames = found.where(F.col(key).isNotNull() & (F.col(key) != F.col(lookup_col))).select(
+            F.col(lookup_col).alias("old"), F.col(key).cast(target.schema[key].dataType).alias("new"))
+        _, rejected = resolve_renames(present, renames)
+        rejected = materialize(rejected.select(F.col("old").alias(lookup_col)), "rejected-renames")
+        refused = refused.unionByName(found.join(rejected, lookup_col, "left_semi").select(*every.columns))
+        found = found.join(rejected, lookup_col, "left_anti")
     fields = [c for c in changes.columns if c in target.columns and c not in ("id", "created_at", "updated_at")]
-    ch = changes.select(F.col(lookup_col).alias("_lk"), *[F.col(c).alias(f"_c_{c}") for c in fields])
+    ch = found.select(F.col(lookup_col).alias("_lk"), *[F.col(c).alias(f"_c_{c}") for c in fields])
     joined = target.join(ch, target[key] == F.col("_lk"), "left")
     hit = F.col("_lk").isNotNull()
     cols = []
@@ -303,8 +344,7 @@ def patch(target: DataFrame, changes: DataFrame, as_of, key: str = "order_id",
         else:
             cols.append(F.col(f.name))
     table = joined.select(*cols, F.when(hit, F.lit(UPDATED)).otherwise(F.lit(UNCHANGED)).alias(ACTION))
-    missing = changes.join(target.select(F.col(key).alias(lookup_col)), lookup_col, "left_anti")
-    return table, missing.select(*every.columns).unionByName(again.select(*every.columns))
+    return table, missing.unionByName(refused)
 
 
 def delete_keys(target: DataFrame, keys: DataFrame, key: str = "order_id") -> tuple[DataFrame, DataFrame]:

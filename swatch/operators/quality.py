@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from swatch.operators.skew import HOT_KEY_ROWS, salted_exists
 from swatch.schemas import AMOUNT_NAME_HINTS, DATE_NAME_HINTS, OrderCols
 
 
@@ -43,9 +44,10 @@ def duplicate_keys(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
             .where(F.col("rows") > 1))
 
 
-def key_clashes(batch: DataFrame, target: DataFrame, key: str) -> DataFrame:
-    """Q2 (target side): batch rows whose key already exists in the target."""
-    return batch.join(target.select(key).distinct(), key, "left_semi")
+def key_clashes(batch: DataFrame, target: DataFrame, key: str, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """Q2 (target side): batch rows whose key already exists in the target.  A key that many batch rows share is
+    split over several tasks."""
+    return salted_exists(batch, target.select(key), key, True, hot_rows)
 
 
 def duplicate_key_count(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
@@ -57,8 +59,8 @@ def duplicate_key_count(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
                        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
-def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """Q3: child rows whose non-null key has no parent row (foreign-key check)."""
-    p = parent.select(F.col(parent_key).alias("_pk")).distinct()
-    return (child.where(F.col(child_key).isNotNull())
-            .join(p, F.col(child_key) == F.col("_pk"), "left_anti"))
+def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    """Q3: child rows whose non-null key has no parent row (foreign-key check).  A parent with very many children
+    is split over several tasks."""
+    known = parent.select(F.col(parent_key).cast(child.schema[child_key].dataType).alias(child_key))
+    return salted_exists(child.where(F.col(child_key).isNotNull()), known, child_key, False, hot_rows)

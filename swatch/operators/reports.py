@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Sequence
+from dataclasses import dataclass
+from itertools import accumulate
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from swatch.session import materialize
 
 
 def customers_by_handler(customers: DataFrame, handler: str | None = None) -> DataFrame:
@@ -79,5 +88,42 @@ def explode_report(report: DataFrame) -> DataFrame:
 
 
 def page(df: DataFrame, skip: int = 0, limit: int = 100, order=("id",)) -> DataFrame:
-    """T4: rows ``skip`` .. ``skip + limit`` in ``order``."""
+    """T4: rows ``skip`` .. ``skip + limit`` in ``order``, of a table read as it is: fit for the first pages, as a task gathers
+    ``skip + limit`` rows.  ``Pages`` serves deep ones."""
     return df.orderBy(*order).offset(skip).limit(limit)
+
+
+@dataclass
+class Pages:
+    """A table laid out for paging: range-partitioned and sorted files, and how many rows come before each.
+
+    The layout is one shuffle and is written once; a page then reads only the files that its rows lie in, however deep it
+    is.  The counts are one number per file."""
+
+    spark: SparkSession
+    schema: T.StructType
+    order: tuple[str, ...]
+    files: list[str]
+    before: list[int]   # rows in earlier files, and at the end the rows of all
+
+    @classmethod
+    def of(cls, df: DataFrame, order: Sequence[str] = ("id",), files: int | None = None) -> Pages:
+        """``order`` must tell rows apart, or rows that it does not may change places between two pages."""
+        ranged = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)
+        table = materialize(ranged.sortWithinPartitions(*order), "pages")
+        counts = table.groupBy(F.col("_metadata.file_path").alias("path")).count().collect()  # a row per file
+        # Writers number files as the range partitions are numbered, and a partition may be cut into several files.
+        place = lambda r: [int(x) for x in re.findall(r"part-(\d+)|c(\d+)", r["path"].rsplit("/", 1)[1]) for x in x if x]
+        counts.sort(key=place)
+        return cls(df.sparkSession, df.schema, tuple(order), [r["path"] for r in counts],
+                   [0, *accumulate(r["count"] for r in counts)])
+
+    def page(self, skip: int = 0, limit: int = 100) -> DataFrame:
+        """Rows ``skip`` .. ``skip + limit``; none beyond the end."""
+        first = max(0, bisect_right(self.before, skip) - 1)
+        last = bisect_left(self.before, skip + limit)
+        some = self.files[first:last]
+        if not some:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).parquet(*some)
+        return rows.orderBy(*self.order).offset(skip - self.before[first]).limit(limit)

@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from swatch.operators import merge as mg
+from swatch.operators.quality import key_clashes
 from swatch.plans.common import Query
 from swatch.plans.orders_model import (
     AS_OF,
     AS_OF_SQL,
     BULK_TYPES_P3,
     CUTOFF,
+    EVERY_ORDER_SQL,
     ORDER_COLUMNS,
     ORIGINAL_TARGET_SQL,
     P3_SQL,
     SAMPLE_TYPES_P3,
+    every_order,
     original_target,
     p3_orders,
     p4_target,
     p4_target_sql,
 )
+from swatch.session import ensure_checkpoint_dir
+from swatch.sources import snapshots as snap
 
 VALUE_COLUMNS = [c for c in ORDER_COLUMNS if c not in ("id", "order_id", "created_at", "updated_at")]
 ROUTES = {"sample_orders": (SAMPLE_TYPES_P3, "sample_status"), "bulk_orders": (BULK_TYPES_P3, "production_status")}
@@ -149,24 +156,27 @@ FROM b"""
 
 
 def _keys(spark, sf_dir, flag: str):
+    """Order ids of line items; those of seventh lines are of no order."""
     from swatch.plans.common import load
-    li = load(spark, sf_dir, "lineitem")
-    return li.where(F.col("l_returnflag") == flag).select(F.col("l_orderkey").cast("string").alias("order_id"))
+    li = load(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag)
+    key = F.col("l_orderkey").cast("string")
+    return li.select(F.when(F.col("l_linenumber") == 7, F.concat(key, F.lit("-x"))).otherwise(key).alias("order_id"))
 
 
 def _keys_sql(flag: str) -> str:
-    return f"SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS order_id FROM lineitem WHERE l_returnflag = '{flag}'"
+    return (f"SELECT DISTINCT CAST(l_orderkey AS VARCHAR) || CASE WHEN l_linenumber = 7 THEN '-x' ELSE '' END AS order_id "
+            f"FROM lineitem WHERE l_returnflag = '{flag}'")
 
 
 def _lookup(found: bool):
     def build(spark, sf_dir):
-        hit, miss = mg.lookup(original_target(p3_orders(spark, sf_dir)), _keys(spark, sf_dir, "A"))
+        hit, miss = mg.lookup(every_order(p3_orders(spark, sf_dir)), _keys(spark, sf_dir, "A"))
         return hit if found else miss
     return build
 
 
 def _lookup_sql(found: bool) -> str:
-    head = f"WITH p3 AS ({P3_SQL}), tgt AS ({ORIGINAL_TARGET_SQL}), k AS ({_keys_sql('A')}) "
+    head = f"WITH p3 AS ({P3_SQL}), tgt AS ({EVERY_ORDER_SQL}), k AS ({_keys_sql('A')}) "
     if found:
         return head + "SELECT * FROM tgt WHERE order_id IN (SELECT order_id FROM k)"
     return head + "SELECT order_id FROM k WHERE order_id NOT IN (SELECT order_id FROM tgt)"
@@ -206,29 +216,53 @@ def _insert_new_sql(rejects: bool) -> str:
 
 
 def _changes(src):
+    """Changes of open orders; those of medium priority ask for orders that are not there."""
+    key = F.when(F.col("order_type") == "3-MEDIUM", F.concat("order_id", F.lit("-x"))).otherwise(F.col("order_id"))
     return (src.where(F.col("order_status") == "P")
-            .select(F.col("order_id").alias("lookup_key"),
+            .select(key.alias("lookup_key"),
                     F.when(F.col("order_type") == "5-LOW", F.concat("order_id", F.lit("-r"))).alias("order_id"),
                     F.lit("closed").alias("handler"),
                     F.lit(None).cast("double").alias("amount")))
 
 
-CHANGES_SQL = ("SELECT order_id AS lookup_key, CASE WHEN order_type = '5-LOW' THEN order_id || '-r' END AS order_id, "
+CHANGES_SQL = ("SELECT order_id || CASE WHEN order_type = '3-MEDIUM' THEN '-x' ELSE '' END AS lookup_key, "
+               "CASE WHEN order_type = '5-LOW' THEN order_id || '-r' END AS order_id, "
                "'closed' AS handler, CAST(NULL AS DOUBLE) AS amount FROM p3 WHERE order_status = 'P'")
 
 
-def _patch(missing: bool):
+def _renames(src):
+    """Open orders take a number further on, which may be taken, given up by its order, or wanted by another one."""
+    step = F.when(F.col("order_type") == "1-URGENT", 1).when(F.col("order_type") == "2-HIGH", 2).otherwise(7)
+    return src.where(F.col("order_status") != "O").select(
+        F.col("order_id").alias("lookup_key"), (F.col("id") + step).cast("string").alias("order_id"),
+        F.lit("moved").alias("handler"), F.lit(None).cast("double").alias("amount"))
+
+
+RENAMES_SQL = ("SELECT order_id AS lookup_key, CAST(id + CASE order_type WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 7 END "
+               "AS VARCHAR) AS order_id, 'moved' AS handler, CAST(NULL AS DOUBLE) AS amount FROM p3 WHERE order_status <> 'O'")
+# Renames that can stand: the winners of their new keys, on chains that do not end at a key that stays.  Keys only grow, so
+# there are no rings.
+STANDING_SQL = """
+won AS (SELECT order_id AS new, min(lookup_key) AS old FROM ch WHERE lookup_key IN (SELECT order_id FROM tgt) GROUP BY 1),
+walk AS (SELECT old, new AS stop FROM won UNION ALL SELECT w.old, n.new FROM walk w JOIN won n ON n.old = w.stop),
+standing AS (SELECT old FROM walk WHERE stop NOT IN (SELECT old FROM won) AND stop NOT IN (SELECT order_id FROM tgt))"""
+
+
+def _patch(missing: bool, changes=_changes):
     def build(spark, sf_dir):
         src = p3_orders(spark, sf_dir)
-        table, miss = mg.patch(original_target(src), _changes(src), AS_OF)
+        table, miss = mg.patch(every_order(src), changes(src), AS_OF)
         return miss if missing else table
     return build
 
 
-def _patch_sql(missing: bool) -> str:
-    head = f"WITH p3 AS ({P3_SQL}), tgt AS ({ORIGINAL_TARGET_SQL}), ch AS ({CHANGES_SQL}) "
+def _patch_sql(missing: bool, renames: bool = False) -> str:
+    head = f"WITH RECURSIVE p3 AS ({P3_SQL}), tgt AS ({EVERY_ORDER_SQL}), ch AS ({RENAMES_SQL if renames else CHANGES_SQL})"
+    if renames:
+        head += "," + STANDING_SQL
+    applied = "lookup_key IN (SELECT old FROM standing)" if renames else "lookup_key IN (SELECT order_id FROM tgt)"
     if missing:
-        return head + "SELECT * FROM ch WHERE lookup_key NOT IN (SELECT order_id FROM tgt)"
+        return head + f" SELECT * FROM ch WHERE NOT ({applied})"
     cols = []
     for c in ORDER_COLUMNS:
         if c in ("order_id", "handler", "amount"):
@@ -237,19 +271,20 @@ def _patch_sql(missing: bool) -> str:
             cols.append(f"CASE WHEN c.lookup_key IS NOT NULL THEN {AS_OF_SQL} ELSE t.updated_at END AS updated_at")
         else:
             cols.append(f"t.{c}")
-    return head + (f"SELECT {', '.join(cols)}, CASE WHEN c.lookup_key IS NOT NULL THEN 'updated' "
-                   f"ELSE 'unchanged' END AS _action FROM tgt t LEFT JOIN ch c ON c.lookup_key = t.order_id")
+    return head + (f" SELECT {', '.join(cols)}, CASE WHEN c.lookup_key IS NOT NULL THEN 'updated' "
+                   f"ELSE 'unchanged' END AS _action FROM tgt t LEFT JOIN (SELECT * FROM ch WHERE {applied}) c "
+                   f"ON c.lookup_key = t.order_id")
 
 
 def _delete(missing: bool):
     def build(spark, sf_dir):
-        kept, miss = mg.delete_keys(original_target(p3_orders(spark, sf_dir)), _keys(spark, sf_dir, "R"))
+        kept, miss = mg.delete_keys(every_order(p3_orders(spark, sf_dir)), _keys(spark, sf_dir, "R"))
         return miss if missing else kept
     return build
 
 
 def _delete_sql(missing: bool) -> str:
-    head = f"WITH p3 AS ({P3_SQL}), tgt AS ({ORIGINAL_TARGET_SQL}), k AS ({_keys_sql('R')}) "
+    head = f"WITH p3 AS ({P3_SQL}), tgt AS ({EVERY_ORDER_SQL}), k AS ({_keys_sql('R')}) "
     if missing:
         return head + "SELECT order_id FROM k WHERE order_id NOT IN (SELECT order_id FROM tgt)"
     return head + "SELECT * FROM tgt WHERE order_id NOT IN (SELECT order_id FROM k)"
@@ -290,8 +325,69 @@ def _append_sql(clash: bool, counts: bool) -> str:
                    f"SELECT {', '.join(ins)}, 'inserted' AS _action FROM rows")
 
 
+# ------------------------------------------------------------------------------------------------
+# Snapshots: published and read back, whole and in buckets
+# ------------------------------------------------------------------------------------------------
+
+BUCKETS = 64
+
+
+def _base(spark) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
+
+
+def _publish_read_back(spark, sf_dir):
+    base, target = _base(spark), original_target(p3_orders(spark, sf_dir))
+    snap.ensure_tables(spark, base, "0", ["customer_conversions"])
+    snap.publish(spark, base, "1", {"original_orders": target, "other": target.select("id")})
+    snap.publish(spark, base, "2", {"other": target.select("order_id")})
+    return snap.read_current(spark, base, "original_orders")
+
+
+def _csv_read_back(spark, sf_dir):
+    """A globally sorted CSV, read again as typed text."""
+    path, target = _base(spark), original_target(p3_orders(spark, sf_dir)).select("id", "order_id", "amount", "created_at")
+    snap.write_csv(target, path, sort_by=["amount", "id"])
+    return spark.read.schema(target.schema).option("header", "true").csv(path)
+
+
+def _bucketed_sync(route: str):
+    def build(spark, sf_dir):
+        base, src = _base(spark), p3_orders(spark, sf_dir)
+        snap.publish(spark, base, "1", {r: p4_target(src, t, extra) for r, (t, extra) in ROUTES.items()},
+                     buckets={r: ("order_id", BUCKETS) for r in ROUTES})
+        snap.sync_snapshot(spark, base, "2", src, {r: t for r, (t, _) in ROUTES.items()}, AS_OF)
+        return snap.read_current(spark, base, route)
+    return build
+
+
+def _bucketed_upsert(spark, sf_dir):
+    base, src = _base(spark), p3_orders(spark, sf_dir)
+    snap.publish(spark, base, "1", {"t": original_target(src)}, buckets={"t": ("order_id", BUCKETS)})
+    snap.upsert_snapshot(spark, base, "2", "t", _batch(src), AS_OF)
+    return snap.read_current(spark, base, "t")
+
+
+def _clashes(spark, sf_dir):
+    """Q2: line items whose order is in the table before the cut-off; orders of many lines are split."""
+    from swatch.plans.common import load
+    li = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("order_id"), "l_linenumber", "l_partkey")
+    return key_clashes(li, original_target(p3_orders(spark, sf_dir)), "order_id", hot_rows=3)
+
+
 def queries() -> list[Query]:
     return [
+        Query("s7_publish_read_back_p3", _publish_read_back, f"WITH p3 AS ({P3_SQL}) {ORIGINAL_TARGET_SQL}"),
+        Query("s5_csv_read_back_p3", _csv_read_back,
+              f"WITH p3 AS ({P3_SQL}) SELECT id, order_id, amount, created_at FROM ({ORIGINAL_TARGET_SQL}) t"),
+        *[Query(f"m7_bucketed_sync_{r}_p4", _bucketed_sync(r), f"SELECT * EXCLUDE (_action) FROM ({_sync_sql(r)}) s")
+          for r in ROUTES],
+        Query("m1_bucketed_upsert_p3", _bucketed_upsert, f"SELECT * EXCLUDE (_action) FROM ({_upsert_sql(True)}) u"),
+        Query("q2_key_clashes_p3", _clashes, f"""WITH p3 AS ({P3_SQL})
+              SELECT CAST(l_orderkey AS VARCHAR) AS order_id, l_linenumber, l_partkey FROM lineitem
+              WHERE CAST(l_orderkey AS VARCHAR) IN (SELECT order_id FROM ({ORIGINAL_TARGET_SQL}) t)"""),
+        Query("f8_rename_chains_p3", _patch(False, _renames), _patch_sql(False, True)),
+        Query("f8_rename_rejected_p3", _patch(True, _renames), _patch_sql(True, True)),
         Query("s8_append_load_p3", _append(False, False), _append_sql(False, False)),
         Query("s8_append_counts_p3", _append(False, True), _append_sql(False, True)),
         Query("s8_append_rejected_counts_p3", _append(True, True), _append_sql(True, True)),

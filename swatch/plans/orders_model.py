@@ -92,3 +92,11 @@ def original_target(src: DataFrame) -> DataFrame:
 
 ORIGINAL_TARGET_SQL = (f"SELECT * REPLACE (amount / 2 AS amount) FROM p3 "
                        f"WHERE order_created_date < TIMESTAMP '{CUTOFF}'")
+
+
+def every_order(src: DataFrame) -> DataFrame:
+    """``original_orders`` with all orders at half amounts: the table that changes are applied to."""
+    return src.withColumn("amount", F.col("amount") / 2)
+
+
+EVERY_ORDER_SQL = "SELECT * REPLACE (amount / 2 AS amount) FROM p3"

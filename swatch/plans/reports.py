@@ -10,13 +10,14 @@ from swatch.operators import merge as mg
 from swatch.operators import quality as qa
 from swatch.operators import reports as rp
 from swatch.plans.common import Query, load
-from swatch.plans.customers import SAMPLE_OUT, _customers_sql, _with, first_build
+from swatch.plans.customers import BULK_OUT, SAMPLE_OUT, _customers_sql, _with, first_build
 from swatch.plans.ingest import TEXT_SQL, p5_text
 from swatch.plans.orders_model import P6_SQL
 from swatch.schemas import SAMPLE_CUSTOMER_EDIT_FIELDS
 
 N_TOP = 50
 SKIP, LIMIT = 10, 20
+DEEP = 90
 HANDLER = "F"
 
 
@@ -95,8 +96,16 @@ SELECT s.id, s.customer_name, s.shop, CASE WHEN ch.id IS NOT NULL THEN NULL ELSE
 FROM {SC} s LEFT JOIN ch ON ch.id = s.id"""
 
 
+def _orphan_orders(spark, sf_dir):
+    """Q3 with orphans: orders whose customer is not among those with a balance; customers of many orders are split."""
+    parents = load(spark, sf_dir, "customer").where(F.col("c_acctbal") >= 0)
+    return qa.orphans(load(spark, sf_dir, "orders"), parents, "o_custkey", "c_custkey", hot_rows=5)
+
+
 def queries() -> list[Query]:
     return [
+        Query("q3_orphan_orders", _orphan_orders,
+              "SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)"),
         Query("a11_customer_summary_p6", _summary, SUMMARY_SQL),
         Query("t2_unconverted_p6", lambda s, d: _sample_out(rp.unconverted(_build(s, d).sample_customers, N_TOP)),
               T2_SQL),
@@ -104,6 +113,16 @@ def queries() -> list[Query]:
         Query("t4_page_sample_customers_p6",
               lambda s, d: _sample_out(rp.page(_build(s, d).sample_customers, SKIP, LIMIT)),
               f"SELECT * FROM {SC} sc ORDER BY id LIMIT {LIMIT} OFFSET {SKIP}"),
+        Query("t4_deep_page_sample_customers_p6",
+              lambda s, d: _sample_out(rp.Pages.of(_build(s, d).sample_customers, files=12).page(DEEP, LIMIT)),
+              f"SELECT * FROM {SC} sc ORDER BY id LIMIT {LIMIT} OFFSET {DEEP}"),
+        Query("t4_deep_page_bulk_customers_p6",
+              lambda s, d: rp.Pages.of(_build(s, d).bulk_customers, files=12).page(DEEP, LIMIT).select(*BULK_OUT).withColumn(
+                  "total_bulk_amount", F.round("total_bulk_amount", 4)),
+              f"SELECT * FROM {BC} bc ORDER BY id LIMIT {LIMIT} OFFSET {DEEP}"),
+        Query("t4_deep_page_orders",
+              lambda s, d: rp.Pages.of(load(s, d, "orders"), ["o_orderdate", "o_orderkey"], files=12).page(10 * DEEP, LIMIT),
+              f"SELECT * FROM orders ORDER BY o_orderdate, o_orderkey LIMIT {LIMIT} OFFSET {10 * DEEP}"),
         Query("f5_customers_by_handler_p6",
               lambda s, d: _sample_out(rp.customers_by_handler(_build(s, d).sample_customers, HANDLER)),
               f"SELECT * FROM {SC} sc WHERE handler = '{HANDLER}'"),

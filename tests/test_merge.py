@@ -151,3 +151,45 @@ def test_keys_stay_unique_without_an_order(spark):
     table, missing = m.patch(t, ch, stamp)
     assert [(r.order_id, r.amount) for r in table.collect()] == [("A", 7.0)]
     assert sorted((r.lookup_key, r.amount) for r in missing.collect()) == [("A", 8.0), ("Z", 9.0)]
+
+
+def _patched(spark, keys, renames):
+    t = spark.createDataFrame([(i, k, k, AS_OF) for i, k in enumerate(keys)], "id long, order_id string, v string, updated_at timestamp_ntz")
+    ch = spark.createDataFrame([(a, b, f"{a}>{b}") for a, b in renames], "lookup_key string, order_id string, v string")
+    table, left = mg.patch(t, ch, AS_OF)
+    got = {r.order_id: r.v for r in table.collect()}
+    assert len(got) == len(keys) == table.count()  # keys stay unique, no row is lost
+    return got, sorted((r.lookup_key, r.order_id) for r in left.collect())
+
+
+def test_renames_chains_rings_and_collisions(spark):
+    # A chain that ends at a free key, a ring, a chain into a key that stays, two renames to one key, an unknown key.
+    got, left = _patched(spark, "ABCPQXYZMN", [("A", "B"), ("B", "C"), ("C", "free"), ("P", "Q"), ("Q", "P"), ("X", "Y"), ("Y", "Z"),
+                                               ("M", "new"), ("N", "new"), ("none", "K")])
+    assert got == {"B": "A>B", "C": "B>C", "free": "C>free", "Q": "P>Q", "P": "Q>P", "X": "X", "Y": "Y", "Z": "Z", "new": "M>new", "N": "N"}
+    assert left == [("N", "new"), ("X", "Y"), ("Y", "Z"), ("none", "K")]
+    # A loser stays in the way of the chain behind it; a rename to the own key is none.
+    got, left = _patched(spark, "ABCD", [("A", "E"), ("B", "E"), ("C", "B"), ("D", "D")])
+    assert got == {"E": "A>E", "B": "B", "C": "C", "D": "D>D"} and left == [("B", "E"), ("C", "B")]
+
+
+def test_long_chain_of_renames(spark):
+    keys = [f"{i:03d}" for i in range(70)]
+    got, left = _patched(spark, keys, [(f"{i:03d}", f"{i + 1:03d}") for i in range(70)])
+    assert not left and set(got) == {f"{i:03d}" for i in range(1, 71)}
+    got, left = _patched(spark, keys, [(f"{i:03d}", f"{i + 1:03d}") for i in range(69)])
+    assert len(left) == 69 and set(got) == set(keys)
+
+
+def test_one_per_key_returns_every_other_row(spark):
+    df = spark.createDataFrame([("a", 2, None), ("a", 1, "x"), ("a", 1, "x"), ("a", None, "y"), ("b", 1, "z"), (None, 1, "n"), (None, 1, "n")],
+                               "k string, n int, t string")
+    first, again = mg._one_per_key(df, "k")
+    assert rows(first) == rows(spark.createDataFrame([("a", None, "y"), ("b", 1, "z"), (None, 1, "n"), (None, 1, "n")], df.schema))
+    assert rows(again) == rows(spark.createDataFrame([("a", 2, None), ("a", 1, "x"), ("a", 1, "x")], df.schema))
+
+
+def test_null_keys_are_never_inserted_twice(spark):
+    t = spark.createDataFrame([(1, None, 1.0), (2, "a", 1.0)], "id long, order_id string, amount double")
+    res = mg.upsert(t, spark.createDataFrame([(None, 9.0), ("a", 5.0)], "order_id string, amount double"), AS_OF)
+    assert rows(res.table, "order_id", "amount") == [("a", 5.0), (None, 1.0)]
