@@ -58,14 +58,22 @@ def _signatures(terms: Column, fallback: Column) -> Column:
     """Fingerprint of an array of distinct ``struct<h, mask>``."""
 
     def fingerprint_of(ordered: Column) -> Column:
-        def signature(r: Column) -> Column:
-            own = F.transform(F.filter(ordered, lambda t: F.bit_get(t["mask"], r) == 1), lambda t: t["h"])
+        def signature(of: Column, r: Column) -> Column:
+            own = F.transform(F.filter(of, lambda t: F.bit_get(t["mask"], r) == 1), lambda t: t["h"])
             return F.when(F.size(own) > 0, F.right(F.concat(F.lit(EMPTY), F.lower(F.hex(F.xxhash64(own)))), F.lit(WIDTH))
                           ).otherwise(F.lit(EMPTY))
 
+        def of_rate(k: int) -> Column:
+            # Few terms are in any subset of a low rate: they are picked out once for all subsets of the rate.
+            bits = F.lit(((1 << PER_RATE) - 1) << (k * PER_RATE))
+            some = F.filter(ordered, lambda t: t["mask"].bitwiseAND(bits) != 0)
+            subsets = F.sequence(F.lit(k * PER_RATE), F.lit((k + 1) * PER_RATE - 1))
+            return F.element_at(F.transform(F.array(some), lambda of: F.array_join(
+                F.transform(subsets, lambda r: signature(of, r)), "")), 1)
+
         whole = F.when(F.size(ordered) > 0, F.xxhash64(F.transform(ordered, lambda t: t["h"]))).otherwise(fallback)
         first = F.right(F.concat(F.lit(EMPTY), F.lower(F.hex(whole))), F.lit(WIDTH))
-        return F.concat(first, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), signature), ""))
+        return F.concat(first, *[of_rate(k) for k in range(len(RATES))])
 
     # Bound as the one element of an array, so that the terms are sorted once and not once per subset.
     return F.element_at(F.transform(F.array(F.sort_array(terms)), fingerprint_of), 1)

@@ -65,9 +65,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     slim = picked.select(lang.alias("lang"), F.col(text_col).alias("text"))
 
     def count(langs, texts):
-        got: Counter = Counter()
+        # A word is taken apart once for all rows of the step that hold it.
+        words: dict[str, Counter] = {}
         for lang, text in zip(langs, texts):
-            for w, n in Counter(text.encode("utf-8").translate(_FOLD).split()).items():
+            words.setdefault(lang, Counter()).update(text.encode("utf-8").translate(_FOLD).split())
+        got: Counter = Counter()
+        for lang, own in words.items():
+            for w, n in own.items():
                 word = w.decode("utf-8", "ignore").lower()
                 script = script_of(word)
                 if script:
