@@ -160,6 +160,10 @@ def analysis_queries(tag: str, m: OrderMapping) -> list[Query]:
               lambda s, d: conv.customer_sample_analysis(_orders(s, d, m), c, m.marker), _sql_a4(m)),
         Query(f"a5_customer_conversion_{tag}",
               lambda s, d: _a5(s, d, m).withColumn("bulk_amount", F.round("bulk_amount", 4)), _sql_a5(m)),
+        # Customers of more than three orders are split in the join.
+        Query(f"a5_customer_conversion_split_{tag}",
+              lambda s, d: conv.customer_conversion_analysis(_orders(s, d, m), c, m.marker, hot_rows=3).withColumn(
+                  "bulk_amount", F.round("bulk_amount", 4)), _sql_a5(m)),
         Query(f"a6_conversion_rate_{tag}",
               lambda s, d: round_doubles(conv.conversion_rate(_a5(s, d, m))), _sql_rate(m)),
         Query(f"a7_avg_days_to_convert_{tag}",
