@@ -22,7 +22,8 @@ as 62-bit hashes; two different n-grams of one pair of documents collide with pr
 
 Texts: A-Z lower-cased, words between ASCII white space.  Fewer words than n are one n-gram; texts
 without words (null, empty) have an empty set and link with nothing.  Rows that repeat an id are
-points of that id.
+points of that id.  Rows with a null id link like others; their component is the smallest id that they reach, null if there
+is none.
 """
 
 from __future__ import annotations
@@ -121,7 +122,8 @@ def least_overlap(size: int, percent: int) -> int:
 
 def _points(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, hot: np.ndarray) -> DataFrame:
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    schema = T.StructType([slim.schema["id"], *T.StructType.fromDDL("n long, key binary, prefix array<long>").fields])
+    schema = T.StructType([slim.schema["id"], *T.StructType.fromDDL(
+        "n long, key binary, prefix array<long>, brief binary").fields])
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(ids, texts):
@@ -132,11 +134,25 @@ def _points(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, h
             keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
             prefixes.append(ordered(own, shared.value)[:len(own) - least_overlap(len(own), percent) + 1] if len(own) else own)
         cat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-        return [ids, sizes, keys, list_array(cat, [len(p) for p in prefixes], pa.int64())]
+        return [ids, sizes, keys, list_array(cat, [len(p) for p in prefixes], pa.int64()), [brief(p) for p in prefixes]]
 
     return materialize(map_rows(slim, run, schema), "jaccard-points")
 
 
+BRIEF_SHIFT = 39  # of an order key of 63 bits, the first 24
+EARLIER = 8
+
+
+def brief(prefix: np.ndarray) -> bytes:
+    """The first three bytes of each order key: what a point carries to its regions."""
+    return (prefix >> BRIEF_SHIFT).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def unbrief(packed: bytes) -> np.ndarray:
+    three = np.frombuffer(packed, np.uint8).reshape(-1, 3).astype(np.int32)
+    return three[:, 0] | three[:, 1] << 8 | three[:, 2] << 16
+
+
 def runs(table: pa.Table, keys: int):
     """Rows of ``table`` by equal first ``keys`` columns, as lists of tuples."""
     own: dict[tuple, list] = {}
@@ -152,23 +168,27 @@ def pair_table(pairs: list[tuple]) -> pa.Table:
 def candidate_pairs(rows: list, percent: int) -> list[tuple]:
     """Pairs of one small region that the sizes and the first n-grams cannot rule out.
 
-    ``rows``: (token, size class, id, n, own class, prefix).  A pair is taken up where its first common
-    n-gram is the region's, and in the size class of its larger point."""
+    ``rows``: (token, size class, id, n, own class, brief prefix).  A pair is taken up in the size class of its larger
+    point, where its first common n-gram is the region's.  Brief keys that are equal may belong to different n-grams, which
+    only makes common n-grams seem more: the bound stays one, and a pair is passed over only if ``EARLIER`` common keys come before
+    the region's.  (That many false ones in one pair are out of reach: one in a thousand pairs has one.)  So a pair may be
+    taken up a few times."""
     token, cls = rows[0][:2]
+    here = token >> BRIEF_SHIFT
     out = []
-    points = sorted((r[3], r[2], r[4], np.array(r[5])) for r in rows)
+    points = sorted((r[3], r[2], r[4], unbrief(r[5])) for r in rows)
     for j, (nb, b, cb, pb) in enumerate(points):
         if cb != cls:
             continue
         for na, a, _, pa_ in points[:j]:
             if 100 * na < percent * nb:
                 continue
-            common = np.intersect1d(pa_, pb, assume_unique=True)
-            if not len(common) or common[0] != token:
+            common = pb[np.minimum(np.searchsorted(pb, pa_), len(pb) - 1)] == pa_
+            if common[:np.searchsorted(pa_, here)].sum() >= EARLIER:
                 continue
-            upto = min(pa_[-1], pb[-1])
-            apart = (np.searchsorted(pa_, upto, "right") + np.searchsorted(pb, upto, "right")
-                     - 2 * np.searchsorted(common, upto, "right"))
+            upto = min(pa_[-1], pb[-1])  # below it both prefixes are complete
+            la, lb = np.searchsorted(pa_, upto), np.searchsorted(pb, upto)
+            apart = la + lb - 2 * common[:la].sum()
             if apart * (100 + percent) <= (na + nb) * (100 - percent):
                 out.append((a, b) if a < b else (b, a))
     return out
@@ -178,7 +198,8 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, n:
     """``(id, grams)`` of the given ids, written once.  The ids are broadcast below a checked count."""
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    slim = slim.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+    ids = ids.select(F.col("id").alias("_wanted"))
+    slim = slim.join(F.broadcast(ids) if small else ids, F.col("id").eqNullSafe(F.col("_wanted")), "left_semi")
     schema = T.StructType([slim.schema["id"], T.StructField("key", T.BinaryType()),
                            T.StructField("grams", T.ArrayType(T.LongType()))])
 
@@ -211,7 +232,7 @@ def _cross(rows: list, percent: int) -> list[tuple]:
     n_a, n_b = (np.array([len(r[6]) for r in side]) for side in (outer, inner))
     all_a, all_b = (np.concatenate([np.array(r[6], np.int64) for r in side]) for side in (outer, inner))
     grams = np.intersect1d(all_a, all_b)
-    inter = np.zeros((len(outer), len(inner)), np.float32)
+    inter = np.zeros((len(outer), len(inner)), np.int64)
     row_a, row_b = np.repeat(np.arange(len(outer)), n_a), np.repeat(np.arange(len(inner)), n_b)
     for at in range(0, len(grams), 4096):  # a slice of the common n-grams at a time
         part = grams[at:at + 4096]
@@ -223,7 +244,7 @@ def _cross(rows: list, percent: int) -> list[tuple]:
             m[owner[hit], col[hit]] = 1
             return m
 
-        inter += dense(all_a, row_a, len(outer)) @ dense(all_b, row_b, len(inner)).T
+        inter += (dense(all_a, row_a, len(outer)) @ dense(all_b, row_b, len(inner)).T).astype(np.int64)
     near = 100 * inter >= percent * (n_a[:, None] + n_b[None, :] - inter)
     found: dict[tuple, tuple] = {}
     for i, j in zip(*np.nonzero(near)):
@@ -247,10 +268,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     points = _points(docs, id_col, text_col, n, percent, hot)
     # One point per distinct set; its name is the key of the set.
     reps = materialize(points.where("n > 0").groupBy("key").agg(
-        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "jaccard-reps")
+        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
+        F.first("brief").alias("brief")), "jaccard-reps")
     ratio = math.log(100 / percent)
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio)).cast("int")
-    home = reps.select(F.col("key").alias("point"), "n", own.alias("own"), "prefix")
+    home = reps.select(F.col("key").alias("point"), "n", own.alias("own"), "prefix", "brief")
     # N-grams first of one point only make no region.  What is left is small beside the prefixes: the
     # repeated n-grams are broadcast below a checked count, so that the prefixes are not shuffled again.
     tokens = materialize(home.select(F.explode("prefix").alias("token")).groupBy("token").agg(
@@ -268,16 +290,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = regions.where(F.col("m") <= SMALL).agg(F.sum("m")).first()[0] or 0
     deal = max(1, -(-int(total) // ROWS_A_GROUP))  # regions go to groups of about so many rows
     rows = (entries.join(small, ["token", "cls"]).select("token", "cls", "point")
-            .join(home, "point")
-            .select(F.pmod(F.xxhash64("token", "cls"), F.lit(deal)).alias("deal"), "token", "cls", "point", "n", "own", "prefix"))
+            .join(home.select("point", "n", "own", "brief"), "point")
+            .select(F.pmod(F.xxhash64("token", "cls"), F.lit(deal)).alias("deal"), "token", "cls", "point", "n", "own", "brief"))
 
     def search(dealt: pa.Table) -> pa.Table:
         out = []
         for region in runs(dealt.drop_columns("deal"), 2):
             out += candidate_pairs(region, percent)
-        return pair_table(out)
+        return pair_table(sorted(set(out)))
 
-    pairs = materialize(rows.groupBy("deal").applyInArrow(search, "a binary, b binary"), "jaccard-pairs")
+    pairs = materialize(rows.groupBy("deal").applyInArrow(search, "a binary, b binary").distinct(), "jaccard-pairs")
 
     # Large regions; tokens with the same points are one region.
     large = regions.where(F.col("m") > SMALL)
@@ -327,18 +349,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
         found = blocks_in.groupBy("region", "block", "chunk").applyInArrow(compare, "a binary, b binary")
         links = materialize(links.union(found), "jaccard-links")
-    # Components over the smallest ids of the points.
-    names = reps.select(F.col("key").alias("point"), "rep")
-    by_id = (links.join(names.withColumnRenamed("point", "a").withColumnRenamed("rep", "ia"), "a")
-             .join(names.withColumnRenamed("point", "b").withColumnRenamed("rep", "ib"), "b")
-             .select(F.col("ia").alias("a"), F.col("ib").alias("b")))
-    by_id = by_id.where("a <> b")
-    labels = components(by_id) if by_id.limit(1).count() else None
-    final = reps.select("key", "rep")
-    if labels is not None:
-        final = final.join(labels, final.rep == labels.v, "left").select("key", F.coalesce("label", "rep").alias("component"))
+    # Components over ids: points of one id are one node, points of null ids are nodes of their own.
+    node = F.when(F.col("rep").isNull(), F.concat(F.lit("k"), F.hex("key"))).otherwise(
+        F.concat(F.lit("i"), F.col("rep").cast("string")))
+    names = reps.select(F.col("key").alias("point"), "rep", node.alias("node"))
+    of = lambda side: names.select(F.col("point").alias(side), F.col("node").alias(f"n{side}"))
+    by_id = links.join(of("a"), "a").join(of("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")).where("a <> b")
+    if by_id.limit(1).count():
+        labels = components(by_id)
+        named = names.join(labels, names.node == labels.v, "left").withColumn("label", F.coalesce("label", "node"))
+        least = named.groupBy("label").agg(F.min("rep").alias("component"))
+        final = named.join(least, "label").select(F.col("point").alias("key"), "component")
     else:
-        final = final.withColumnRenamed("rep", "component")
+        final = names.select(F.col("point").alias("key"), F.col("rep").alias("component"))
     final = materialize(final, "jaccard-final")
     out = points.join(final, "key", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),

@@ -262,6 +262,33 @@ def test_jaccard(spark, odd, none, monkeypatch, small):
     assert jaccard.jaccard_components(none).count() == 0
 
 
+def test_jaccard_of_rows_without_id(spark):
+    words = [f"w{i}" for i in range(61)]
+    near = spark.createDataFrame([(None, " ".join(words)), (7, " ".join(words[:60])), (None, "x y z"), (None, "x y z"), (9, "lone one")],
+                                 "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard.jaccard_components(near).select("n_shingles", "component_id").collect()
+                 if r.component_id is not None)
+    assert got == [(1, 9), (58, 7), (59, 7)] and jaccard.jaccard_components(near).where("component_id IS NULL").count() == 2
+
+
+def test_brief_keys_never_rule_out_a_near_pair():
+    rng = np.random.default_rng(4)
+    for percent in (90, 80):
+        for _ in range(200):
+            base = np.unique(rng.integers(0, 1 << 62, 120))
+            other = np.unique(np.concatenate([base[rng.random(len(base)) < .93], rng.integers(0, 1 << 62, rng.integers(0, 9))]))
+            inter = len(np.intersect1d(base, other))
+            if 100 * inter < percent * (len(base) + len(other) - inter):
+                continue
+            rows = []
+            for key, own in ((b"a", base), (b"b", other)):
+                prefix = own[:len(own) - jaccard.least_overlap(len(own), percent) + 1]
+                rows.append((key, len(own), prefix))
+            first = min(set(rows[0][2].tolist()) & set(rows[1][2].tolist()))
+            region = [(first, 0, key, n, 0, jaccard.brief(prefix)) for key, n, prefix in rows]
+            assert jaccard.candidate_pairs(region, percent) == [(b"a", b"b")]
+
+
 # ---- repeats --------------------------------------------------------------------------------------
 @pytest.mark.parametrize("group", [8000, 2])
 def test_repeats(spark, odd, none, group):
