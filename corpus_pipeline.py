@@ -33,8 +33,9 @@ def _side(df: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds a key of the row's id and text, as ids may repeat or be null."""
-    return docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), F.lit(1), "text"))
+    """Adds a key of the row's id and text, as ids may repeat or be null: 128 bits, so that no two rows of any corpus share one."""
+    known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return docs.withColumn("_key", F.md5(F.concat(known("doc_id"), F.lit("\x01"), known("text"))))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
