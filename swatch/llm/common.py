@@ -15,15 +15,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_ARROW = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.ShortType: pa.int16(), T.ByteType: pa.int8(), T.DoubleType: pa.float64(),
+          T.FloatType: pa.float32(), T.BooleanType: pa.bool_(), T.StringType: pa.string(), T.BinaryType: pa.binary(),
+          T.DateType: pa.date32(), T.TimestampNTZType: pa.timestamp("us"), T.TimestampType: pa.timestamp("us", "UTC")}
+
+
+def arrow_type(kind: T.DataType) -> pa.DataType:
+    """The Arrow type in which Spark takes a column of this type."""
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(pa.field("element", arrow_type(kind.elementType), kind.containsNull))
+    if isinstance(kind, T.StructType):
+        return pa.struct(list(arrow_schema(kind)))
+    if isinstance(kind, T.DecimalType):
+        return pa.decimal128(kind.precision, kind.scale)
+    return _ARROW[type(kind)]
+
+
+def arrow_schema(schema: T.StructType) -> pa.Schema:
+    return pa.schema([pa.field(f.name, arrow_type(f.dataType), f.nullable) for f in schema.fields])
+
+
 def map_rows(df: DataFrame, fn: Callable, schema: T.StructType, rows_per_step: int = 512) -> DataFrame:
     """Apply ``fn(list per input column) -> list of arrays or lists per output column`` batch-wise.
 
     Arrow batches are cut into steps of ``rows_per_step`` rows, so a task holds the Python values of
     one step at a time whatever the partition's size.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:

@@ -24,11 +24,13 @@ import json
 import re
 import uuid
 import zlib
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from swatch.llm.common import arrow_schema
 from swatch.session import ensure_checkpoint_dir, materialize
 
 LEAST = 100
@@ -44,13 +46,13 @@ def open_fs(url: str):
     return fs.FileSystem.from_uri(url) if re.match(r"[a-z0-9]+:/", url) else (fs.LocalFileSystem(), url)
 
 
-def record_bytes(page, url: str | None, payload: bytes, digest: str, refers_to) -> bytes:
-    """One WARC record; a revisit keeps the response's headers and drops its body."""
+def record_bytes(page, url: str | None, payload: bytes, digest: str, refers_to, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One WARC record of a capture at ``date``; a revisit keeps the response's headers and drops its body."""
     target = "".join(c if c.isprintable() else "%%%02X" % ord(c) for c in url or "")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     kind = "response" if refers_to is None else "revisit"
     head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>",
-            f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
+            f"WARC-Date: {date}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
     if refers_to is None:
         http += payload
     else:
@@ -118,7 +120,10 @@ def mark_revisits(pages: DataFrame, id_col: str, payload_col: str, url_col: str,
 
 
 def write_archives(marked: DataFrame, folder: str) -> DataFrame:
-    """Write the records of ``mark_revisits`` as monolithic gzip files; returns (file, records)."""
+    """Write the records of ``mark_revisits`` as monolithic gzip files; returns (file, records).
+
+    All records have the time of this call as their date, so a task that runs again writes the same."""
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches):
         import pyarrow as pa
@@ -137,7 +142,7 @@ def write_archives(marked: DataFrame, folder: str) -> DataFrame:
                     name = f"{folder}/{uuid.uuid4().hex}.warc.gz"
                     fs, path = open_fs(name)
                     sink, z, size, count = fs.open_output_stream(path, compression=None), zlib.compressobj(6, 8, 31), 0, 0
-                data = record_bytes(page, url, (html or "").encode("utf-8"), digest, refers_to)
+                data = record_bytes(page, url, (html or "").encode("utf-8"), digest, refers_to, date)
                 sink.write(z.compress(data))
                 size, count = size + len(data), count + 1
                 if size >= FILE_BYTES:
@@ -187,12 +192,11 @@ RECORD = "page string, payload_bytes long, payload_digest string, record_type st
 def read_records(members: DataFrame, payloads: bool = True) -> DataFrame:
     """All records of normalised archives, each fetched by its index line (``RECORD``)."""
     schema = T.StructType.fromDDL(RECORD)
+    arrow = arrow_schema(schema)
 
     def run(batches):
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(schema)
         for batch in batches:
             for name, index in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fs, path = open_fs(name)

@@ -174,7 +174,8 @@ def test_inflate_reads_many_members():
     import gzip
     import io
 
-    record = warc.record_bytes(1, "u", b"abc", "d", None)
+    record = warc.record_bytes(1, "u", b"abc", "d", None, "2026-01-02T03:04:05Z")
+    assert warc.parse_head(record.split(b"\r\n\r\n")[0])["warc-date"] == "2026-01-02T03:04:05Z"
     data = gzip.compress(record) + gzip.compress(record + record)
     assert list(warc.records(warc.inflate(io.BytesIO(data)))) == [record] * 3
     with pytest.raises(ValueError):
