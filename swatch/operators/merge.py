@@ -89,11 +89,8 @@ def sync_route(target: DataFrame, source: DataFrame, types: Sequence[str], as_of
     """
     src = route(source, types, type_col)
     values = [c for c in source.columns if c in target.columns and c != key and c not in META_COLUMNS]
-    # One full outer join on the unique key; the kept/updated rows and the inserted rows are its two
-    # sides.  (Each branch prunes its own columns, so Spark shuffles the inputs once per branch.)
-    joined = (target.withColumn("_in_t", F.lit(True))
-              .join(_prefixed(src, "_s_"), F.col(key) == F.col(f"_s_{key}"), "full_outer"))
-    in_target = F.col("_in_t").isNotNull()
+    # Two joins on the unique key: the target takes the source's values, and the source meets the target's keys alone.
+    joined = target.join(_prefixed(src, "_s_"), F.col(key) == F.col(f"_s_{key}"), "left")
     matched = F.col(f"_s_{key}").isNotNull()
     newer = matched & F.coalesce(
         (F.col("_s_updated_at") > F.col("updated_at")) | F.col("updated_at").isNull(), F.lit(False))
@@ -105,10 +102,10 @@ def sync_route(target: DataFrame, source: DataFrame, types: Sequence[str], as_of
             cols.append(F.when(newer, _ts(as_of)).otherwise(F.col(f.name)).alias(f.name))
         else:
             cols.append(F.col(f.name))
-    kept = joined.where(in_target).select(
+    kept = joined.select(
         *cols, F.when(newer, F.lit(UPDATED)).otherwise(F.lit(UNCHANGED)).alias(ACTION))
 
-    new_rows = joined.where(~in_target).select(*[F.col(f"_s_{c}").alias(c) for c in src.columns])
+    new_rows = src.join(target.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
     new_cols = []
     for f in target.schema.fields:
         if f.name == "id":
@@ -187,10 +184,7 @@ def upsert(target: DataFrame, batch: DataFrame, as_of, key: str = "order_id", pr
     b = reduce_batch(batch.where(F.col(key).isNotNull()), key, order, present)
     values = [c for c in b.columns if c in target.columns and c != key and c not in META_COLUMNS]
     now = _ts(as_of)
-    # One full outer join on the unique key serves both the updated/kept rows and the inserted rows.
-    joined = (target.withColumn("_in_t", F.lit(True))
-              .join(_prefixed(b, "_s_"), F.col(key) == F.col(f"_s_{key}"), "full_outer"))
-    in_target = F.col("_in_t").isNotNull()
+    joined = target.join(_prefixed(b, "_s_"), F.col(key) == F.col(f"_s_{key}"), "left")
     hit = F.col(f"_s_{key}").isNotNull()
     cols = []
     for f in target.schema.fields:
@@ -203,11 +197,11 @@ def upsert(target: DataFrame, batch: DataFrame, as_of, key: str = "order_id", pr
             cols.append(F.when(hit, now).otherwise(F.col(f.name)).alias(f.name))
         else:
             cols.append(F.col(f.name))
-    kept = joined.where(in_target).select(
+    kept = joined.select(
         *cols, F.when(hit, F.lit(UPDATED)).otherwise(F.lit(UNCHANGED)).alias(ACTION),
         F.coalesce(F.col("_s__rows"), F.lit(0)).alias("_rows"))
 
-    new_rows = joined.where(~in_target).select(*[F.col(f"_s_{c}").alias(c) for c in b.columns])
+    new_rows = b.join(target.select(F.col(key).alias("_k")), F.col(key) == F.col("_k"), "left_anti")
     new_cols = []
     for f in target.schema.fields:
         if f.name == "id":

@@ -278,6 +278,13 @@ def _scan_files(spark, sf_dir):
                                   F.bool_and(present["金额"]).alias("has_amount"))
 
 
+def _nan_events(spark, sf_dir):
+    """Events whose value is not a number for errors."""
+    events = load(spark, sf_dir, "events")
+    value = F.when(F.col("event_type") == "error", F.lit(float("nan"))).otherwise(F.col("value"))
+    return ing.null_nans(events.select("event_id", value.alias("value")))
+
+
 def queries() -> list[Query]:
     return [
         Query("i8_clean_orders_p5", lambda s, d: _clean(s, d).drop("_ordinal"),
@@ -292,6 +299,8 @@ def queries() -> list[Query]:
               FROM t GROUP BY 1, 2)
               SELECT sum(n) AS rows, count(*) AS distinct_keys, sum(n - 1) AS duplicate_rows FROM k"""),
         Query("m1_upsert_files_p5", _upsert_files(False), _upsert_files_sql()),
+        Query("i12_null_nans_p2", _nan_events,
+              "SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS value FROM events"),
         Query("m1_upsert_files_existing_p5", _upsert_mixed, _upsert_mixed_sql()),
         Query("s4_scan_mixed_files_p5", _scan_files, f"""
               SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n, count(order_id) AS ids,

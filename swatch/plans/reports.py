@@ -13,7 +13,7 @@ from swatch.plans.common import Query, load
 from swatch.plans.customers import BULK_OUT, SAMPLE_OUT, _customers_sql, _with, first_build
 from swatch.plans.ingest import TEXT_SQL, p5_text
 from swatch.plans.orders_model import P6_SQL
-from swatch.schemas import SAMPLE_CUSTOMER_EDIT_FIELDS
+from swatch.schemas import BULK_CUSTOMER_EDIT_FIELDS, SAMPLE_CUSTOMER_EDIT_FIELDS
 
 N_TOP = 50
 SKIP, LIMIT = 10, 20
@@ -102,6 +102,42 @@ def _orphan_orders(spark, sf_dir):
     return qa.orphans(load(spark, sf_dir, "orders"), parents, "o_custkey", "c_custkey", hot_rows=5)
 
 
+def _bulk_out(df):
+    return df.select(*BULK_OUT).withColumn("total_bulk_amount", F.round("total_bulk_amount", 4))
+
+
+BULK_EDIT_OUT = ("id", "customer_name", "shop", "handler", "notes", "customer_type", "phone", "tags", "updated_at", "_action")
+
+
+def _edit_bulk(spark, sf_dir):
+    m = F.create_map(F.lit("notes"), F.col("c_name"), F.lit("customer_type"), F.lit(None).cast("string"),
+                     F.lit("phone"), F.lit("123"), F.lit("handler"), F.lit("new"), F.lit("tags"), F.lit('["debt"]'))
+    changes = load(spark, sf_dir, "customer").where(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("id"), m.alias("changes"))
+    table, _ = mg.edit_customers(_build(spark, sf_dir).bulk_customers, changes, BULK_CUSTOMER_EDIT_FIELDS)
+    return table.select(*BULK_EDIT_OUT)
+
+
+def _edited(field: str, new: str, old: str) -> str:
+    """A field outside the whitelist keeps its value."""
+    return f"CASE WHEN ch.id IS NOT NULL THEN {new} ELSE {old} END AS {field}" if field in BULK_CUSTOMER_EDIT_FIELDS else f"{old} AS {field}"
+
+
+EDIT_BULK_SQL = f"""
+WITH ch AS ({CHANGES_SQL})
+SELECT s.id, s.customer_name, s.shop, {_edited("handler", "'new'", "s.handler")}, {_edited("notes", "ch.c_name", "NULL")},
+       {_edited("customer_type", "NULL", "NULL")}, {_edited("phone", "'123'", "NULL")}, {_edited("tags", "['debt']", "NULL")},
+       s.updated_at, CASE WHEN ch.id IS NOT NULL THEN 'updated' ELSE 'unchanged' END AS _action
+FROM {BC} s LEFT JOIN ch ON ch.id = s.id"""
+
+
+def _found_columns(spark, sf_dir):
+    """Q1: the date and the amount column of a table, found by their names."""
+    orders = load(spark, sf_dir, "orders")
+    found = qa.find_columns(orders, order_id="o_orderkey", customer_id="o_custkey", order_type="o_orderpriority")
+    return orders.select(F.col(found.customer_id).alias("customer_id"), F.col(found.date).alias("found_date"),
+                         F.col(found.amount).alias("found_amount"))
+
+
 def queries() -> list[Query]:
     return [
         Query("q3_orphan_orders", _orphan_orders,
@@ -126,6 +162,14 @@ def queries() -> list[Query]:
         Query("f5_customers_by_handler_p6",
               lambda s, d: _sample_out(rp.customers_by_handler(_build(s, d).sample_customers, HANDLER)),
               f"SELECT * FROM {SC} sc WHERE handler = '{HANDLER}'"),
+        Query("f5_bulk_customers_by_handler_p6",
+              lambda s, d: _bulk_out(rp.customers_by_handler(_build(s, d).bulk_customers, HANDLER)),
+              f"SELECT * FROM {BC} bc WHERE handler = '{HANDLER}'"),
+        Query("f5_blank_handler_p6", lambda s, d: _bulk_out(rp.customers_by_handler(_build(s, d).bulk_customers, "")),
+              f"SELECT * FROM {BC} bc"),
+        Query("f10_edit_bulk_customers_p6", _edit_bulk, EDIT_BULK_SQL),
+        Query("q1_found_columns", _found_columns,
+              "SELECT o_custkey AS customer_id, o_orderdate AS found_date, o_totalprice AS found_amount FROM orders"),
         Query("f10_edit_sample_customers_p6", _edit(False), EDIT_SQL),
         Query("f10_edit_missing_p6", _edit(True),
               f"WITH ch AS ({CHANGES_SQL}) SELECT id FROM ch WHERE id NOT IN (SELECT id FROM {SC} sc)"),
