@@ -128,12 +128,14 @@ class SuffixIndex:
         grams = table.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
         noted = grams.where("n > 1").select("gram")
         for _, level in self.levels:
-            noted = noted.union(grams.select("gram").join(level.select("gram"), "gram", "left_semi"))
+            # Distinct on both sides: a gram that stands in very many texts is one row of the scan.
+            noted = noted.union(grams.select("gram").join(level.select("gram").distinct(), "gram", "left_semi"))
         self.noted.append(materialize(noted.distinct(), "suffix-noted"))
         self.levels.append((1, table))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, one), (m, two) = self.levels.pop(), self.levels.pop()
-            merged = one.union(two).repartition("gram").sortWithinPartitions("gram")
+            place = ["gram", "body", "key", "lo"]  # tells rows apart, so a frequent gram fills several ranges
+            merged = one.union(two).repartitionByRange(*place).sortWithinPartitions(*place)
             self.levels.append((n + m, materialize(merged, "suffix-level")))
 
     def repeated(self) -> DataFrame:
