@@ -25,8 +25,10 @@ New ids follow creation order (first appearance), so "lowest id" keeps its meani
 from __future__ import annotations
 
 import datetime as _dt
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -285,6 +287,16 @@ def _counters(parts: dict[str, DataFrame]) -> DataFrame:
         "sample_relations", "bulk_relations", "conversions", F.lit(0).cast("long").alias("errors"))
 
 
+def _both_sides(one, sample, bulk) -> dict[CustomerSide, tuple]:
+    """``one(side, its argument)`` for both sides at once: they share no table until conversions, and the jobs of one fill
+    the cores that the small jobs of the other leave idle."""
+    run = inheritable_thread_target(sample.sparkSession)(one)
+    with ThreadPoolExecutor(2) as pool:
+        first, second = (pool.submit(run, side, arg)
+                         for side, arg in ((SAMPLE_SIDE, sample), (BULK_SIDE, bulk)))
+        return {SAMPLE_SIDE: first.result(), BULK_SIDE: second.result()}
+
+
 def build_customers(sample_orders: DataFrame, bulk_orders: DataFrame, existing: dict[str, DataFrame], as_of,
                     ordinal: str = "id", hot_rows: int = HOT_KEY_ROWS) -> CustomerBuild:
     """C1-C3 for the sample side, C1-C3 for the bulk side, C4, C5, C6 for both sides.
@@ -295,12 +307,14 @@ def build_customers(sample_orders: DataFrame, bulk_orders: DataFrame, existing:
     """
     out = {}
     parts = {}
-    for side, orders in ((SAMPLE_SIDE, sample_orders), (BULK_SIDE, bulk_orders)):
-        ex_c = existing[f"{side.name}_customers"]
+
+    def one(side: CustomerSide, orders: DataFrame) -> tuple[Resolution, DataFrame, DataFrame]:
         ex_l = existing[f"{side.name}_order_customers"]
         orders = _routed(orders, ordinal)
-        res = resolve_customers(ex_c, customer_triples(orders, ordinal), as_of, side)
-        new_links = materialize(link_orders(orders, res.triple_map, ex_l, as_of, side, ordinal, hot_rows), "new-links")
+        res = resolve_customers(existing[f"{side.name}_customers"], customer_triples(orders, ordinal), as_of, side)
+        return res, ex_l, materialize(link_orders(orders, res.triple_map, ex_l, as_of, side, ordinal, hot_rows), "new-links")
+
+    for side, (res, ex_l, new_links) in _both_sides(one, sample_orders, bulk_orders).items():
         out[side.name] = (res.customers, ex_l.unionByName(new_links))
         parts.update({f"_triples_{side.name}": res.triples, f"new_{side.name}": res.created,
                       f"{side.name}_relations": new_links})

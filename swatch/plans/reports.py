@@ -102,6 +102,12 @@ def _orphan_orders(spark, sf_dir):
     return qa.orphans(load(spark, sf_dir, "orders"), parents, "o_custkey", "c_custkey", hot_rows=5)
 
 
+def _orphan_links(spark, sf_dir):
+    """Q3: the links of a build held against the customers of the same build."""
+    b = _build(spark, sf_dir)
+    return qa.orphans(b.sample_links, b.sample_customers, "sample_customer_id", "id")
+
+
 def _bulk_out(df):
     return df.select(*BULK_OUT).withColumn("total_bulk_amount", F.round("total_bulk_amount", 4))
 
@@ -178,8 +184,6 @@ def queries() -> list[Query]:
                                              ["_file", "order_id"]),
               f"SELECT _file, coalesce(order_id, '') AS order_id, count(*) AS rows FROM ({TEXT_SQL}) t "
               f"GROUP BY 1, 2 HAVING count(*) > 1"),
-        Query("q3_orphan_links_p6",
-              lambda s, d: qa.orphans(_build(s, d).sample_links, _build(s, d).sample_customers,
-                                      "sample_customer_id", "id"),
+        Query("q3_orphan_links_p6", _orphan_links,
               f"SELECT * FROM {LINKS} l WHERE sample_customer_id NOT IN (SELECT id FROM {SC} sc)"),
     ]
