@@ -2,6 +2,10 @@
 
 from types import SimpleNamespace
 
+from pyspark.sql import functions as F
+
+from swatch.operators import ingest as ing
+from swatch.operators import merge as mg
 from swatch.plans import reports
 
 def _plan(df) -> str:
@@ -20,3 +24,14 @@ def test_orphan_links_build_once(spark, monkeypatch):
     query = next(q for q in reports.queries() if q.name == "q3_orphan_links_p6")
     assert [r["id"] for r in query.build(spark, "x").collect()] == [2]
     assert built == ["x"]
+
+
+def test_missing_edits_read_keys_alone(spark):
+    stats = spark.createDataFrame([(1, 5.0), (1, 6.0)], "cid long, amount double").groupBy("cid").agg(F.sum("amount").alias("total"))
+    customers = spark.createDataFrame([(1, "a"), (2, "b")], "id long, handler string")
+    customers = customers.join(stats, F.col("id") == F.col("cid"), "left").select("id", "handler", "total")
+    changes = spark.createDataFrame([(2, {"handler": "x"}), (3, {"handler": "y"}), (3, {"handler": "z"})],
+                                    "id long, changes map<string,string>")
+    _, missing = mg.edit_customers(customers, changes, ["handler"])
+    assert "LeftOuter" not in _plan(missing)
+    assert sorted((r["id"], r["changes"]["handler"]) for r in missing.collect()) == [(3, "y"), (3, "z")]
