@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swatch.llm.common import map_rows
+from swatch.llm.common import held, map_rows
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -79,14 +79,8 @@ class Automaton:
         return len(words), spans, int(hit.sum()), ids
 
 
-_BUILT: dict[str, Automaton] = {}
-
-
 def _automaton(key: str, items, window: int) -> Automaton:
-    if key not in _BUILT:
-        _BUILT.clear()  # a process holds one automaton at a time
-        _BUILT[key] = Automaton(items, window)
-    return _BUILT[key]
+    return held(key, lambda: Automaton(items, window))  # a process holds one automaton at a time
 
 
 OUTPUT = "n_words long, n_hit long, spans array<struct<begin:int,end:int>>, items array<string>"

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swatch.llm.common import map_rows
+from swatch.llm.common import drop_held, map_rows
 
 SAMPLE_ROWS = 8000  # of a language
 PENALTY = 18.0
@@ -65,6 +65,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     slim = picked.select(lang.alias("lang"), F.col(text_col).alias("text"))
 
     def count(langs, texts):
+        drop_held()
         # A word is taken apart once for all rows of the step that hold it.
         words: dict[str, Counter] = {}
         for lang, text in zip(langs, texts):
@@ -214,6 +215,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     def run(*cols):
         if key not in _SCORERS:
+            drop_held()
             _SCORERS.clear()
             _SCORERS[key] = _Scorer(shared.value)
         got = [label(t, _SCORERS[key], penalty) for t in cols[-1]]

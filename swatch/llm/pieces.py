@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from swatch.llm.common import list_array, map_rows
+from swatch.llm.common import held, list_array, map_rows
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -283,15 +283,9 @@ class PieceModel:
             return "".join(out)
 
 
-_MODELS: dict[bytes, PieceModel] = {}
-
-
 def model_of(blob: bytes) -> PieceModel:
     """The model of a task's process, built once."""
-    key = hashlib.sha256(blob).digest()
-    if key not in _MODELS:
-        _MODELS[key] = PieceModel(blob)
-    return _MODELS[key]
+    return held(hashlib.sha256(blob).digest(), lambda: PieceModel(blob))
 
 
 SCHEMA = "ids array<int>, begins array<int>, ends array<int>, decoded string"
