@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swatch.llm.common import list_array, map_rows
+from swatch.llm.common import held, list_array, map_rows
 from swatch.llm.components import components
 from swatch.llm.ppm import _add_up
 from swatch.session import materialize
@@ -49,6 +49,8 @@ SMALL, PIVOTS, ROUNDS = 64, 8, 3
 BLOCK, CHUNK = 128, 512
 ROWS_A_GROUP = 4000
 BROADCAST_IDS = 4_000_000
+BROADCAST_PAIRS, BROADCAST_GRAMS = 500_000, 4_000_000
+WORD_ENTRIES = 200_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 HOT_BIT = 1 << 62
@@ -56,21 +58,18 @@ HOT_BIT = 1 << 62
 
 class _Hashes(dict):
     def __missing__(self, word):
-        if len(self) >= 1_000_000:
+        if len(self) >= WORD_ENTRIES:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
 
 
-_WORDS = _Hashes()
-
-
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     """Sorted distinct 62-bit hashes of the word n-grams."""
     words = (text or "").encode("utf-8").translate(_FOLD).split()
     if not words:
         return np.zeros(0, np.int64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(held("words", _Hashes).__getitem__, words), np.uint64, len(words))
     if len(h) < n:
         h = np.concatenate([h, np.arange(1, n - len(h) + 1, dtype=np.uint64)])
     size = len(h) - n + 1
@@ -214,10 +213,19 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, n:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b: point keys) whose whole sets are similar enough."""
-    left = sets.select(F.col("point").alias("a"), F.col("grams").alias("ga"))
-    right = sets.select(F.col("point").alias("b"), F.col("grams").alias("gb"))
-    both = pairs.join(left, "a").join(right, "b")
+    """Pairs (a, b: point keys) whose whole sets are similar enough.
+
+    The sets are by far the widest rows.  Below a checked count the pairs are broadcast, so that only sets that some pair names leave
+    their task; few sets on the side of b (pivots) are broadcast too, and then none does."""
+    pairs = materialize(pairs, "jaccard-asked")
+    few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+    side = F.broadcast if few else lambda df: df
+    left = sets.select(F.col("point").alias("a"), F.col("grams").alias("ga")).join(side(pairs), "a")
+    right = sets.select(F.col("point").alias("b"), F.col("grams").alias("gb")).join(
+        side(pairs.select("b").distinct()), "b", "left_semi")
+    if few and (right.agg(F.sum(F.size("gb") + 8)).first()[0] or 0) <= BROADCAST_GRAMS:
+        right = F.broadcast(right)
+    both = left.join(right, "b")
     inter = F.size(F.array_intersect("ga", "gb"))
     return both.where(100 * inter >= percent * (F.size("ga") + F.size("gb") - inter)).select("a", "b")
 
@@ -286,8 +294,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.count(F.lit(1)).alias("m"), F.sum((F.col("own") == F.col("cls")).cast("int")).alias("home"),
         F.bit_xor(F.xxhash64("point")).alias("sig")).where("m > 1 AND home > 0"))
     regions = materialize(regions, "jaccard-regions")
-    small = regions.where(F.col("m") <= SMALL).select("token", "cls")
-    total = regions.where(F.col("m") <= SMALL).agg(F.sum("m")).first()[0] or 0
+    # Of regions of the same points that of the smallest token stands for all: a pair's first common n-gram is never another's.
+    small = materialize(regions.where(F.col("m") <= SMALL).groupBy("sig", "m", "cls").agg(F.min("token").alias("token")),
+                        "jaccard-small")
+    total = small.agg(F.sum("m")).first()[0] or 0
+    small = small.select("token", "cls")
     deal = max(1, -(-int(total) // ROWS_A_GROUP))  # regions go to groups of about so many rows
     rows = (entries.join(small, ["token", "cls"]).select("token", "cls", "point")
             .join(home.select("point", "n", "own", "brief"), "point")
@@ -304,6 +315,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Large regions; tokens with the same points are one region.
     large = regions.where(F.col("m") > SMALL)
     chosen = large.groupBy("sig", "m").agg(F.min(F.struct("token", "cls")).alias("r")).select("r.*")
+    chosen = materialize(chosen, "jaccard-chosen")
+    chosen = F.broadcast(chosen) if chosen.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS else chosen
     members = materialize(entries.join(chosen, ["token", "cls"]).select(
         F.xxhash64("token", "cls").alias("region"), "point").distinct(), "jaccard-members")
     many = bool(members.limit(1).count())
@@ -323,7 +336,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             pivots = materialize(parts.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select(
                 "region", F.col("p.point").alias("pivot"), F.col("label").alias("l")), "jaccard-pivots")
             new = (now.join(pivots, "region").where("label <> l AND point <> pivot")
-                   .select(F.least("point", "pivot").alias("a"), F.greatest("point", "pivot").alias("b")).distinct())
+                   .select(F.col("point").alias("a"), F.col("pivot").alias("b")).distinct())
             links = materialize(links.union(_verify(new, sets, percent)).distinct(), "jaccard-links")
         now = materialize(_labelled(members, links), "jaccard-labels")
         main = (now.groupBy("region", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("region")

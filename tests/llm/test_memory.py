@@ -1,6 +1,22 @@
 """What the processes of tasks hold, and what the Jaccard join sends about."""
 
-from swatch.llm import common, languages
+import random
+
+from swatch.llm import common, decontaminate, jaccard, languages
+
+
+def test_one_memory_at_a_time(spark):
+    def look(batches):
+        jaccard.shingles("a b c d")
+        first = list(common._HELD)
+        decontaminate._automaton("built", [("i", "a b c")], 3)
+        second = list(common._HELD)
+        jaccard.shingles("a b c d")
+        common.drop_held()
+        yield from ()
+        assert first == ["words"] and second == ["built"] and not common._HELD
+
+    assert spark.range(1).mapInArrow(look, "x long").count() == 0
 
 
 def test_languages_drop_other_memories(spark):
@@ -19,3 +35,45 @@ def test_languages_drop_other_memories(spark):
     model = languages.fit(docs)
     out = languages.identify(docs.mapInArrow(fill, docs.schema), model)
     assert out.mapInArrow(left, out.schema).count() == 8
+
+
+def test_words_remembered_are_bounded(monkeypatch):
+    monkeypatch.setattr(jaccard, "WORD_ENTRIES", 10)
+    text = " ".join(f"w{i}" for i in range(200))
+    assert len(jaccard.shingles(text)) == 198
+    assert len(common.held("words", jaccard._Hashes)) <= 10
+    common.drop_held()
+
+
+def test_verified_sets_are_not_shuffled_for_few_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    sets = {bytes([i]): sorted(rng.sample(range(40), 30)) for i in range(12)}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    near = lambda a, b: len({*sets[a]} & {*sets[b]}) * 100 >= 65 * len({*sets[a]} | {*sets[b]})
+    wanted = sorted(p for p in pairs if near(*p))
+    assert 0 < len(wanted) < len(pairs)
+    frames = spark.createDataFrame(pairs, "a binary, b binary"), spark.createDataFrame([*sets.items()], "point binary, grams array<long>")
+    for most, grams, joins in ((500, 10_000, 0), (500, 0, 1), (0, 0, None)):
+        monkeypatch.setattr(jaccard, "BROADCAST_PAIRS", most)
+        monkeypatch.setattr(jaccard, "BROADCAST_GRAMS", grams)
+        got = jaccard._verify(*frames, 65)
+        assert sorted((bytes(r.a), bytes(r.b)) for r in got.select("a", "b").collect()) == wanted
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert joins is None or plan.count("SortMergeJoin") == joins
+
+
+def test_regions_of_the_same_points_are_one(spark, monkeypatch):
+    seen, whole = {}, jaccard.materialize
+
+    def record(df, name="stage"):
+        seen[name] = whole(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(jaccard, "materialize", record)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words, "x"]), " ".join([*words, "y"]), "other text alone here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3}
+    small = seen["jaccard-small"]
+    assert 0 < small.count() == small.select("sig", "m", "cls").distinct().count() < seen["jaccard-regions"].count()
