@@ -30,7 +30,7 @@ from swatch.llm.common import held, list_array, map_rows
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-MEMO_ENTRIES = 700_000  # units remembered per process and generation
+MEMO_ENTRIES = 200_000  # words, and units within words, remembered per process and generation
 RUNS = re.compile(r"[^\W_]+|[\W_]+")  # where a unit may fall apart, unless a piece crosses there
 NEVER = 1 << 40  # cost of a pair that is no piece
 
@@ -116,6 +116,7 @@ class PieceModel:
         self.units_at_space = not any(a != SPACE and b == SPACE for a, b in self.pairs)
         self.identity = not self.charmap.units and not self.squeeze
         self.part = _Memo(self._word)
+        self.word = _Memo(lambda word: self._word(SPACE + word))  # keys without the mark take half the memory
 
     # ---- normalisation -------------------------------------------------------------------------
     def normalize(self, text: str) -> tuple[str, list[int], list[int]]:
@@ -198,6 +199,8 @@ class PieceModel:
 
     def _word(self, word: str) -> bytes:
         """Packed ids of a stretch whose outer borders no piece crosses, cut at its inner borders."""
+        if word[1:].isalnum() and word[:2] in self.pairs:
+            return self._merge(word)
         parts = [""]
         for run in RUNS.findall(word):
             for piece in (run,) if run.isalnum() else run:
@@ -207,7 +210,7 @@ class PieceModel:
                     parts[-1] += piece
         if len(parts) == 1:
             return self._merge(word)
-        return b"".join([self.part[p] for p in parts])
+        return b"".join([self.word[p[1:]] if p[0] == SPACE else self.part[p] for p in parts])
 
     def encode(self, text: str | None, spans: bool = True):
         """Ids (numpy int32, no end id) and, with ``spans``, begins and ends of the pieces in bytes."""
@@ -218,16 +221,16 @@ class PieceModel:
         if self.identity and self.units_at_space and self.dummy and SPACE not in text:
             words = text.split(" ")
             if "" in words:  # runs of spaces: each space before another belongs to the next word
-                units, run = [], SPACE
+                found, run = [], ""
                 for i, w in enumerate(words):
                     if w or i == len(words) - 1:
-                        units.append(run + w)
-                        run = SPACE
+                        found.append(self.part[run + SPACE + w] if run else self.word[w])
+                        run = ""
                     else:
                         run += SPACE
             else:
-                units = [SPACE + w for w in words]
-            ids = np.frombuffer(b"".join(map(self.part.__getitem__, units)), np.int32)
+                found = map(self.word.__getitem__, words)
+            ids = np.frombuffer(b"".join(found), np.int32)
             if not spans:
                 return ids
             ends = np.cumsum(self.width[ids]) - 1  # the dummy space has no byte

@@ -2,7 +2,7 @@
 
 import random
 
-from swatch.llm import common, decontaminate, jaccard, languages
+from swatch.llm import common, decontaminate, jaccard, languages, pieces
 
 
 def test_one_memory_at_a_time(spark):
@@ -45,6 +45,22 @@ def test_words_remembered_are_bounded(monkeypatch):
     common.drop_held()
 
 
+def test_pieces_remember_a_word_once(monkeypatch):
+    import public_tokenizers
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "MEMO_ENTRIES", 50)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        model = pieces.PieceModel(f.read())
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    for text in ("fox, fox fox. (fox)  fox", " ".join(f"w{i}x, {i}" for i in range(300)), "a  b   c, d ", "é1 _x x_y 日本, \n z"):
+        assert model.encode(text, spans=False).tolist() == library.encode(text)
+        if text.startswith("fox"):  # plain or before a comma, and without the mark
+            assert "fox" in model.word and pieces.SPACE + "fox" not in model.part
+    assert all(len(m) <= 50 for memo in (model.word, model.part) for m in (memo, memo.old))
+
+
 def test_verified_sets_are_not_shuffled_for_few_pairs(spark, monkeypatch):
     rng = random.Random(3)
     sets = {bytes([i]): sorted(rng.sample(range(40), 30)) for i in range(12)}
