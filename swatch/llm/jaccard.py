@@ -122,24 +122,28 @@ def least_overlap(size: int, percent: int) -> int:
 def _points(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, hot: np.ndarray) -> DataFrame:
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     schema = T.StructType([slim.schema["id"], *T.StructType.fromDDL(
-        "n long, key binary, prefix array<long>, brief binary").fields])
+        "n long, key binary, prefix array<long>, brief binary, sketch array<long>").fields])
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(ids, texts):
-        sizes, keys, prefixes = [], [], []
+        sizes, keys, prefixes, sketches = [], [], [], []
         for text in texts:
             own = shingles(text, n)
+            sketches.append(sketch(own, percent))
             sizes.append(len(own))
             keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
             prefixes.append(ordered(own, shared.value)[:len(own) - least_overlap(len(own), percent) + 1] if len(own) else own)
         cat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-        return [ids, sizes, keys, list_array(cat, [len(p) for p in prefixes], pa.int64()), [brief(p) for p in prefixes]]
+        words = np.concatenate(sketches) if sketches else np.zeros(0, np.int64)
+        return [ids, sizes, keys, list_array(cat, [len(p) for p in prefixes], pa.int64()), [brief(p) for p in prefixes],
+                list_array(words, [len(k) for k in sketches], pa.int64())]
 
     return materialize(map_rows(slim, run, schema), "jaccard-points")
 
 
 BRIEF_SHIFT = 39  # of an order key of 63 bits, the first 24
 EARLIER = 8
+MOST_BITS = 1 << 14
 
 
 def brief(prefix: np.ndarray) -> bytes:
@@ -152,6 +156,38 @@ def unbrief(packed: bytes) -> np.ndarray:
     return three[:, 0] | three[:, 1] << 8 | three[:, 2] << 16
 
 
+def sketch(own: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the n-grams of each remainder are odd in number, as bits of longs.  An n-gram that only one of two sets has turns one bit,
+    so as many bits as differ, n-grams do at least.  There are four times as many bits as n-grams that linked sets of the size differ in."""
+    apart = 2 * len(own) * (100 - percent) // (100 + percent)
+    bits = min(MOST_BITS, max(64, 1 << max(0, 4 * apart - 1).bit_length()))
+    odd = np.bincount(own & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def plausible(a, b, na, nb, percent: int):
+    """False where the sketches ``a`` and ``b`` of sets of ``na`` and ``nb`` n-grams differ in more bits than linked sets may."""
+
+    def fold(own, other):  # halves of a sketch put together are the sketch of half the bits
+        half = F.size(own).cast("int") / 2
+        halves = F.zip_with(F.slice(own, F.lit(1), half.cast("int")), F.slice(own, half.cast("int") + 1, half.cast("int")),
+                            lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(own) > F.size(other), halves).otherwise(own)
+
+    bits = F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
+                       lambda all_, x: all_ + F.coalesce(x, F.lit(0)))
+    return bits * (100 + percent) <= (na + nb) * (100 - percent)
+
+
+def _plausible_pairs(pairs: DataFrame, home: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link, so that whole sets are fetched for them alone."""
+    side = F.broadcast if pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS else lambda df: df
+    of = lambda p: home.select(F.col("point").alias(p), F.col("n").alias(f"n{p}"), F.col("sketch").alias(f"s{p}"))
+    right = of("b").join(side(pairs.select("b").distinct()), "b", "left_semi")
+    both = of("a").join(side(pairs), "a").join(right, "b")
+    return both.where(plausible(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), percent)).select("a", "b")
+
+
 def runs(table: pa.Table, keys: int):
     """Rows of ``table`` by equal first ``keys`` columns, as lists of tuples."""
     own: dict[tuple, list] = {}
@@ -277,30 +313,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # One point per distinct set; its name is the key of the set.
     reps = materialize(points.where("n > 0").groupBy("key").agg(
         F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
-        F.first("brief").alias("brief")), "jaccard-reps")
+        F.first("brief").alias("brief"), F.first("sketch").alias("sketch")), "jaccard-reps")
     ratio = math.log(100 / percent)
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio)).cast("int")
-    home = reps.select(F.col("key").alias("point"), "n", own.alias("own"), "prefix", "brief")
+    home = reps.select(F.col("key").alias("point"), "n", own.alias("own"), "prefix", "brief", "sketch")
     # N-grams first of one point only make no region.  What is left is small beside the prefixes: the
     # repeated n-grams are broadcast below a checked count, so that the prefixes are not shuffled again.
     tokens = materialize(home.select(F.explode("prefix").alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("m")).where("m > 1").select("token"), "jaccard-tokens")
     small = tokens.count() <= BROADCAST_IDS
-    entries = materialize(home.select("point", "own", F.explode("prefix").alias("token")).join(
-        F.broadcast(tokens) if small else tokens, "token"), "jaccard-entries")
-    entries = entries.select("point", "own", "token", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("cls"))
+    # The n-grams before a pair's first common one differ: of points at places i and j of it, linked sets have slacks of a sum up to 0.
+    slack = (F.col("at") * (100 + percent) - F.col("n") * (100 - percent)).alias("slack")
+    entries = materialize(home.select("point", "own", "n", F.posexplode("prefix").alias("at", "token")).select(
+        "point", "own", "token", slack).join(F.broadcast(tokens) if small else tokens, "token"), "jaccard-entries")
+    entries = entries.select("point", "own", "token", "slack", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("cls"))
     # Points in a region by its size class: at least one of them must be at home in the class.
     regions = (entries.groupBy("token", "cls").agg(
         F.count(F.lit(1)).alias("m"), F.sum((F.col("own") == F.col("cls")).cast("int")).alias("home"),
-        F.bit_xor(F.xxhash64("point")).alias("sig")).where("m > 1 AND home > 0"))
+        F.bit_xor(F.xxhash64("point")).alias("sig"), F.min("slack").alias("least"), F.sum("slack").alias("slacks"))
+        .where("m > 1 AND home > 0 AND least <= 0 AND (m > 2 OR slacks <= 0)").drop("slacks"))
     regions = materialize(regions, "jaccard-regions")
     # Of regions of the same points that of the smallest token stands for all: a pair's first common n-gram is never another's.
-    small = materialize(regions.where(F.col("m") <= SMALL).groupBy("sig", "m", "cls").agg(F.min("token").alias("token")),
-                        "jaccard-small")
-    total = small.agg(F.sum("m")).first()[0] or 0
-    small = small.select("token", "cls")
-    deal = max(1, -(-int(total) // ROWS_A_GROUP))  # regions go to groups of about so many rows
-    rows = (entries.join(small, ["token", "cls"]).select("token", "cls", "point")
+    small = materialize(regions.where(F.col("m") <= SMALL).groupBy("sig", "m", "cls").agg(
+        F.min(F.struct("token", "least")).alias("r")).select("sig", "m", "cls", "r.*"), "jaccard-small")
+    total, count = small.agg(F.sum("m"), F.count(F.lit(1))).first()
+    small = small.select("token", "cls", "least")
+    small = F.broadcast(small) if count <= BROADCAST_IDS else small
+    deal = max(1, -(-int(total or 0) // ROWS_A_GROUP))  # regions go to groups of about so many rows
+    rows = (entries.join(small, ["token", "cls"]).where("slack + least <= 0").select("token", "cls", "point")
             .join(home.select("point", "n", "own", "brief"), "point")
             .select(F.pmod(F.xxhash64("token", "cls"), F.lit(deal)).alias("deal"), "token", "cls", "point", "n", "own", "brief"))
 
@@ -311,6 +351,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pair_table(sorted(set(out)))
 
     pairs = materialize(rows.groupBy("deal").applyInArrow(search, "a binary, b binary").distinct(), "jaccard-pairs")
+    pairs = materialize(_plausible_pairs(pairs, home, percent), "jaccard-plausible")
 
     # Large regions; tokens with the same points are one region.
     large = regions.where(F.col("m") > SMALL)

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from swatch.llm import common, decontaminate, jaccard, languages, pieces
 
 
@@ -93,3 +96,40 @@ def test_regions_of_the_same_points_are_one(spark, monkeypatch):
     assert got == {0: 0, 1: 0, 2: 0, 3: 3}
     small = seen["jaccard-small"]
     assert 0 < small.count() == small.select("sig", "m", "cls").distinct().count() < seen["jaccard-regions"].count()
+
+
+def test_sketches_never_rule_out_a_link(spark):
+    rng, rows, linked = np.random.default_rng(5), [], []
+    for percent in (80, 90):
+        for size in (1, 2, 10, 60, 150, 152, 700, 6000):
+            for part in (0.0, 0.02, 0.05, 0.1, 0.11, 0.2, 0.5, 1.0):
+                a = np.unique(rng.integers(0, 1 << 62, size))
+                b = np.unique(np.concatenate([a[int(len(a) * part):], rng.integers(0, 1 << 62, int(rng.integers(0, 1 + int(size * part / 2))))]))
+                if not len(b):
+                    continue
+                both = len(np.intersect1d(a, b))
+                linked.append(100 * both >= percent * (len(a) + len(b) - both))
+                rows.append((len(rows), percent, len(a), len(b), *[jaccard.sketch(x, percent).tolist() for x in (a, b)]))
+    df = spark.createDataFrame(rows, "i int, p int, na long, nb long, a array<long>, b array<long>")
+    got = {}
+    for percent in (80, 90):
+        ok = jaccard.plausible(*map(F.col, ("a", "b", "na", "nb")), percent).alias("ok")
+        got |= {r.i: r.ok for r in df.where(F.col("p") == percent).select("i", ok).collect()}
+    assert any(len(r[4]) != len(r[5]) for r, near in zip(rows, linked) if near)
+    assert all(got[i] for i, near in enumerate(linked) if near) and sum(linked) < sum(got.values()) + 1 < len(got)
+
+
+def test_unlike_pairs_fetch_no_sets(spark, monkeypatch):
+    seen, whole = {}, jaccard.materialize
+
+    def record(df, name="stage"):
+        seen[name] = whole(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(jaccard, "materialize", record)
+    rng = random.Random(8)
+    texts = [" ".join(f"x{d}y{i}" if rng.random() < 0.06 else f"w{d // 3}v{i}" for i in range(400)) for d in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {d: d for d in range(30)}
+    assert seen["jaccard-pairs"].count() > 20 and seen["jaccard-sets"].count() == 0
