@@ -15,7 +15,7 @@ inequality says which documents a region must also hold, and regions are joined
    act as pivots: ``PIVOTS`` a round, ``ROUNDS`` rounds, from parts not yet connected.  All points within the
    threshold of a pivot are connected to it.  What then is left outside the main part of a region is
    compared exactly with the whole region, in blocks that never hold more than ``BLOCK`` x ``CHUNK`` points.
-5. Candidates are verified on their whole sets; links give components.
+5. Candidates whose parity sketches allow a link are verified on their whole sets; links give components.
 
 No pairs of a group are emitted: a group of m near copies gives about m links.  n-grams are compared
 as 62-bit hashes; two different n-grams of one pair of documents collide with probability below 1e-12.
