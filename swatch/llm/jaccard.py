@@ -5,12 +5,13 @@ The sets live in the metric of the symmetric difference; a Jaccard similarity of
 inequality says which documents a region must also hold, and regions are joined on their own:
 
 1. Copies collapse first: equal sets are one point, whose representative is the smallest id.
-2. The first pivots are single n-grams.  A point's home is the region of its first n-gram in one fixed
-   order (n-grams of many documents last, then by hash).  Points within the threshold must share one of
-   their first |x| - ceil(t |x|) + 1 n-grams, so a point is replicated to just those regions, and to the size
-   class of its own size and the next one.  A region of one point is done.
-3. Small regions (``SMALL`` points) are compared inside a task by these first n-grams alone: they give a
-   lower bound of the distance, and a pair is taken up only in the region of its first common n-gram.
+2. The first regions are parts of the sets.  The hash range is cut into as many parts for all sets of a size class, more than the
+   n-grams that linked sets of the class differ in; so linked sets agree in some part, whole.  A point is replicated to the
+   regions of its first apart + 1 parts in one fixed order (parts of fewer rare n-grams last, then by hash), where apart
+   is the most that a set of its size differs from a linked one: that many suffice.  It goes to its own size class, and to the next one
+   if linked sets may be there.  A part holds a few n-grams, so unrelated texts seldom share one, however many there are.
+   A region of one point is done.
+3. Small regions (``SMALL`` points) are compared inside a task by their sizes.
 4. In large regions (groups of near copies, as any other region is thinned out by the order) points
    act as pivots: ``PIVOTS`` a round, ``ROUNDS`` rounds, from parts not yet connected.  All points within the
    threshold of a pivot are connected to it.  What then is left outside the main part of a region is
@@ -28,8 +29,9 @@ is none.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,7 @@ from swatch.session import materialize
 WORDS, PERCENT = 3, 90
 HOT_SHARE = 5e-4  # n-grams of so many documents come last in the order: at most mean set size / share of them
 SMALL, PIVOTS, ROUNDS = 64, 8, 3
+WIDTH = 3  # a size class is as wide as so many steps of linked sizes
 BLOCK, CHUNK = 128, 512
 ROWS_A_GROUP = 4000
 BROADCAST_IDS = 4_000_000
@@ -53,7 +56,8 @@ BROADCAST_PAIRS, BROADCAST_GRAMS = 500_000, 4_000_000
 WORD_ENTRIES = 200_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-HOT_BIT = 1 << 62
+RARE, RANK_SHIFT = 3, 59  # parts of so many rare n-grams come first
+_STARTS: dict[int, list[int]] = {}
 
 
 class _Hashes(dict):
@@ -107,12 +111,61 @@ def hot_grams(docs: DataFrame, text_col: str, n: int, share: float) -> np.ndarra
     return np.sort(hot.select("gram").toArrow().column(0).to_numpy())
 
 
-def ordered(grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The n-grams as sorted order keys: frequent ones carry a bit above the hash."""
-    if not len(hot) or not len(grams):
-        return grams
-    at = np.minimum(np.searchsorted(hot, grams), len(hot) - 1)
-    return np.sort(np.where(hot[at] == grams, grams | HOT_BIT, grams))
+def most_apart(a: int, b: int, percent: int) -> int:
+    """N-grams that linked sets of ``a`` and ``b`` n-grams differ in at most."""
+    return (a + b) * (100 - percent) // (100 + percent)
+
+
+def size_class(size: int, percent: int) -> tuple[int, int]:
+    """Number and largest size of the class of ``size``.  Linked sets are of one class or of two that follow each other."""
+    starts = _STARTS.setdefault(percent, [1])
+    while starts[-1] <= size:
+        largest = starts[-1]
+        for _ in range(WIDTH):
+            largest = 100 * largest // percent
+        starts.append(largest + 1)
+    at = bisect.bisect_right(starts, size)
+    return at - 1, starts[at] - 1
+
+
+@functools.lru_cache(64)
+def _edges(count: int) -> np.ndarray:
+    return np.array([-(-(k << 62) // count) for k in range(count)] + [1 << 62], np.int64)
+
+
+def part_tokens(own: np.ndarray, hot: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Names of the parts by which a set meets linked ones of its size class, and of the next class."""
+    size = len(own)
+    cls, largest = size_class(size, percent)
+    upto = 100 * size // percent  # the largest linked size
+    following = size_class(largest + 1, percent)[1]
+    wanted = [(cls, largest, most_apart(size, min(upto, largest), percent)),
+              (cls + 1, following, most_apart(size, min(upto, following), percent) if upto > largest else 0)]
+    if not any(apart for _, _, apart in wanted):  # only equal sets link
+        return [own[:0], own[:0]]
+    mixed = own.view(np.uint64) * _ODD[0]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * _ODD[1]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+    rare = np.ones(size, bool)
+    if len(hot):
+        rare = hot[np.minimum(np.searchsorted(hot, own), len(hot) - 1)] != own
+    rare = np.concatenate([np.zeros(1, np.int64), np.cumsum(rare)])
+    out = []
+    for number, top, apart in wanted:
+        if not apart:
+            out.append(own[:0])
+            continue
+        most = most_apart(top, top, percent)
+        count = max(most + 1 + most // 8, top // 4)
+        at = np.searchsorted(own, _edges(count))
+        low, high = at[:-1], at[1:]
+        names = sums[high] - sums[low] + np.arange(1, count + 1, dtype=np.uint64) * _ODD[2]
+        names = (names ^ np.uint64(number)) * _ODD[1]
+        names = (names ^ (names >> np.uint64(31))) * _ODD[0]
+        names = (names ^ (names >> np.uint64(32))) * _ODD[1] >> np.uint64(64 - RANK_SHIFT)
+        rank = RARE - np.minimum(rare[high] - rare[low], RARE) + (low == high)  # empty parts are last
+        out.append(np.sort(rank << RANK_SHIFT | names.astype(np.int64))[:apart + 1])
+    return out
 
 
 def least_overlap(size: int, percent: int) -> int:
@@ -122,21 +175,22 @@ def least_overlap(size: int, percent: int) -> int:
 def _points(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, hot: np.ndarray) -> DataFrame:
     slim = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     schema = T.StructType([slim.schema["id"], *T.StructType.fromDDL(
-        "n long, key binary, prefix array<long>, brief binary, sketch array<long>").fields])
+        "n long, key binary, own int, parts array<long>, onward array<long>, sketch array<long>").fields])
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(ids, texts):
-        sizes, keys, prefixes, sketches = [], [], [], []
+        sizes, keys, classes, names, sketches = [], [], [], ([], []), []
         for text in texts:
             own = shingles(text, n)
             sketches.append(sketch(own, percent))
             sizes.append(len(own))
             keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-            prefixes.append(ordered(own, shared.value)[:len(own) - least_overlap(len(own), percent) + 1] if len(own) else own)
-        cat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-        words = np.concatenate(sketches) if sketches else np.zeros(0, np.int64)
-        return [ids, sizes, keys, list_array(cat, [len(p) for p in prefixes], pa.int64()), [brief(p) for p in prefixes],
-                list_array(words, [len(k) for k in sketches], pa.int64())]
+            classes.append(size_class(len(own), percent)[0])
+            for all_, part in zip(names, part_tokens(own, shared.value, percent)):
+                all_.append(part)
+        lists = [list_array(np.concatenate(part) if part else np.zeros(0, np.int64), [len(x) for x in part], pa.int64())
+                 for part in (*names, sketches)]
+        return [ids, sizes, keys, classes, *lists]
 
     return materialize(map_rows(slim, run, schema), "jaccard-points")
 
@@ -147,7 +201,7 @@ MOST_BITS = 1 << 14
 
 
 def brief(prefix: np.ndarray) -> bytes:
-    """The first three bytes of each order key: what a point carries to its regions."""
+    """The first three bytes of each order key: a narrow bound for regions of single n-grams."""
     return (prefix >> BRIEF_SHIFT).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
 
 
@@ -201,23 +255,26 @@ def pair_table(pairs: list[tuple]) -> pa.Table:
 
 
 def candidate_pairs(rows: list, percent: int) -> list[tuple]:
-    """Pairs of one small region that the sizes and the first n-grams cannot rule out.
+    """Pairs of one small region that the sizes cannot rule out, nor the first n-grams where rows have them.
 
-    ``rows``: (token, size class, id, n, own class, brief prefix).  A pair is taken up in the size class of its larger
-    point, where its first common n-gram is the region's.  Brief keys that are equal may belong to different n-grams, which
+    ``rows``: (token, size class, id, n, own class[, brief prefix]).  A pair is taken up in the size class of its larger
+    point; with first n-grams, where the first common one is the region's.  Brief keys that are equal may belong to different n-grams, which
     only makes common n-grams seem more: the bound stays one, and a pair is passed over only if ``EARLIER`` common keys come before
     the region's.  (That many false ones in one pair are out of reach: one in a thousand pairs has one.)  So a pair may be
     taken up a few times."""
     token, cls = rows[0][:2]
     here = token >> BRIEF_SHIFT
     out = []
-    points = sorted((r[3], r[2], r[4], unbrief(r[5])) for r in rows)
+    points = sorted(((r[3], r[2], r[4], unbrief(r[5]) if len(r) > 5 else None) for r in rows), key=lambda p: p[:2])
     for j, (nb, b, cb, pb) in enumerate(points):
         if cb != cls:
             continue
         for na, a, _, pa_ in points[:j]:
             if 100 * na < percent * nb:
                 continue
+            if pa_ is None:
+                out.append((a, b) if a < b else (b, a))
+                continue
             common = pb[np.minimum(np.searchsorted(pb, pa_), len(pb) - 1)] == pa_
             if common[:np.searchsorted(pa_, here)].sum() >= EARLIER:
                 continue
@@ -310,39 +367,42 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     100 * intersection >= percent * union."""
     hot = hot_grams(docs, text_col, n, hot_share)
     points = _points(docs, id_col, text_col, n, percent, hot)
-    # One point per distinct set; its name is the key of the set.
+    # One point per distinct set; its name is the key of the set.  Only sets of several rows meet to be one.
     reps = materialize(points.where("n > 0").groupBy("key").agg(
-        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
-        F.first("brief").alias("brief"), F.first("sketch").alias("sketch")), "jaccard-reps")
-    ratio = math.log(100 / percent)
-    own = F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio)).cast("int")
-    home = reps.select(F.col("key").alias("point"), "n", own.alias("own"), "prefix", "brief", "sketch")
-    # N-grams first of one point only make no region.  What is left is small beside the prefixes: the
-    # repeated n-grams are broadcast below a checked count, so that the prefixes are not shuffled again.
-    tokens = materialize(home.select(F.explode("prefix").alias("token")).groupBy("token").agg(
+        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
+        F.count(F.lit(1)).alias("copies")), "jaccard-reps")
+    home = reps.select(F.col("key").alias("point"), "n", "sketch")
+    copied = reps.where("copies > 1").select("key")
+    copied = F.broadcast(copied) if copied.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else copied
+    filled = points.where("size(parts) + size(onward) > 0").select("key", "n", "own", "parts", "onward")
+    firsts = materialize(filled.join(copied, "key", "left_semi").groupBy("key").agg(
+        *[F.first(c).alias(c) for c in ("n", "own", "parts", "onward")]), "jaccard-firsts")
+    filled = filled.join(copied, "key", "left_anti").unionByName(firsts)
+    filled = filled.select(F.col("key").alias("point"), "n", "own", F.size("parts").alias("k"), F.concat("parts", "onward").alias("names"))
+    # Parts of one point only make no region.  What is left is small beside the names: the
+    # repeated ones are broadcast below a checked count, so that the names are not shuffled again.
+    tokens = materialize(filled.select(F.explode("names").alias("token")).groupBy("token").agg(
         F.count(F.lit(1)).alias("m")).where("m > 1").select("token"), "jaccard-tokens")
-    small = tokens.count() <= BROADCAST_IDS
-    # The n-grams before a pair's first common one differ: of points at places i and j of it, linked sets have slacks of a sum up to 0.
-    slack = (F.col("at") * (100 + percent) - F.col("n") * (100 - percent)).alias("slack")
-    entries = materialize(home.select("point", "own", "n", F.posexplode("prefix").alias("at", "token")).select(
-        "point", "own", "token", slack).join(F.broadcast(tokens) if small else tokens, "token"), "jaccard-entries")
-    entries = entries.select("point", "own", "token", "slack", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("cls"))
+    small = tokens.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    entries = filled.select("point", "n", "own", "k", F.posexplode("names").alias("at", "token"))
+    entries = materialize(entries.join(F.broadcast(tokens) if small else tokens, "token").select(
+        "point", "n", "own", "token", (F.col("own") + (F.col("at") >= F.col("k")).cast("int")).alias("cls")), "jaccard-entries")
     # Points in a region by its size class: at least one of them must be at home in the class.
     regions = (entries.groupBy("token", "cls").agg(
         F.count(F.lit(1)).alias("m"), F.sum((F.col("own") == F.col("cls")).cast("int")).alias("home"),
-        F.bit_xor(F.xxhash64("point")).alias("sig"), F.min("slack").alias("least"), F.sum("slack").alias("slacks"))
-        .where("m > 1 AND home > 0 AND least <= 0 AND (m > 2 OR slacks <= 0)").drop("slacks"))
+        F.bit_xor(F.xxhash64("point")).alias("sig"), F.min(F.xxhash64("point")).alias("least"))
+        .where("m > 1 AND home > 0"))
     regions = materialize(regions, "jaccard-regions")
-    # Of regions of the same points that of the smallest token stands for all: a pair's first common n-gram is never another's.
+    # Of regions of the same points one stands for all.
     small = materialize(regions.where(F.col("m") <= SMALL).groupBy("sig", "m", "cls").agg(
         F.min(F.struct("token", "least")).alias("r")).select("sig", "m", "cls", "r.*"), "jaccard-small")
     total, count = small.agg(F.sum("m"), F.count(F.lit(1))).first()
     small = small.select("token", "cls", "least")
     small = F.broadcast(small) if count <= BROADCAST_IDS else small
     deal = max(1, -(-int(total or 0) // ROWS_A_GROUP))  # regions go to groups of about so many rows
-    rows = (entries.join(small, ["token", "cls"]).where("slack + least <= 0").select("token", "cls", "point")
-            .join(home.select("point", "n", "own", "brief"), "point")
-            .select(F.pmod(F.xxhash64("token", "cls"), F.lit(deal)).alias("deal"), "token", "cls", "point", "n", "own", "brief"))
+    # Regions of one first point go to one group, so that a pair of several of them is handed on once.
+    rows = entries.join(small, ["token", "cls"]).select(
+        F.pmod(F.xxhash64("least"), F.lit(deal)).alias("deal"), "token", "cls", "point", "n", "own")
 
     def search(dealt: pa.Table) -> pa.Table:
         out = []

@@ -133,3 +133,36 @@ def test_unlike_pairs_fetch_no_sets(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
     assert got == {d: d for d in range(30)}
     assert seen["jaccard-pairs"].count() > 20 and seen["jaccard-sets"].count() == 0
+
+
+def test_linked_sets_share_a_part_and_others_seldom_do():
+    rng, none = np.random.default_rng(9), np.zeros(0, np.int64)
+    for percent in (80, 90):
+        for size in (5, 9, 10, 11, 12, 40, 150, 152, 700):
+            for drop in (0.0, 0.03, 0.08, 0.12, 0.2):
+                a = np.unique(rng.integers(0, 1 << 62, size))
+                b = np.unique(np.concatenate([a[rng.random(len(a)) >= drop], rng.integers(0, 1 << 62, int(rng.integers(0, 2 + size * drop)))]))
+                both = len(np.intersect1d(a, b))
+                if both == len(a) == len(b) or 100 * both < percent * (len(a) + len(b) - both):
+                    continue
+                small, large = sorted((a, b), key=len)
+                for hot in (none, a[::3], a):
+                    own, onward = jaccard.part_tokens(small, hot, percent)
+                    home = jaccard.part_tokens(large, hot, percent)[0]
+                    assert len(np.intersect1d(np.concatenate([own, onward]), home))
+
+
+def test_regions_do_not_grow_with_chance_words(spark, monkeypatch):
+    seen, whole = {}, jaccard.materialize
+
+    def record(df, name="stage"):
+        seen[name] = whole(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(jaccard, "materialize", record)
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(12)}" for _ in range(150)) for _ in range(300)]  # 1728 n-grams in all
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, hot_share=0.5).collect()}
+    assert got == {d: d for d in range(300)}
+    assert seen["jaccard-entries"].count() < 300
